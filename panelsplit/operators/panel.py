@@ -108,21 +108,20 @@ def annual_book(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT
 def window_stats(panel: DataFrame, windows: DataFrame, keys: Sequence[str],
                  spec: PanelSpec = DEFAULT, window_keys: Sequence[str] = ("window_id",)) -> DataFrame:
     """Aggregate arbitrary period sets. ``windows`` maps ``(keys?, window_id,
-    period, expected)``; the result has W, avg R, r = W/R, the rate annualised
-    to a year (r*100*4/n), the average published rate, n and ``complete``
-    (all requested periods found)."""
+    period, expected)``; the result has the loss, the average balance, their
+    ratio, the rate annualised to a year (ratio*100*4/n), the average published
+    rate, n and ``complete`` (all requested periods found)."""
     join_on = [k for k in keys if k in windows.columns] + [spec.period]
     joined = panel.join(windows, join_on, "inner")
     n = F.count(F.lit(1))
-    w = F.sum(spec.loss).cast("double")
-    r = F.sum(spec.balance).cast("double") / n
     stats = (joined.groupBy(*keys, *window_keys)
-             .agg(w.alias("w"), r.alias("R"),
+             .agg(F.sum(spec.loss).cast("double").alias("loss"),
+                  (F.sum(spec.balance).cast("double") / n).alias("avg_balance"),
                   (F.sum(spec.rate).cast("double") / n).alias("rate_pub"),
                   n.alias("nq"), F.max("expected").alias("expected"),
                   F.min(spec.period).alias("first_period"), F.max(spec.period).alias("last_period")))
-    return (stats.withColumn("r", ratio("w", "R"))
-            .withColumn("rate_pct", F.col("r") * 100 * 4 / F.col("nq"))
+    return (stats.withColumn("ratio", ratio("loss", "avg_balance"))
+            .withColumn("rate_pct", F.col("ratio") * 100 * 4 / F.col("nq"))
             .withColumn("complete", F.col("nq") == F.col("expected")))
 
 

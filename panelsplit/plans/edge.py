@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
+from pyspark.sql.types import ByteType, DecimalType, DoubleType, FloatType, IntegerType, ShortType
 
 DIGITS = 6
 
@@ -20,7 +20,7 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round double columns, widen small ints to BIGINT, unsign zeros."""
     repl = {}
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
+        if isinstance(f.dataType, (DoubleType, FloatType, DecimalType)):
             repl[f.name] = F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (IntegerType, ShortType, ByteType)):
             repl[f.name] = F.col(f.name).cast("bigint")

@@ -1,94 +1,6 @@
-"""Registered driver queries: ``name -> (spark, sf_dir) -> DataFrame`` and the
-matching DuckDB oracle SQL. Each reads the whole driver tables.
+"""All registered driver queries (importing the modules fills the registry)."""
 
-Entity keys: ``SEG`` (market segment, 5 entities) for most queries, ``NAT``
-(customer nation, 25 entities) where more entities help, ``CUST`` (customer,
-sparse: gaps and NULL cells) for the data-quality queries, ``event_type`` for
-the daily event panel.
-"""
+from . import q_core, q_metrics  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import decompose as D
-from ..operators import panel as P
-from . import facts as FX
-from . import sqlparts as S
-from .edge import finish, sql_finish
-
-SEG = ["c_mktsegment"]
-NAT = ["c_nationkey"]
-CUST = ["o_custkey"]
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def _with(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
-
-
-# --------------------------------------------------------------------------- panel
-
-
-@register("panel_quarterly", sql=sql_finish(
-    _with(S.panel_cte(SEG)) +
-    "SELECT c_mktsegment, period, principal, supplementary, CAST(billings AS DOUBLE) AS billings, "
-    "CAST(rollover AS DOUBLE) AS rollover, CAST(write_offs AS DOUBLE) AS write_offs, rate_pct "
-    "FROM panel WHERE period >= DATE '1995-01-01'",
-    keep=["c_mktsegment", "period", "principal", "supplementary"]))
-def panel_quarterly(spark, sf_dir):
-    """Facts -> (segment, quarter) panel; date lower bound pushed to the scan side."""
-    p = FX.fact_panel(spark, sf_dir, SEG)
-    money_cols = {c: F.col(c).cast("double") for c in ("billings", "rollover", "write_offs")}
-    return p.where(F.col("period") >= F.lit("1995-01-01").cast("date")).withColumns(money_cols)
-
-
-@register("annual_metrics", sql=sql_finish(
-    _with(S.panel_cte(SEG), S.annual_cte(SEG)) + "SELECT * FROM annual",
-    keep=["c_mktsegment", "year", "quarters"]))
-def annual_metrics(spark, sf_dir):
-    return P.annual_metrics(FX.fact_panel(spark, sf_dir, SEG), SEG)
-
-
-# --------------------------------------------------------------------------- bridge
-
-_YB_SQL = _with(
-    S.panel_cte(SEG), S.annual_cte(SEG), S.published_cte(SEG),
-    """pairs AS (
-  SELECT * FROM (
-    SELECT c_mktsegment, year, write_offs AS W1, avg_rollover AS R1,
-      lag(year) OVER (PARTITION BY c_mktsegment ORDER BY year) AS year0,
-      lag(write_offs) OVER (PARTITION BY c_mktsegment ORDER BY year) AS W0,
-      lag(avg_rollover) OVER (PARTITION BY c_mktsegment ORDER BY year) AS R0
-    FROM annual) AS _l WHERE year = year0 + 1)""") + f"""
-SELECT b.c_mktsegment, b.year, year0 AS previous_year, W1 AS write_offs, R1 AS avg_rollover,
-  ratio1 * 100 * 4 / 4 AS rate_pct, d_w AS delta_write_offs, volume, rate, inter AS interaction,
-  volume + rate + inter AS "check", {S.closes_expr()} AS closes,
-  p.pub_rate_pct AS rate_pct_pub_annual,
-  CASE WHEN p.pub_billings IS NOT NULL AND p.pub_write_offs IS NOT NULL AND p.pub_rollover_ye IS NOT NULL
-        AND p.pub_principal_ye IS NOT NULL AND p.pub_rate_pct IS NOT NULL THEN 'checked' ELSE 'pending' END
-    AS annual_crosscheck_status
-FROM {S.bridge_select('W0', 'R0', 'W1', 'R1', 'pairs')} AS b
-LEFT JOIN published p ON p.c_mktsegment = b.c_mktsegment AND p.year = b.year
-"""
-
-
-@register("bridge_yearly", sql=sql_finish(
-    _YB_SQL, keep=["c_mktsegment", "year", "previous_year", "closes", "annual_crosscheck_status"]))
-def bridge_yearly(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG)
-    return D.yearly_bridge(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
+__all__ = ["ORACLE", "QUERIES"]
