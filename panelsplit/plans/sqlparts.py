@@ -87,3 +87,29 @@ def bridge_select(w0: str, R0: str, w1: str, R1: str, src: str) -> str:
 def closes_expr() -> str:
     return ("(abs(volume + rate + inter - d_w) <= 1e-9 * greatest(1.0, abs(d_w)) "
             "AND abs(inter) <= 1e-9 * greatest(1.0, abs(d_w)))")
+
+
+def pairs_cte(keys: list[str], src: str, cols: list[str], name: str = "pairs") -> str:
+    """Consecutive-year pairs by lag (suffix 0 on the previous year's columns)."""
+    k = ", ".join(keys)
+    lags = ", ".join(f"lag({c}) OVER w AS {c}0" for c in ["year", *cols])
+    return f"""{name} AS (
+  SELECT * FROM (SELECT *, {lags} FROM {src} WINDOW w AS (PARTITION BY {k} ORDER BY year)) AS _p
+  WHERE year = year0 + 1)"""
+
+
+def inline_bridge(w0: str, R0: str, w1: str, R1: str) -> dict[str, str]:
+    """Bridge terms as self-contained expressions (same operation order as
+    ``add_bridge``)."""
+    r0, r1 = f"({w0} / {R0})", f"({w1} / {R1})"
+    d_w, d_base, d_ratio = f"({w1} - {w0})", f"({R1} - {R0})", f"({r1} - {r0})"
+    volume = f"({d_base} * ({r0} + {r1}) / 2)"
+    rate = f"({d_ratio} * ({R0} + {R1}) / 2)"
+    raw = f"({d_w} - {volume} - {rate})"
+    inter = (f"(CASE WHEN abs({raw}) <= 1e-12 * greatest(1.0, abs({d_w}), abs({volume}), abs({rate})) "
+             f"THEN 0.0 ELSE {raw} END)")
+    eps = f"(1e-9 * greatest(1.0, abs({d_w})))"
+    closes = f"(abs({volume} + {rate} + {inter} - {d_w}) <= {eps} AND abs({inter}) <= {eps})"
+    return {"d_w": d_w, "d_base": d_base, "d_ratio": d_ratio, "volume": volume, "rate": rate,
+            "inter": inter, "closes": closes, "volume_b": f"({d_base} * {r0})",
+            "rate_b": f"({d_ratio} * {R0})", "inter_b": f"({d_base} * {d_ratio})"}
