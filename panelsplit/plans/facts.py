@@ -83,21 +83,27 @@ def fact_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str],
     return cluster_by_entity(panel, keys) if clustered else panel
 
 
+def year_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
+    """Year-grain aggregate straight from the facts (no panel): quarters with
+    orders, summed flows, the summed open balance, fourth-quarter stocks."""
+    facts = order_facts(spark, sf_dir, keys)
+    q = F.quarter("o_orderdate")
+    q4 = q == 4
+    return (facts.groupBy(*keys, F.year("o_orderdate").cast("bigint").alias("year"))
+            .agg(F.size(F.collect_set(q)).alias("nq"),
+                 F.sum(line_amount()).alias("b"),
+                 F.sum(F.when(F.col("l_returnflag") == "R", loss_amount())).alias("w"),
+                 F.sum(F.when(F.col("l_linestatus") == "O", line_amount())).alias("rb"),
+                 F.sum(F.when(q4 & (F.col("l_linestatus") == "O"), line_amount())).alias("rb_ye"),
+                 F.countDistinct(F.when(q4, F.col("o_custkey"))).alias("p_ye"),
+                 F.max(q4).alias("has_q4")))
+
+
 def published_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
     """Independent year-grain aggregate straight from the facts (the second
     source): flows and the rate only for years with four quarters of orders,
     stocks at year end."""
-    facts = order_facts(spark, sf_dir, keys)
-    q = F.quarter("o_orderdate")
-    q4 = q == 4
-    agg = (facts.groupBy(*keys, F.year("o_orderdate").cast("bigint").alias("year"))
-           .agg(F.size(F.collect_set(q)).alias("nq"),
-                F.sum(line_amount()).alias("b"),
-                F.sum(F.when(F.col("l_returnflag") == "R", loss_amount())).alias("w"),
-                F.sum(F.when(F.col("l_linestatus") == "O", line_amount())).alias("rb"),
-                F.sum(F.when(q4 & (F.col("l_linestatus") == "O"), line_amount())).alias("rb_ye"),
-                F.countDistinct(F.when(q4, F.col("o_custkey"))).alias("p_ye"),
-                F.max(q4).alias("has_q4")))
+    agg = year_facts(spark, sf_dir, keys)
     full = F.col("nq") == 4
     return agg.select(
         *keys, "year",
@@ -109,6 +115,14 @@ def published_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> D
                                           F.col("rb").cast("double") / 4), 1)).alias("pub_rate_pct"))
 
 
+def raw_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
+    """Independent recompute for the hand check: per complete year, the loss
+    and the average balance straight from the facts."""
+    agg = year_facts(spark, sf_dir, keys).where(F.col("nq") == 4)
+    return agg.select(*keys, "year", F.col("w").cast("double").alias("raw_w"),
+                      (F.col("rb").cast("double") / 4).alias("raw_r"))
+
+
 def events_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ("event_type",)) -> DataFrame:
     """Daily panel of the event stream: events (flow), value (flow),
     distinct users (stock)."""

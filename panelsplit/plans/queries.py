@@ -1,6 +1,6 @@
 """All registered driver queries (importing the modules fills the registry)."""
 
-from . import q_core, q_decompose, q_metrics  # noqa: F401
+from . import q_checks, q_core, q_decompose, q_metrics  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
