@@ -54,3 +54,10 @@ def money(col, precision: int = 18, scale: int = 2) -> Column:
     """Cast a money input to DECIMAL before summing: sums become exact and
     independent of row order (bit-equal results across engines)."""
     return _c(col).cast(f"decimal({precision},{scale})")
+
+
+def plain_text(col) -> Column:
+    """Number -> plain decimal text without exponent or trailing zeros
+    (integers as '98', money as '22716202.07'); ten decimals at most."""
+    s = _c(col).cast("decimal(38,10)").cast("string")
+    return F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

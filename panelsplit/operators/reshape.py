@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import plain_text
 from ..functions.periods import is_quarter_label, period_from_label, wide_label
 
 # A value string Spark would cast but a strict numeric reader would not
@@ -92,9 +93,9 @@ def cell_accounting(wide: DataFrame, staged: DataFrame, keys: Sequence[str], map
 def panel_to_long(panel: DataFrame, keys: Sequence[str], series: dict[str, str],
                   period: str = "period") -> DataFrame:
     """(keys, series, label, value STRING) from a panel; ``series``: series
-    name -> panel column."""
+    name -> panel column. Numbers are written as plain decimal text."""
     return (panel.select(*keys, wide_label(period).alias("label"),
-                         *[F.col(c).cast("double").cast("string").alias(s) for s, c in series.items()])
+                         *[plain_text(c).alias(s) for s, c in series.items()])
             .unpivot([*keys, "label"], list(series), "series", "value"))
 
 
