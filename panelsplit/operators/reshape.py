@@ -73,19 +73,25 @@ def cell_accounting(wide: DataFrame, staged: DataFrame, keys: Sequence[str], map
     staged + excluded + missing == raw. One aggregate per side."""
     ids = [*keys, series_col]
     long = unpivot_periods(wide, ids, keep_nulls=True)
+    # whole-table accounting (no keys) joins the two one-row sides on a constant
+    gk = list(keys) or ["_all"]
+    if not keys:
+        long, staged = long.withColumn("_all", F.lit(1)), staged.withColumn("_all", F.lit(1))
     rules = exclusion_rules(series_col, list(mapping))
     missing = F.col("value").isNull() | (F.trim("value") == "")
     any_rule = reduce(lambda a, b: a | b, rules.values())
     rule_aggs = [F.count_if(~missing & r).alias(f"rule_{i + 1}") for i, r in enumerate(rules.values())]
-    raw = long.groupBy(*keys).agg(
+    raw = long.groupBy(*gk).agg(
         F.count(F.lit(1)).alias("raw_cells"), F.count_if(missing).alias("missing_cells"),
         F.count_if(~missing).alias("present_cells"), F.count_if(~missing & any_rule).alias("excluded_cells"),
         *rule_aggs)
     cols = list(mapping.values())
-    staged_n = staged.groupBy(*keys).agg(
+    staged_n = staged.groupBy(*gk).agg(
         reduce(lambda a, b: a + b, [F.count(c) for c in cols]).alias("staged_cells"),
         F.count(F.lit(1)).alias("staged_periods"))
-    out = raw.join(staged_n, list(keys), "left").fillna(0, ["staged_cells", "staged_periods"])
+    out = raw.join(staged_n, gk, "left").fillna(0, ["staged_cells", "staged_periods"])
+    if not keys:
+        out = out.drop("_all")
     return out.withColumn("reconciles", F.col("staged_cells") + F.col("excluded_cells") + F.col("missing_cells")
                           == F.col("raw_cells"))
 

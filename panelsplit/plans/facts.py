@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import money
 from ..functions.periods import quarter_start
 from ..operators.panel import build_panel, cluster_by_entity
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread_small_input
 
 LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
              "l_returnflag", "l_linestatus")
@@ -39,11 +39,15 @@ ORDER_COLS = ("o_orderkey", "o_custkey", "o_orderdate")
 CUSTOMER_COLS = ("c_custkey", "c_nationkey", "c_mktsegment")
 
 
-def order_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
+def order_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str], since: str | None = None) -> DataFrame:
     """lineitem ⋈ orders (⋈ customer when a key needs it), pruned to the
-    columns the panel uses."""
-    li = read_table(spark, sf_dir, "lineitem").select(*LINE_COLS)
+    columns the panel uses. ``since`` (a quarter start) bounds the order date;
+    it is a plain column predicate, so it reaches the orders scan as a pushed
+    Parquet filter."""
+    li = spread_small_input(read_table(spark, sf_dir, "lineitem").select(*LINE_COLS))
     od = read_table(spark, sf_dir, "orders").select(*ORDER_COLS)
+    if since is not None:
+        od = od.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
     facts = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
     need_customer = [k for k in keys if k.startswith("c_") and k != "c_custkey"]
     if need_customer:
@@ -75,9 +79,9 @@ def published_rate(w, b) -> Column:
 
 
 def fact_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str],
-               clustered: bool = True) -> DataFrame:
-    """(keys, period) panel of the order book."""
-    facts = order_facts(spark, sf_dir, keys)
+               clustered: bool = True, since: str | None = None) -> DataFrame:
+    """(keys, period) panel of the order book (periods from ``since`` on)."""
+    facts = order_facts(spark, sf_dir, keys, since)
     panel = build_panel(facts, keys, quarter_start("o_orderdate"), fact_measures(),
                         post={"rate_pct": published_rate("write_offs", "billings")})
     return cluster_by_entity(panel, keys) if clustered else panel
@@ -126,7 +130,7 @@ def raw_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFra
 def events_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ("event_type",)) -> DataFrame:
     """Daily panel of the event stream: events (flow), value (flow),
     distinct users (stock)."""
-    ev = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
+    ev = spread_small_input(read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value"))
     panel = build_panel(ev, keys, F.to_date("ts"),
                         {"events": F.count(F.lit(1)), "value": F.sum(money("value")),
                          "users": F.countDistinct("user_id")})

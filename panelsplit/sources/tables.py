@@ -17,6 +17,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cluster's parallelism when it comes from
+    fewer files than there are task slots (a single-row-group file is one
+    task however large the cluster). Inputs with at least as many files as
+    slots - any large table - are returned unchanged, so this never adds a
+    shuffle at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= slots:
+        return df
+    return df.repartition(slots)
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temp views for the SQL edge (names as in the oracle)."""
     for n in names:
