@@ -111,7 +111,7 @@ def published_basis(spark, sf_dir):
     return D.bridge_with_rates(panel, FX.published_annual(spark, sf_dir, SEG), SEG)
 
 
-def _sensitivity_sql() -> str:
+def _sensitivity_sql(key: str = _K) -> str:
     side_cols = ["w", "bal", "rate_pct", "wy", "p_first", "p_last"]
     wide_aggs = ", ".join(f"max(CASE WHEN side = '{s}' THEN {c} END) AS {c}_{s}"
                           for s in ("old", "new") for c in side_cols)
@@ -119,47 +119,47 @@ def _sensitivity_sql() -> str:
     b = S.bridge_select("w_old", "bal_old", "w_new", "bal_new", "wide2")
     span = "strftime({0}, '%Y-%m') || ' → ' || strftime({1}, '%Y-%m')"
     return _with(
-        S.panel_cte(SEG), S.annual_cte(SEG), S.published_cte(SEG),
-        """a2 AS (SELECT x.c_mktsegment, x.year, x.rate_pct_recomputed, p.pub_rate_pct,
+        S.panel_cte([key]), S.annual_cte([key]), S.published_cte([key]),
+        f"""a2 AS (SELECT x.{key}, x.year, x.rate_pct_recomputed, p.pub_rate_pct,
     lag(x.year) OVER wo = x.year - 1 AS prev_complete, lag(p.pub_rate_pct) OVER wo AS prev_pub
-  FROM annual x LEFT JOIN published p ON p.c_mktsegment = x.c_mktsegment AND p.year = x.year
-  WINDOW wo AS (PARTITION BY x.c_mktsegment ORDER BY x.year))""",
-        """a3 AS (SELECT *, max(year) OVER w AS latest,
-    arg_max(year, CASE WHEN pub_rate_pct IS NOT NULL THEN {'r': pub_rate_pct, 'y': -year} END) OVER w AS peak_pub,
-    arg_max(year, {'r': rate_pct_recomputed, 'y': -year}) OVER w AS peak_proxy,
+  FROM annual x LEFT JOIN published p ON p.{key} = x.{key} AND p.year = x.year
+  WINDOW wo AS (PARTITION BY x.{key} ORDER BY x.year))""",
+        f"""a3 AS (SELECT *, max(year) OVER w AS latest,
+    arg_max(year, CASE WHEN pub_rate_pct IS NOT NULL THEN {{'r': pub_rate_pct, 'y': -year}} END) OVER w AS peak_pub,
+    arg_max(year, {{'r': rate_pct_recomputed, 'y': -year}}) OVER w AS peak_proxy,
     max(CASE WHEN prev_complete AND pub_rate_pct IS NOT NULL AND prev_pub IS NOT NULL THEN year END) OVER w
       AS pub_year
-  FROM a2 WINDOW w AS (PARTITION BY c_mktsegment))""",
-        """yp AS (
-  SELECT c_mktsegment, year, 'base' AS variant FROM a3 WHERE year = latest AND prev_complete
-  UNION ALL SELECT c_mktsegment, year, 'peak' FROM a3 WHERE year = coalesce(peak_pub, peak_proxy) AND prev_complete
-  UNION ALL SELECT c_mktsegment, year, 'published' FROM a3 WHERE year = pub_year
-  UNION ALL SELECT c_mktsegment, year, 'base_weighted' FROM a3 WHERE year = latest AND prev_complete)""",
-        """ywin AS (SELECT c_mktsegment, variant, side, y AS window_year,
+  FROM a2 WINDOW w AS (PARTITION BY {key}))""",
+        f"""yp AS (
+  SELECT {key}, year, 'base' AS variant FROM a3 WHERE year = latest AND prev_complete
+  UNION ALL SELECT {key}, year, 'peak' FROM a3 WHERE year = coalesce(peak_pub, peak_proxy) AND prev_complete
+  UNION ALL SELECT {key}, year, 'published' FROM a3 WHERE year = pub_year
+  UNION ALL SELECT {key}, year, 'base_weighted' FROM a3 WHERE year = latest AND prev_complete)""",
+        f"""ywin AS (SELECT {key}, variant, side, y AS window_year,
     CAST(unnest(generate_series(make_date(y, 1, 1), make_date(y, 10, 1), INTERVAL 3 MONTH)) AS DATE) AS period,
     4 AS expected
-  FROM (SELECT c_mktsegment, variant, 'old' AS side, year - 1 AS y FROM yp
-        UNION ALL SELECT c_mktsegment, variant, 'new', year FROM yp) AS s)""",
-        """ranked AS (SELECT c_mktsegment, period,
-    row_number() OVER (PARTITION BY c_mktsegment ORDER BY period DESC) AS rn,
-    count(*) OVER (PARTITION BY c_mktsegment) AS n FROM panel)""",
-        """rwin AS (
-  SELECT c_mktsegment, 'trailing4' AS variant, 'new' AS side, CAST(NULL AS BIGINT) AS window_year, period,
+  FROM (SELECT {key}, variant, 'old' AS side, year - 1 AS y FROM yp
+        UNION ALL SELECT {key}, variant, 'new', year FROM yp) AS s)""",
+        f"""ranked AS (SELECT {key}, period,
+    row_number() OVER (PARTITION BY {key} ORDER BY period DESC) AS rn,
+    count(*) OVER (PARTITION BY {key}) AS n FROM panel)""",
+        f"""rwin AS (
+  SELECT {key}, 'trailing4' AS variant, 'new' AS side, CAST(NULL AS BIGINT) AS window_year, period,
     4 AS expected FROM ranked WHERE n >= 8 AND rn <= 4
-  UNION ALL SELECT c_mktsegment, 'trailing4', 'old', NULL, period, 4 FROM ranked WHERE n >= 8 AND rn BETWEEN 5 AND 8
-  UNION ALL SELECT c_mktsegment, 'same2', 'new', NULL, period, 2 FROM ranked WHERE n >= 8 AND rn <= 2
-  UNION ALL SELECT c_mktsegment, 'same2', 'old', NULL, period, 2 FROM ranked WHERE n >= 8 AND rn BETWEEN 5 AND 6)""",
-        """st AS (SELECT *, w / bal * 100 * 4 / nq AS rate_pct FROM (
-  SELECT p.c_mktsegment, variant, side, CAST(sum(write_offs) AS DOUBLE) AS w,
+  UNION ALL SELECT {key}, 'trailing4', 'old', NULL, period, 4 FROM ranked WHERE n >= 8 AND rn BETWEEN 5 AND 8
+  UNION ALL SELECT {key}, 'same2', 'new', NULL, period, 2 FROM ranked WHERE n >= 8 AND rn <= 2
+  UNION ALL SELECT {key}, 'same2', 'old', NULL, period, 2 FROM ranked WHERE n >= 8 AND rn BETWEEN 5 AND 6)""",
+        f"""st AS (SELECT *, w / bal * 100 * 4 / nq AS rate_pct FROM (
+  SELECT p.{key}, variant, side, CAST(sum(write_offs) AS DOUBLE) AS w,
     CAST(sum(rollover) AS DOUBLE) / count(*) AS bal, count(*) AS nq, max(expected) AS expected,
     max(window_year) AS wy, min(p.period) AS p_first, max(p.period) AS p_last
   FROM panel p JOIN (SELECT * FROM ywin UNION ALL SELECT * FROM rwin) AS x
-    ON p.c_mktsegment = x.c_mktsegment AND p.period = x.period
+    ON p.{key} = x.{key} AND p.period = x.period
   GROUP BY ALL HAVING count(*) = max(expected)) AS s0)""",
-        f"""wide AS (SELECT c_mktsegment, variant, {wide_aggs} FROM st GROUP BY ALL HAVING count(*) = 2)""",
-        """wide2 AS (SELECT wide.*, po.pub_rate_pct AS pub_old, pn.pub_rate_pct AS pub_new FROM wide
-  LEFT JOIN published po ON po.c_mktsegment = wide.c_mktsegment AND po.year = wide.wy_old
-  LEFT JOIN published pn ON pn.c_mktsegment = wide.c_mktsegment AND pn.year = wide.wy_new)""",
+        f"""wide AS (SELECT {key}, variant, {wide_aggs} FROM st GROUP BY ALL HAVING count(*) = 2)""",
+        f"""wide2 AS (SELECT wide.*, po.pub_rate_pct AS pub_old, pn.pub_rate_pct AS pub_new FROM wide
+  LEFT JOIN published po ON po.{key} = wide.{key} AND po.year = wide.wy_old
+  LEFT JOIN published pn ON pn.{key} = wide.{key} AND pn.year = wide.wy_new)""",
         f"""d AS (SELECT *, d_base * (rp0 + rp1) / 2 AS vol_p, (rp1 - rp0) * (bal_old + bal_new) / 2 AS rate_p
   FROM (SELECT *, pub_old / 100 AS rp0, pub_new / 100 AS rp1 FROM {b} AS bb) AS cc)""",
         """e AS (SELECT *,
@@ -168,7 +168,7 @@ def _sensitivity_sql() -> str:
     CASE variant WHEN 'published' THEN NULL WHEN 'base_weighted' THEN inter_b ELSE inter END AS jj,
     CAST(wy_old AS VARCHAR) AS yo, CAST(wy_new AS VARCHAR) AS yn
   FROM d)""") + f"""
-SELECT c_mktsegment, variant AS variant_id, CAST(list_position([{variants}], variant) AS BIGINT) AS variant_order,
+SELECT {key}, variant AS variant_id, CAST(list_position([{variants}], variant) AS BIGINT) AS variant_order,
   CASE variant WHEN 'base' THEN 'annual ' || yn || ' vs ' || yo || ' (base)'
     WHEN 'peak' THEN 'annual ' || yn || ' vs ' || yo || ' (peak year)'
     WHEN 'trailing4' THEN 'trailing 4 quarters'
@@ -228,3 +228,47 @@ FROM (SELECT *, CASE WHEN value >= 0
 def signed_stack(spark, sf_dir):
     return C.signed_stack(D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG), SEG), SEG)
 
+
+
+def _pairs_sql(key: str) -> str:
+    return _with(S.panel_cte([key]), S.annual_cte([key]), S.published_cte([key])) + f"""
+SELECT {key}, year, year - 1 AS previous_year,
+  CASE WHEN year = latest THEN 1 WHEN year = latest - 1 THEN 2 WHEN year = peak THEN 3 END AS priority,
+  year = peak AS is_peak
+FROM (SELECT *, coalesce(peak_pub, peak_proxy) AS peak FROM (
+  SELECT a.{key}, a.year, lag(a.year) OVER (PARTITION BY a.{key} ORDER BY a.year) = a.year - 1 AS prev_complete,
+    max(a.year) OVER w AS latest,
+    arg_max(a.year, CASE WHEN p.pub_rate_pct IS NOT NULL THEN {{'r': p.pub_rate_pct, 'y': -a.year}} END) OVER w
+      AS peak_pub,
+    arg_max(a.year, {{'r': a.rate_pct_recomputed, 'y': -a.year}}) OVER w AS peak_proxy
+  FROM annual a LEFT JOIN published p ON p.{key} = a.{key} AND p.year = a.year
+  WINDOW w AS (PARTITION BY a.{key})) AS x) AS y
+WHERE prev_complete AND (year = latest OR year = latest - 1 OR year = peak)"""
+
+
+@register("comparison_pairs", sql=_pairs_sql("c_nationkey"))
+def comparison_pairs(spark, sf_dir):
+    """Latest, latest-1 and peak year pairs per nation, de-duplicated with
+    priority (the peak often coincides with one of the first two)."""
+    from ..operators.sensitivity import comparison_pairs as pairs
+    keys = ["c_nationkey"]
+    panel = FX.fact_panel(spark, sf_dir, keys)
+    return pairs(panel, keys, FX.published_annual(spark, sf_dir, keys))
+
+
+_VARIANT_VALUES = ", ".join(f"('{v}')" for v in VARIANTS)
+
+
+@register("sensitivity_status", sql=f"""
+SELECT e.o_custkey, v.variant_id, CASE WHEN s.variant_id IS NULL THEN 'pending' ELSE 'ok' END AS status
+FROM (SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS e
+CROSS JOIN (VALUES {_VARIANT_VALUES}) AS v(variant_id)
+LEFT JOIN ({_sensitivity_sql("o_custkey")}) AS s ON s.o_custkey = e.o_custkey AND s.variant_id = v.variant_id""")
+def sensitivity_status(spark, sf_dir):
+    """Which sensitivity rows exist per customer ('ok') and which are pending
+    (the customer lacks consecutive complete years, eight quarters, or
+    published rates for an adjacent pair)."""
+    from ..operators.sensitivity import sensitivity_status as status
+    keys = ["o_custkey"]
+    panel = FX.fact_panel(spark, sf_dir, keys)
+    return status(panel, keys, FX.published_annual(spark, sf_dir, keys))
