@@ -16,9 +16,15 @@ from ..operators import landing as L
 from ..operators import reshape as RS
 from ..operators.profile import table_hash
 from ..session import scratch_path
+from ..functions.periods import quarter_start
 from ..sources import files as FS
+from ..sources.tables import read_table
+from ..streaming.panel_stream import incremental_panel, refresh_to_table
 from . import facts as FX
+from . import sqlparts as S
+from .edge import sql_finish
 from .registry import QUERIES, SEG, register
+from .registry import with_ctes as _with
 
 _MEASURES = ["principal", "supplementary", "billings", "rollover", "write_offs", "rate_pct"]
 _PUB_SERIES = {"billings": "pub_billings", "write_offs": "pub_write_offs", "rollover": "pub_rollover_ye",
@@ -119,3 +125,27 @@ def table_hash_query(spark, sf_dir):
                       & (F.col("rows") == F.lit(first[n]["rows"]))).alias("reproducible")))
         res = h if res is None else res.unionByName(h)
     return res
+
+
+@register("panel_stream", sql=sql_finish(_with(S.panel_cte(SEG)) + """
+SELECT c_mktsegment, period, CAST(billings AS DOUBLE) AS billings, CAST(rollover AS DOUBLE) AS rollover,
+  CAST(write_offs AS DOUBLE) AS write_offs FROM panel""", keep=["c_mktsegment", "period"]))
+def panel_stream(spark, sf_dir):
+    """Incremental refresh: the line files are consumed as a stream (one file
+    per trigger), joined to the static orders and customers, the additive
+    measures aggregated per (segment, quarter) and upserted into versioned
+    snapshots; the newest snapshot must equal the batch panel's flows."""
+    li_schema = read_table(spark, sf_dir, "lineitem").schema
+    lines = (spark.readStream.schema(li_schema).option("pathGlobFilter", "lineitem.parquet")
+             .option("maxFilesPerTrigger", 1).parquet(sf_dir).select(*FX.LINE_COLS))
+    orders = read_table(spark, sf_dir, "orders").select(*FX.ORDER_COLS)
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", *SEG)
+    facts = (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(customer, F.col("o_custkey") == F.col("c_custkey")))
+    sdf = incremental_panel(facts, SEG, quarter_start("o_orderdate"), {
+        "billings": ("sum", FX.line_amount()),
+        "rollover": ("sum", F.when(F.col("l_linestatus") == "O", FX.line_amount())),
+        "write_offs": ("sum", F.when(F.col("l_returnflag") == "R", FX.loss_amount()))})
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    out = refresh_to_table(sdf, f"{base}/panel", f"{base}/checkpoint", [*SEG, "period"])
+    return out.withColumns({c: F.col(c).cast("double") for c in ("billings", "rollover", "write_offs")})
