@@ -15,7 +15,7 @@ from ..operators import decompose as D
 from ..operators import landing as L
 from ..operators import reshape as RS
 from ..operators.profile import table_hash
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..functions.periods import quarter_start
 from ..sources import files as FS
 from ..sources.tables import read_table
@@ -86,8 +86,10 @@ def gated_write(spark, sf_dir):
     """Checks -> gate -> write: the panel (counts narrowed to BIGINT only
     after the whole-number check passed) as Parquet partitioned by year, the
     bridge as CSV in a fixed column order; both read back and checked
-    (non-empty, key column present). Nothing is written when a check fails."""
-    panel = FX.fact_panel(spark, sf_dir, SEG)
+    (non-empty, key column present). Nothing is written when a check fails.
+    The panel feeds the checks, the bridge and the write, so it is
+    checkpointed once into the shared folder (lineage cut, reused 3x)."""
+    panel = cut_lineage(FX.fact_panel(spark, sf_dir, SEG))
     K.gate(K.quality_checks(panel, SEG, floor="1995-01-01", as_of="2001-12-31", min_periods=20),
            "panel checks")
     bridge = D.yearly_bridge(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
