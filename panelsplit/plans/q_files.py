@@ -75,6 +75,15 @@ def landing_checks(spark, sf_dir):
                     F.lit("restaged cells").alias("check_name"),
                     F.when(F.col("n").eqNullSafe(F.col("m")), 0).otherwise(1).cast("bigint").alias("violations")))
     out.append(diff)
+    # annual files read back ('na' -> NULL) must reproduce the published values
+    back = FS.read_annual_long(spark, f"{base}/annual", "series", extra_ids=SEG)
+    pub_long = (pub.select(*SEG, "year", *[F.col(c).alias(s) for s, c in _PUB_SERIES.items()])
+                .unpivot([*SEG, "year"], list(_PUB_SERIES), "series", "pub"))
+    trip = (back.join(pub_long, [*SEG, "series", "year"], "full_outer")
+            .groupBy(*SEG).agg(F.count_if(~F.col("value").eqNullSafe(F.col("pub"))).alias("violations"))
+            .select(F.concat(F.lit("segment="), F.col(SEG[0])).alias("path"),
+                    F.lit("annual round trip").alias("check_name"), F.col("violations").cast("bigint")))
+    out.append(trip)
     res = out[0]
     for d in out[1:]:
         res = res.unionByName(d)

@@ -25,12 +25,16 @@ def read_wide(spark: SparkSession, paths: str | Sequence[str], null_value: str |
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def read_annual_long(spark: SparkSession, paths, id_col: str = "series") -> DataFrame:
-    """Annual wide file(s) with 'na' for missing -> (series, year, value DOUBLE)."""
+def read_annual_long(spark: SparkSession, paths, id_col: str = "series",
+                     extra_ids: Sequence[str] = ()) -> DataFrame:
+    """Annual wide file(s) with 'na' for missing -> (extra_ids..., series,
+    year, value DOUBLE). ``extra_ids`` are non-year columns such as
+    partition columns discovered from the folder names."""
     df = read_wide(spark, paths).drop("source_file")
-    cols = [c for c in df.columns if c != id_col]
-    long = df.unpivot([id_col], cols, "label", "raw")
-    return long.select(F.col(id_col).alias("series"), F.col("label").cast("bigint").alias("year"),
+    ids = [*extra_ids, id_col]
+    cols = [c for c in df.columns if c not in ids]
+    long = df.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in cols]).unpivot(ids, cols, "label", "raw")
+    return long.select(*extra_ids, F.col(id_col).alias("series"), F.col("label").cast("bigint").alias("year"),
                        F.when(F.col("raw") != "na", F.col("raw").try_cast("double")).alias("value"))
 
 
