@@ -71,7 +71,7 @@ SELECT *, comparable_years >= 1 AND max_abs_diff <= 0.05 AS ok FROM (
   FROM annual a JOIN published p ON p.c_mktsegment = a.c_mktsegment AND p.year = a.year
   WHERE pub_rate_pct IS NOT NULL GROUP BY a.c_mktsegment) AS x""", keep=[_K, "comparable_years", "ok"]))
 def rate_reconcile(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return RC.rate_reconcile(p, FX.published_annual(spark, sf_dir, SEG), SEG)
 
 
@@ -91,7 +91,7 @@ FROM (SELECT q.c_mktsegment,
         AND pub_principal_ye IS NOT NULL
       GROUP BY q.c_mktsegment) AS x""", keep=[_K, "overlap_years", "flows_ok", "stocks_ok"]))
 def flow_stock_reconcile(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return RC.flow_stock_reconcile(p, FX.published_annual(spark, sf_dir, SEG), SEG)
 
 
@@ -107,7 +107,7 @@ FROM annual a FULL OUTER JOIN (
 def hand_check(spark, sf_dir):
     """Every complete year recomputed straight from the facts (no panel)
     against the staged annual metrics; a year on one side only fails."""
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return RC.hand_check(p, FX.raw_annual(spark, sf_dir, SEG), SEG)
 
 
@@ -124,7 +124,7 @@ FROM (SELECT c_mktsegment, count(*) AS years, count(*) FILTER (WHERE complete) A
             WINDOW w AS (PARTITION BY c_mktsegment)) AS z
       GROUP BY c_mktsegment) AS x""")
 def coverage_check(spark, sf_dir):
-    return RC.coverage(FX.fact_panel(spark, sf_dir, SEG), SEG)
+    return RC.coverage(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG)
 
 
 @register("source_overlap", sql=_with(*_PUB, """usable AS (SELECT * FROM published
@@ -139,7 +139,7 @@ ANTI JOIN lagged l USING (c_mktsegment, year)""")
 def source_overlap(spark, sf_dir):
     """The published source lags one year (its latest usable year withheld):
     the complete panel years whose cross-check is pending."""
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     pub = FX.published_annual(spark, sf_dir, SEG)
     usable = pub.where(F.col("pub_billings").isNotNull() & F.col("pub_write_offs").isNotNull()
                        & F.col("pub_rollover_ye").isNotNull() & F.col("pub_principal_ye").isNotNull()
@@ -158,7 +158,7 @@ SELECT *, latest_index >= floor_index AS fresh FROM (
     year(DATE '{FRESH_AS_OF}') * 4 + quarter(DATE '{FRESH_AS_OF}') - 2 AS floor_index
   FROM panel GROUP BY c_mktsegment) AS x""")
 def freshness(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return K.freshness(p, SEG, FRESH_AS_OF).select(
         *SEG, F.col("latest_index").cast("bigint").alias("latest_index"),
         F.col("floor_index").cast("bigint").alias("floor_index"), "fresh")
@@ -178,7 +178,7 @@ FROM sel s LEFT JOIN lab l ON l.c_mktsegment = s.c_mktsegment AND l.label = s.se
 def lookup_default(spark, sf_dir):
     """Look up each selected period label (every panel label plus the
     quarter after the last one) with a default for unknown labels."""
-    p = FX.fact_panel(spark, sf_dir, SEG).withColumn("label", period_label("period"))
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False).withColumn("label", period_label("period"))
     nxt = p.groupBy(*SEG).agg(F.add_months(F.max("period"), 3).alias("nxt"))
     sel = p.select(*SEG, F.col("label").alias("selection")).unionByName(
         nxt.select(*SEG, period_label("nxt").alias("selection")))

@@ -39,7 +39,7 @@ def panel_quarterly(spark, sf_dir):
     _with(S.panel_cte(SEG), S.annual_cte(SEG)) + "SELECT * FROM annual",
     keep=["c_mktsegment", "year", "quarters"]))
 def annual_metrics(spark, sf_dir):
-    return P.annual_metrics(FX.fact_panel(spark, sf_dir, SEG), SEG)
+    return P.annual_metrics(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG)
 
 
 # --------------------------------------------------------------------------- bridge
@@ -72,7 +72,7 @@ _YB_KEEP = ["year", "previous_year", "closes", "annual_crosscheck_status"]
 
 @register("bridge_yearly", sql=sql_finish(yearly_bridge_sql("c_mktsegment"), keep=["c_mktsegment", *_YB_KEEP]))
 def bridge_yearly(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG)
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return D.yearly_bridge(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
 
 

@@ -27,7 +27,7 @@ SELECT c_mktsegment, year, year0 AS previous_year, {_B['d_w']} AS delta_write_of
     AS closes
 FROM pairs""", keep=[_K, "year", "previous_year", "closes"]))
 def bridge_base_weighted(spark, sf_dir):
-    return D.base_weighted_bridge(FX.fact_panel(spark, sf_dir, SEG), SEG)
+    return D.base_weighted_bridge(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG)
 
 
 _E = S.inline_bridge("W0", "R0", "W1", "R1")
@@ -45,7 +45,7 @@ FROM (SELECT c_mktsegment,
 WHERE n = 2""", keep=[_K, "year_old", "year_new", "closes"]))
 def bridge_endpoint(spark, sf_dir):
     """1996 -> 2000 in one step; not the sum of the four yearly splits."""
-    return D.bridge_between(FX.fact_panel(spark, sf_dir, SEG), SEG, 1996, 2000)
+    return D.bridge_between(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG, 1996, 2000)
 
 
 @register("bridge_shape", sql=sql_finish(_with(*_BASE) + f"""
@@ -53,7 +53,7 @@ SELECT c_mktsegment, year, {_B['volume']} AS volume, {_B['rate']} AS rate,
   CASE WHEN abs({_B['rate']}) > abs({_B['volume']}) THEN 'rate-led' ELSE 'volume-led' END AS shape
 FROM pairs""", keep=[_K, "year", "shape"]))
 def bridge_shape(spark, sf_dir):
-    b = D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG), SEG)
+    b = D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG)
     return b.select(*SEG, "year", "volume", "rate", D.shape_label("volume", "rate").alias("shape"))
 
 
@@ -107,7 +107,7 @@ FROM (SELECT *, {_B['d_base']} * (P0 / 100 + P / 100) / 2 AS vol_p,
         (P / 100 - P0 / 100) * (R0 + R) / 2 AS rate_p
       FROM pairs WHERE P0 IS NOT NULL AND P IS NOT NULL) AS x""", keep=[_K, "year", "previous_year"]))
 def published_basis(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG)
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return D.bridge_with_rates(panel, FX.published_annual(spark, sf_dir, SEG), SEG)
 
 
@@ -190,7 +190,7 @@ FROM e WHERE variant <> 'published' OR (pub_old IS NOT NULL AND pub_new IS NOT N
                                         keep=[_K, "variant_id", "variant_order", "variant", "window_old",
                                               "window_new"]))
 def sensitivity_table(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG)
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return sensitivity(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
 
 
@@ -212,7 +212,7 @@ FROM (SELECT c_mktsegment, year, step, step_order, value,
             UNION ALL SELECT c_mktsegment, year, 'end', 4, write_offs FROM br) AS s) AS t""",
     keep=[_K, "year", "step", "step_order"]))
 def waterfall_steps(spark, sf_dir):
-    return C.waterfall(D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG), SEG), SEG)
+    return C.waterfall(D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG), SEG)
 
 
 @register("signed_stack", sql=sql_finish(_WF_SQL + """
@@ -226,7 +226,7 @@ FROM (SELECT *, CASE WHEN value >= 0
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS t""",
     keep=[_K, "year", "part", "part_order"]))
 def signed_stack(spark, sf_dir):
-    return C.signed_stack(D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG), SEG), SEG)
+    return C.signed_stack(D.yearly_bridge(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG), SEG)
 
 
 
@@ -252,7 +252,7 @@ def comparison_pairs(spark, sf_dir):
     priority (the peak often coincides with one of the first two)."""
     from ..operators.sensitivity import comparison_pairs as pairs
     keys = ["c_nationkey"]
-    panel = FX.fact_panel(spark, sf_dir, keys)
+    panel = FX.fact_panel(spark, sf_dir, keys, line_level=False)
     return pairs(panel, keys, FX.published_annual(spark, sf_dir, keys))
 
 
@@ -270,5 +270,5 @@ def sensitivity_status(spark, sf_dir):
     published rates for an adjacent pair)."""
     from ..operators.sensitivity import sensitivity_status as status
     keys = ["o_custkey"]
-    panel = FX.fact_panel(spark, sf_dir, keys)
+    panel = FX.fact_panel(spark, sf_dir, keys, line_level=False)
     return status(panel, keys, FX.published_annual(spark, sf_dir, keys))

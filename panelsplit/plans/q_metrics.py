@@ -30,7 +30,7 @@ WINDOW w AS (PARTITION BY {key} ORDER BY period ROWS BETWEEN 3 PRECEDING AND CUR
 
 @register("trailing4_full", sql=sql_finish(_trailing_sql("c_mktsegment", _SEGP), keep=["c_mktsegment", "period"]))
 def trailing4_full(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return M.trailing_sum(p, SEG, "write_offs").select(*SEG, "period", "write_offs", "write_offs_4q",
                                                        "write_offs_4q_contiguous")
 
@@ -38,7 +38,7 @@ def trailing4_full(spark, sf_dir):
 @register("trailing4_range", sql=sql_finish(_trailing_sql("o_custkey", _CUSTP), keep=["o_custkey", "period"]))
 def trailing4_range(spark, sf_dir):
     """Sparse customer panel: gaps make ROWS and RANGE windows differ."""
-    p = FX.fact_panel(spark, sf_dir, CUST)
+    p = FX.fact_panel(spark, sf_dir, CUST, line_level=False)
     return M.trailing_sum(p, CUST, "write_offs").select(*CUST, "period", "write_offs", "write_offs_4q",
                                                         "write_offs_4q_contiguous")
 
@@ -69,7 +69,7 @@ SELECT c_mktsegment, period, rate_pct,
   CASE WHEN {_QIDX} - lag({_QIDX}, 4) OVER w = 4 THEN rate_pct - lag(rate_pct, 4) OVER w END AS rate_pct_yoy_checked
 FROM panel WINDOW w AS (PARTITION BY c_mktsegment ORDER BY period)""", keep=["c_mktsegment", "period"]))
 def yoy_rate_change(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return M.yoy_change(p, SEG, "rate_pct").select(*SEG, "period", "rate_pct", "rate_pct_yoy",
                                                    "rate_pct_yoy_checked")
 
@@ -80,7 +80,7 @@ SELECT c_mktsegment, period, seq,
 FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY period) AS seq FROM panel) AS s
 WINDOW k AS (PARTITION BY c_mktsegment)""", keep=["c_mktsegment", "period", "seq", "seq_is_permutation"]))
 def seq_number(spark, sf_dir):
-    p = M.sequence_number(FX.fact_panel(spark, sf_dir, SEG), SEG)
+    p = M.sequence_number(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG)
     k = Window.partitionBy(*SEG)
     ok = (F.min("seq").over(k) == 1) & (F.max("seq").over(k) == F.count(F.lit(1)).over(k))
     return p.select(*SEG, "period", "seq", ok.alias("seq_is_permutation"))
@@ -100,7 +100,7 @@ LEFT JOIN (
   GROUP BY ALL) AS c ON c.c_mktsegment = a.c_mktsegment AND c.seq = a.seq""",
     keep=["c_mktsegment", "period", "seq", "matches_window"]))
 def trailing4_by_seq(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     t = M.trailing_sum(p, SEG, "write_offs", name="t")
     s = M.trailing_by_sequence(t, SEG, "write_offs")
     return s.select(*SEG, "period", "seq", "write_offs_4q_by_seq",
@@ -115,7 +115,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY period) AS se
       FROM panel WINDOW w4 AS (PARTITION BY o_custkey ORDER BY period ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS x
 GROUP BY o_custkey""", keep=["o_custkey", "first_full_seq", "first_full_period", "periods"]))
 def first_full_window(spark, sf_dir):
-    return M.first_full_window(FX.fact_panel(spark, sf_dir, CUST), CUST, "write_offs")
+    return M.first_full_window(FX.fact_panel(spark, sf_dir, CUST, line_level=False), CUST, "write_offs")
 
 
 @register("recent_periods", sql=sql_finish(_with(_SEGP) + f"""
@@ -125,7 +125,7 @@ SELECT c_mktsegment, period, {_QIDX} AS period_index,
 FROM (SELECT *, max({_QIDX}) OVER (PARTITION BY c_mktsegment) AS latest FROM panel) AS x
 WHERE {_QIDX} >= latest - 3""", keep=["c_mktsegment", "period", "period_index", "period_label"]))
 def recent_periods(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return M.recent_periods(p, SEG).select(*SEG, "period", "period_index", "period_label", "write_offs", "rate_pct")
 
 
@@ -144,7 +144,7 @@ SELECT *, loss / avg_balance AS ratio, loss / avg_balance * 100 * 4 / nq AS rate
   GROUP BY ALL) AS s""", keep=["c_mktsegment", "window_id", "nq", "expected", "first_period", "last_period",
                                 "complete"]))
 def window_stats(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     years = P.with_year(p).select(*SEG, "year").distinct()
     return P.window_stats(p, P.year_windows(years, SEG), SEG)
 
@@ -155,7 +155,7 @@ SELECT p.c_mktsegment, CAST(quarter(period) AS BIGINT) AS quarter_of_year,
 FROM panel p SEMI JOIN annual a ON a.c_mktsegment = p.c_mktsegment AND a.year = year(p.period)
 GROUP BY ALL""", keep=["c_mktsegment", "quarter_of_year", "years"]))
 def seasonal_means(spark, sf_dir):
-    return M.seasonal_means(FX.fact_panel(spark, sf_dir, SEG), SEG, "rate_pct")
+    return M.seasonal_means(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG, "rate_pct")
 
 
 _MEASURES = ["principal", "supplementary", "billings", "rollover", "write_offs", "rate_pct"]
@@ -186,7 +186,7 @@ FROM (SELECT c_mktsegment, arg_max({'p0': p0, 'p': period, 'v0': v0, 'v': v}, {'
       WHERE p0 IS NOT NULL AND v IS NOT NULL AND v0 IS NOT NULL GROUP BY c_mktsegment) AS y""",
     keep=["c_mktsegment", "from_period", "to_period"]))
 def largest_move(spark, sf_dir):
-    return M.largest_move(FX.fact_panel(spark, sf_dir, SEG), SEG, "principal")
+    return M.largest_move(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG, "principal")
 
 
 @register("decline_count", sql=sql_finish(_with(_SEGP) + """
@@ -222,7 +222,7 @@ LEFT JOIN (SELECT c_mktsegment,
            FROM panel WHERE write_offs IS NOT NULL GROUP BY c_mktsegment) AS t
   ON t.c_mktsegment = a.c_mktsegment""", keep=["c_mktsegment", "peak_year", "peak_basis", "max_loss_period"]))
 def peak_period(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
     return M.peak_period(p, SEG, FX.published_annual(spark, sf_dir, SEG))
 
 
@@ -236,7 +236,7 @@ FROM (SELECT c_mktsegment, year, rate_pct_recomputed AS r,
       FROM annual WINDOW w AS (PARTITION BY c_mktsegment ORDER BY year)) AS x
 WHERE year = last AND y1 = year - 1 AND y2 = year - 2""", keep=["c_mktsegment", "year"]))
 def rate_path(spark, sf_dir):
-    return M.rate_path(FX.fact_panel(spark, sf_dir, SEG), SEG)
+    return M.rate_path(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG)
 
 
 @register("per_unit", sql=sql_finish(_with(_SEGP) + """
