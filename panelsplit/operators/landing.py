@@ -56,8 +56,10 @@ def header_checks(files: DataFrame, id_col: str, kind: str, min_labels: int) ->
 def row_checks(files: DataFrame, lines: DataFrame, expected_series: Sequence[str],
                allow_na: bool) -> DataFrame:
     """Per file: rows whose value count differs from the header width,
-    non-numeric cells ('na' allowed in annual files), and whether the series
-    rows are exactly the expected multiset."""
+    non-numeric cells ('na' allowed in annual files), and the number of
+    series whose row count differs from the expected multiset (an equi-join
+    of per-(file, series) counts against the expected counts; nothing is
+    gathered per file)."""
     width = files.select("path", F.size(F.split("header", ",")).alias("width"), "header")
     body = (lines.join(width, "path").where(F.col("line") != F.col("header"))
             .where(F.trim("line") != "")
@@ -65,12 +67,15 @@ def row_checks(files: DataFrame, lines: DataFrame, expected_series: Sequence[str
     ok_cell = (lambda x: x.rlike(NUMERIC_TEXT_PATTERN) | (x == "na")) if allow_na \
         else (lambda x: x.rlike(NUMERIC_TEXT_PATTERN))
     cells = F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(1)))
-    expected = F.array_sort(F.array(*[F.lit(s) for s in expected_series]))
     agg = body.groupBy("path").agg(
         F.count_if(F.size("f") != F.col("width")).alias("w"),
-        F.sum(F.size(F.filter(cells, lambda x: ~ok_cell(x)))).alias("n"),
-        F.array_sort(F.collect_list(F.element_at("f", 1))).alias("series"))
-    agg = agg.withColumn("s", F.when(F.col("series") == expected, 0).otherwise(1))
+        F.sum(F.size(F.filter(cells, lambda x: ~ok_cell(x)))).alias("n"))
+    found = body.groupBy("path", F.element_at("f", 1).alias("series")).agg(F.count(F.lit(1)).alias("found"))
+    wanted = (files.select("path", F.explode(F.array(*[F.lit(x) for x in expected_series])).alias("series"))
+              .groupBy("path", "series").agg(F.count(F.lit(1)).alias("wanted")))
+    series_diff = (found.join(wanted, ["path", "series"], "full_outer")
+                   .groupBy("path").agg(F.count_if(~F.col("found").eqNullSafe(F.col("wanted"))).alias("s")))
+    agg = agg.join(series_diff, "path", "full_outer").fillna(0, ["w", "n", "s"])
     return agg.select("path", F.inline(F.array(
         F.struct(F.lit("row width").alias("check_name"), F.col("w").cast("bigint").alias("violations")),
         F.struct(F.lit("numeric cells").alias("check_name"), F.col("n").cast("bigint").alias("violations")),
@@ -79,7 +84,8 @@ def row_checks(files: DataFrame, lines: DataFrame, expected_series: Sequence[str
 
 def profile_files(spark: SparkSession, glob: str, kind: str) -> DataFrame:
     """Manifest rows: path, bytes, sha256, data rows, label count, min/max
-    label, series (sorted)."""
+    label index, distinct series and an order-insensitive hash of the series
+    names (aggregates only; no per-file lists)."""
     files = file_bytes(spark, glob)
     lines = file_lines(spark, glob)
     idx = _label_index(kind)
@@ -91,8 +97,11 @@ def profile_files(spark: SparkSession, glob: str, kind: str) -> DataFrame:
                      F.array_max(F.transform(labels, idx)).alias("label_max_idx"))
     body = (lines.join(files.select("path", "header"), "path").where(F.col("line") != F.col("header"))
             .where(F.trim("line") != "")
+            .withColumn("series", F.split("line", ",")[0])
             .groupBy("path").agg(F.count(F.lit(1)).alias("rows"),
-                                 F.array_sort(F.collect_list(F.split("line", ",")[0])).alias("series")))
+                                 F.count_distinct("series").alias("series_count"),
+                                 F.sum(F.xxhash64("series").cast("decimal(38,0)")).cast("string")
+                                 .alias("series_hash")))
     return h.join(body, "path", "left").drop("header")
 
 
