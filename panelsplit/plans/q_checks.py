@@ -10,6 +10,7 @@ from ..operators import reconcile as RC
 from ..operators import reshape as RS
 from ..operators.checks import CHECK_NAMES
 from ..operators.panel import entity_window
+from ..session import cut_lineage
 from . import facts as FX
 from . import sqlparts as S
 from .edge import sql_finish
@@ -197,7 +198,9 @@ _WIDE_SERIES = {**_MAPPING, "orders_value": "billings"}
 
 
 def _wide(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, NAT)
+    # The pivot runs two jobs (label discovery, then the pivot): checkpoint the
+    # panel into the shared folder so the facts are aggregated once.
+    p = cut_lineage(FX.fact_panel(spark, sf_dir, NAT))
     return RS.pivot_wide(RS.panel_to_long(p, NAT, _WIDE_SERIES), NAT)
 
 

@@ -45,7 +45,7 @@ def landing_checks(spark, sf_dir):
     re-read and compared) and re-staging (cells staged from the files equal
     the panel's cells)."""
     base = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
-    panel = FX.fact_panel(spark, sf_dir, SEG)
+    panel = cut_lineage(FX.fact_panel(spark, sf_dir, SEG))       # pivot + re-staging reuse it
     q_wide = RS.pivot_wide(RS.panel_to_long(panel, SEG, {m: m for m in _MEASURES}), SEG)
     FS.write_wide(_newest_first(q_wide, [*SEG, "series"]), f"{base}/quarterly", SEG[0])
     pub = FX.published_annual(spark, sf_dir, SEG)
