@@ -111,7 +111,9 @@ def gated_write(spark, sf_dir):
     cols = ["c_mktsegment", "year", "previous_year", "write_offs", "avg_rollover", "rate_pct",
             "rate_pct_pub_annual", "delta_write_offs", "volume", "rate", "interaction", "check",
             "annual_crosscheck_status"]
-    bridge.select(*cols).write.mode("overwrite").option("header", True).csv(f"{out}/bridge")
+    # result file in key order (range-partitioned sort: the only ORDER BY, at the output edge)
+    (bridge.select(*cols).orderBy("c_mktsegment", "year")
+     .write.mode("overwrite").option("header", True).csv(f"{out}/bridge"))
     back_p = spark.read.parquet(f"{out}/panel")
     back_b = spark.read.option("header", True).csv(f"{out}/bridge")
     res = []
