@@ -56,8 +56,7 @@ def quality_checks(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFA
         F.count_if("_gap").alias("c3"),
         F.count_if((F.col(p) < F.lit(str(floor)).cast("date")) | (F.col(p) > as_of_col)).alias("c4"),
         F.when(F.count(F.lit(1)) >= min_periods, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("c5"),
-        F.count_if(F.lit(False)
-                   | (F.col(counts[0]) <= 0) | (F.col(counts[1]) <= 0)
+        F.count_if((F.col(counts[0]) <= 0) | (F.col(counts[1]) <= 0)
                    | (F.col(counts[0]) != F.round(counts[0])) | (F.col(counts[1]) != F.round(counts[1])))
         .alias("c6"),
         F.count_if((F.col(spec.billings) <= 0) | (F.col(spec.balance) <= 0) | (F.col(spec.loss) <= 0)).alias("c7"),

@@ -25,14 +25,14 @@ _MEASURES = ["principal", "supplementary", "billings", "rollover", "write_offs",
 FLOOR, AS_OF, MIN_PERIODS = "1995-01-01", "2000-12-31", 20
 
 
-def _checks_sql(key: str) -> str:
+def _checks_sql(key: str, as_of: str = AS_OF) -> str:
     nulls = " OR ".join(f"{m} IS NULL" for m in _MEASURES)
     finite = " OR ".join(f"NOT isfinite(CAST({m} AS DOUBLE))" for m in _MEASURES)
     agg = f"""agg AS (SELECT {key},
   count(*) FILTER (WHERE {nulls}) AS c1,
   count(*) FILTER (WHERE period = prev AND (prev2 IS NULL OR prev2 <> period)) AS c2,
   count(*) FILTER (WHERE prev IS NOT NULL AND period <> CAST(prev + INTERVAL 3 MONTH AS DATE)) AS c3,
-  count(*) FILTER (WHERE period < DATE '{FLOOR}' OR period > DATE '{AS_OF}') AS c4,
+  count(*) FILTER (WHERE period < DATE '{FLOOR}' OR period > DATE '{as_of}') AS c4,
   CAST(CASE WHEN count(*) >= {MIN_PERIODS} THEN 0 ELSE 1 END AS BIGINT) AS c5,
   count(*) FILTER (WHERE principal <= 0 OR supplementary <= 0 OR principal <> round(principal)
                    OR supplementary <> round(supplementary)) AS c6,
@@ -63,6 +63,57 @@ def quality_checks_segment(spark, sf_dir):
     return K.quality_checks(p, SEG, floor=FLOOR, as_of=AS_OF, min_periods=MIN_PERIODS)
 
 
+def _damaged(panel):
+    """A damaged twin of every segment ('damaged:<segment>') derived from the
+    real panel by period rank: 1 fractional count, 2 NULL balance, 3 NaN rate,
+    4 negative billings, 5 duplicated row, 6 removed (gap), 7 +Inf loss,
+    8 rate above 50, 9 -Inf count."""
+    from pyspark.sql import Window
+    rk = F.row_number().over(Window.partitionBy(*SEG).orderBy("period"))
+    d = panel.select(F.concat(F.lit("damaged:"), F.col(SEG[0])).alias(SEG[0]), "period",
+                     *[F.col(m).cast("double").alias(m) for m in _MEASURES], rk.alias("rk"))
+    d = d.withColumns({
+        "principal": F.when(F.col("rk") == 1, F.col("principal") + 0.5)
+                      .when(F.col("rk") == 9, F.lit(float("-inf"))).otherwise(F.col("principal")),
+        "rollover": F.when(F.col("rk") == 2, F.lit(None).cast("double")).otherwise(F.col("rollover")),
+        "rate_pct": F.when(F.col("rk") == 3, F.lit(float("nan")))
+                     .when(F.col("rk") == 8, F.lit(60.0)).otherwise(F.col("rate_pct")),
+        "billings": F.when(F.col("rk") == 4, -F.col("billings")).otherwise(F.col("billings")),
+        "write_offs": F.when(F.col("rk") == 7, F.lit(float("inf"))).otherwise(F.col("write_offs")),
+    })
+    d = d.where(F.col("rk") != 6).unionByName(d.where(F.col("rk") == 5))
+    clean = panel.select(*SEG, "period", *[F.col(m).cast("double").alias(m) for m in _MEASURES])
+    return clean.unionByName(d.drop("rk"))
+
+
+_DAMAGED_AS_OF = "2001-12-31"
+
+
+@register("quality_checks_damaged", sql=_checks_sql(_K, _DAMAGED_AS_OF).replace(
+    S.panel_cte([_K]), S.panel_cte([_K], name="base") + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY period) AS rk FROM base),
+dmg AS (SELECT 'damaged:' || c_mktsegment AS c_mktsegment, period,
+    CASE WHEN rk = 1 THEN CAST(principal AS DOUBLE) + 0.5 WHEN rk = 9 THEN '-Infinity'::DOUBLE
+         ELSE CAST(principal AS DOUBLE) END AS principal,
+    CAST(supplementary AS DOUBLE) AS supplementary,
+    CASE WHEN rk = 4 THEN -CAST(billings AS DOUBLE) ELSE CAST(billings AS DOUBLE) END AS billings,
+    CASE WHEN rk = 2 THEN NULL ELSE CAST(rollover AS DOUBLE) END AS rollover,
+    CASE WHEN rk = 7 THEN 'Infinity'::DOUBLE ELSE CAST(write_offs AS DOUBLE) END AS write_offs,
+    CASE WHEN rk = 3 THEN 'NaN'::DOUBLE WHEN rk = 8 THEN 60.0 ELSE rate_pct END AS rate_pct, rk
+  FROM ranked),
+panel AS (
+  SELECT c_mktsegment, period, CAST(principal AS DOUBLE) AS principal, CAST(supplementary AS DOUBLE) AS supplementary,
+    CAST(billings AS DOUBLE) AS billings, CAST(rollover AS DOUBLE) AS rollover,
+    CAST(write_offs AS DOUBLE) AS write_offs, rate_pct FROM base
+  UNION ALL SELECT * EXCLUDE (rk) FROM dmg WHERE rk <> 6
+  UNION ALL SELECT * EXCLUDE (rk) FROM dmg WHERE rk = 5)"""))
+def quality_checks_damaged(spark, sf_dir):
+    """The nine checks on the segment panel plus its damaged twins: every
+    check except coverage must fire on the twins and only there."""
+    panel = FX.fact_panel(spark, sf_dir, SEG)
+    return K.quality_checks(_damaged(panel), SEG, floor=FLOOR, as_of=_DAMAGED_AS_OF, min_periods=MIN_PERIODS)
+
+
 _PUB = [S.panel_cte(SEG), S.annual_cte(SEG), S.published_cte(SEG)]
 
 
