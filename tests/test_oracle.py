@@ -10,8 +10,7 @@ from check_oracle import _hash
 from panelsplit.sources.tables import TABLES, table_path
 from tests.conftest import SF_SMALL
 
-NAMES = ["panel_quarterly", "bridge_yearly", "book_split", "sensitivity", "quality_checks_segment",
-         "unpivot_stage", "trailing4_range", "published_basis", "hand_check", "audit_findings"]
+NAMES = sorted(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
