@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import money
 from ..functions.periods import quarter_start
 from ..operators.panel import build_panel, cluster_by_entity
+from ..session import cut_lineage
 from ..sources.tables import read_table, spread_small_input
 
 LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
@@ -110,13 +111,16 @@ def published_rate(w, b) -> Column:
 
 
 def fact_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str],
-               clustered: bool = True, since: str | None = None, line_level: bool = True) -> DataFrame:
+               clustered: bool = True, since: str | None = None, line_level: bool = True,
+               materialize: bool = False) -> DataFrame:
     """(keys, period) panel of the order book (periods from ``since`` on).
 
     ``line_level=False`` builds it from order-level facts (lines
     pre-aggregated per order): same numbers, about a quarter of the join
     shuffle, but without the supplier count, so only for consumers that do
-    not need ``supplementary``. Line-level keys force the line-level path."""
+    not need ``supplementary``. Line-level keys force the line-level path.
+    ``materialize`` checkpoints the panel into the shared folder: for plans
+    that read it from several branches (computed once, lineage cut)."""
     if line_level or _line_keys(keys):
         facts = order_facts(spark, sf_dir, keys, since)
         aggs = fact_measures()
@@ -126,7 +130,8 @@ def fact_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str],
                 "rollover": F.sum("rb"), "write_offs": F.sum("w")}
     panel = build_panel(facts, keys, quarter_start("o_orderdate"), aggs,
                         post={"rate_pct": published_rate("write_offs", "billings")})
-    return cluster_by_entity(panel, keys) if clustered else panel
+    panel = cluster_by_entity(panel, keys) if clustered else panel
+    return cut_lineage(panel) if materialize else panel
 
 
 def year_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
@@ -149,13 +154,14 @@ def year_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFra
                  F.max(q4).alias("has_q4")))
 
 
-def published_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
+def published_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str],
+                     materialize: bool = False) -> DataFrame:
     """Independent year-grain aggregate straight from the facts (the second
     source): flows and the rate only for years with four quarters of orders,
     stocks at year end."""
     agg = year_facts(spark, sf_dir, keys)
     full = F.col("nq") == 4
-    return agg.select(
+    out = agg.select(
         *keys, "year",
         F.when(full, F.col("b").cast("double")).alias("pub_billings"),
         F.when(full, F.col("w").cast("double")).alias("pub_write_offs"),
@@ -163,6 +169,7 @@ def published_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> D
         F.when(F.col("has_q4"), F.col("p_ye").cast("double")).alias("pub_principal_ye"),
         F.when(full, F.round(F.try_divide(F.col("w").cast("double") * 100,
                                           F.col("rb").cast("double") / 4), 1)).alias("pub_rate_pct"))
+    return cut_lineage(out) if materialize else out
 
 
 def raw_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_label
-from .registry import ORACLE, QUERIES, register
+from ..operators import checks as K
+from ..operators import metrics as M
+from ..operators import reconcile as RC
+from . import facts as FX
+from .q_checks import AS_OF, FLOOR, MIN_PERIODS
+from .q_checks import _MEASURES as MEASURES
+from .registry import ORACLE, SEG, register
 
 _K = "c_mktsegment"
 
@@ -36,23 +42,32 @@ def _audit_sql() -> str:
 
 @register("audit_findings", sql=_audit_sql())
 def audit_findings(spark, sf_dir):
-    q = {n: QUERIES[n](spark, sf_dir) for n in ("quality_checks_segment", "series_profile",
-                                                 "flow_stock_reconcile", "seasonal_means",
-                                                 "largest_move", "decline_count")}
+    """One checkpointed panel feeds all six finding groups (the panel is
+    computed once; each group is a small aggregate over it)."""
+    panel = FX.fact_panel(spark, sf_dir, SEG, materialize=True)
+    pub = FX.published_annual(spark, sf_dir, SEG)
+    q = {
+        "checks": K.quality_checks(panel, SEG, floor=FLOOR, as_of=AS_OF, min_periods=MIN_PERIODS),
+        "profile": M.series_profile(panel, SEG, MEASURES),
+        "reconcile": RC.flow_stock_reconcile(panel, pub, SEG),
+        "seasonal": M.seasonal_means(panel, SEG, "rate_pct"),
+        "move": M.largest_move(panel, SEG, "principal"),
+        "decline": M.decline_count(panel, SEG, "supplementary"),
+    }
     row = lambda df, finding, subject, value: df.select(
         _K, F.lit(finding) if isinstance(finding, str) else finding,
         F.lit(subject) if isinstance(subject, str) else subject, value.cast("double"))
     parts = [
-        row(q["quality_checks_segment"], F.concat(F.lit("check: "), F.col("check_name")), "", F.col("violations")),
-        row(q["series_profile"], "series min", F.col("series"), F.col("min_value")),
-        row(q["series_profile"], "series max", F.col("series"), F.col("max_value")),
-        row(q["flow_stock_reconcile"], "max flow gap", "annual", F.col("max_flow_gap")),
-        row(q["flow_stock_reconcile"], "max stock gap", "year end", F.col("max_stock_gap")),
-        row(q["seasonal_means"], "seasonal mean rate_pct",
+        row(q["checks"], F.concat(F.lit("check: "), F.col("check_name")), "", F.col("violations")),
+        row(q["profile"], "series min", F.col("series"), F.col("min_value")),
+        row(q["profile"], "series max", F.col("series"), F.col("max_value")),
+        row(q["reconcile"], "max flow gap", "annual", F.col("max_flow_gap")),
+        row(q["reconcile"], "max stock gap", "year end", F.col("max_stock_gap")),
+        row(q["seasonal"], "seasonal mean rate_pct",
             F.concat(F.lit("Q"), F.col("quarter_of_year").cast("string")), F.col("mean_rate_pct")),
-        row(q["largest_move"], "largest principal move %",
+        row(q["move"], "largest principal move %",
             F.concat(period_label("from_period"), F.lit(" → "), period_label("to_period")), F.col("change_pct")),
-        row(q["decline_count"], "declining years", "supplementary", F.col("declining_years")),
+        row(q["decline"], "declining years", "supplementary", F.col("declining_years")),
     ]
     out = parts[0].toDF(_K, "finding", "subject", "value")
     for p in parts[1:]:

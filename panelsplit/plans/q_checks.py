@@ -110,7 +110,7 @@ panel AS (
 def quality_checks_damaged(spark, sf_dir):
     """The nine checks on the segment panel plus its damaged twins: every
     check except coverage must fire on the twins and only there."""
-    panel = FX.fact_panel(spark, sf_dir, SEG)
+    panel = FX.fact_panel(spark, sf_dir, SEG, materialize=True)
     return K.quality_checks(_damaged(panel), SEG, floor=FLOOR, as_of=_DAMAGED_AS_OF, min_periods=MIN_PERIODS)
 
 
@@ -230,7 +230,7 @@ FROM sel s LEFT JOIN lab l ON l.c_mktsegment = s.c_mktsegment AND l.label = s.se
 def lookup_default(spark, sf_dir):
     """Look up each selected period label (every panel label plus the
     quarter after the last one) with a default for unknown labels."""
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False).withColumn("label", period_label("period"))
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True).withColumn("label", period_label("period"))
     nxt = p.groupBy(*SEG).agg(F.add_months(F.max("period"), 3).alias("nxt"))
     sel = p.select(*SEG, F.col("label").alias("selection")).unionByName(
         nxt.select(*SEG, period_label("nxt").alias("selection")))

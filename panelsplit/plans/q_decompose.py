@@ -190,8 +190,8 @@ FROM e WHERE variant <> 'published' OR (pub_old IS NOT NULL AND pub_new IS NOT N
                                         keep=[_K, "variant_id", "variant_order", "variant", "window_old",
                                               "window_new"]))
 def sensitivity_table(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
-    return sensitivity(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+    return sensitivity(panel, SEG, FX.published_annual(spark, sf_dir, SEG, materialize=True))
 
 
 _WF_SQL = _with(*_BASE, f"""br AS (SELECT c_mktsegment, year, W AS write_offs, {_B['d_w']} AS delta_write_offs,
@@ -270,5 +270,5 @@ def sensitivity_status(spark, sf_dir):
     published rates for an adjacent pair)."""
     from ..operators.sensitivity import sensitivity_status as status
     keys = ["o_custkey"]
-    panel = FX.fact_panel(spark, sf_dir, keys, line_level=False)
-    return status(panel, keys, FX.published_annual(spark, sf_dir, keys))
+    panel = FX.fact_panel(spark, sf_dir, keys, line_level=False, materialize=True)
+    return status(panel, keys, FX.published_annual(spark, sf_dir, keys, materialize=True))

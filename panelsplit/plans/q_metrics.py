@@ -100,7 +100,7 @@ LEFT JOIN (
   GROUP BY ALL) AS c ON c.c_mktsegment = a.c_mktsegment AND c.seq = a.seq""",
     keep=["c_mktsegment", "period", "seq", "matches_window"]))
 def trailing4_by_seq(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
     t = M.trailing_sum(p, SEG, "write_offs", name="t")
     s = M.trailing_by_sequence(t, SEG, "write_offs")
     return s.select(*SEG, "period", "seq", "write_offs_4q_by_seq",
@@ -144,7 +144,7 @@ SELECT *, loss / avg_balance AS ratio, loss / avg_balance * 100 * 4 / nq AS rate
   GROUP BY ALL) AS s""", keep=["c_mktsegment", "window_id", "nq", "expected", "first_period", "last_period",
                                 "complete"]))
 def window_stats(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
     years = P.with_year(p).select(*SEG, "year").distinct()
     return P.window_stats(p, P.year_windows(years, SEG), SEG)
 
@@ -155,7 +155,7 @@ SELECT p.c_mktsegment, CAST(quarter(period) AS BIGINT) AS quarter_of_year,
 FROM panel p SEMI JOIN annual a ON a.c_mktsegment = p.c_mktsegment AND a.year = year(p.period)
 GROUP BY ALL""", keep=["c_mktsegment", "quarter_of_year", "years"]))
 def seasonal_means(spark, sf_dir):
-    return M.seasonal_means(FX.fact_panel(spark, sf_dir, SEG, line_level=False), SEG, "rate_pct")
+    return M.seasonal_means(FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True), SEG, "rate_pct")
 
 
 _MEASURES = ["principal", "supplementary", "billings", "rollover", "write_offs", "rate_pct"]
@@ -222,7 +222,7 @@ LEFT JOIN (SELECT c_mktsegment,
            FROM panel WHERE write_offs IS NOT NULL GROUP BY c_mktsegment) AS t
   ON t.c_mktsegment = a.c_mktsegment""", keep=["c_mktsegment", "peak_year", "peak_basis", "max_loss_period"]))
 def peak_period(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
     return M.peak_period(p, SEG, FX.published_annual(spark, sf_dir, SEG))
 
 
