@@ -29,10 +29,17 @@ def period_columns(wide: DataFrame, ids: Sequence[str]) -> list[str]:
 
 
 def unpivot_periods(wide: DataFrame, ids: Sequence[str], keep_nulls: bool = False) -> DataFrame:
-    """(ids..., label, value STRING); NULL cells dropped unless ``keep_nulls``."""
+    """(ids..., label, value STRING); NULL cells dropped unless ``keep_nulls``.
+
+    Written as ``inline(array(struct(label, value), ...))`` rather than
+    ``DataFrame.unpivot``: both are one narrow generator step, but the
+    ``Expand`` behind ``unpivot`` trips a whole-stage codegen compile error
+    (Spark 4.1) when the cell tests downstream share subexpressions, and the
+    stage then falls back to interpreted execution."""
     cols = period_columns(wide, ids)
-    long = (wide.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-            .unpivot(list(ids), cols, "label", "value"))
+    cells = F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"`{c}`").cast("string").alias("value"))
+                      for c in cols])
+    long = wide.select(*ids, F.inline(cells))
     return long if keep_nulls else long.where(F.col("value").isNotNull())
 
 
