@@ -45,7 +45,7 @@ def audit_findings(spark, sf_dir):
     """One checkpointed panel feeds all six finding groups (the panel is
     computed once; each group is a small aggregate over it)."""
     panel = FX.fact_panel(spark, sf_dir, SEG, materialize=True)
-    pub = FX.published_annual(spark, sf_dir, SEG)
+    pub = FX.published_annual(panel, SEG)
     q = {
         "checks": K.quality_checks(panel, SEG, floor=FLOOR, as_of=AS_OF, min_periods=MIN_PERIODS),
         "profile": M.series_profile(panel, SEG, MEASURES),

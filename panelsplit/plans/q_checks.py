@@ -123,8 +123,8 @@ SELECT *, comparable_years >= 1 AND max_abs_diff <= 0.05 AS ok FROM (
   FROM annual a JOIN published p ON p.c_mktsegment = a.c_mktsegment AND p.year = a.year
   WHERE pub_rate_pct IS NOT NULL GROUP BY a.c_mktsegment) AS x""", keep=[_K, "comparable_years", "ok"]))
 def rate_reconcile(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
-    return RC.rate_reconcile(p, FX.published_annual(spark, sf_dir, SEG), SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+    return RC.rate_reconcile(p, FX.published_annual(p, SEG), SEG)
 
 
 @register("flow_stock_reconcile", sql=sql_finish(_with(*_PUB) + """
@@ -143,8 +143,8 @@ FROM (SELECT q.c_mktsegment,
         AND pub_principal_ye IS NOT NULL
       GROUP BY q.c_mktsegment) AS x""", keep=[_K, "overlap_years", "flows_ok", "stocks_ok"]))
 def flow_stock_reconcile(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
-    return RC.flow_stock_reconcile(p, FX.published_annual(spark, sf_dir, SEG), SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+    return RC.flow_stock_reconcile(p, FX.published_annual(p, SEG), SEG)
 
 
 @register("hand_check", sql=sql_finish(_with(*_PUB) + """
@@ -191,8 +191,8 @@ ANTI JOIN lagged l USING (c_mktsegment, year)""")
 def source_overlap(spark, sf_dir):
     """The published source lags one year (its latest usable year withheld):
     the complete panel years whose cross-check is pending."""
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
-    pub = FX.published_annual(spark, sf_dir, SEG)
+    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+    pub = FX.published_annual(p, SEG)
     usable = pub.where(F.col("pub_billings").isNotNull() & F.col("pub_write_offs").isNotNull()
                        & F.col("pub_rollover_ye").isNotNull() & F.col("pub_principal_ye").isNotNull()
                        & F.col("pub_rate_pct").isNotNull())

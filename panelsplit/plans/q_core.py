@@ -72,8 +72,8 @@ _YB_KEEP = ["year", "previous_year", "closes", "annual_crosscheck_status"]
 
 @register("bridge_yearly", sql=sql_finish(yearly_bridge_sql("c_mktsegment"), keep=["c_mktsegment", *_YB_KEEP]))
 def bridge_yearly(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
-    return D.yearly_bridge(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+    return D.yearly_bridge(panel, SEG, FX.published_annual(panel, SEG))
 
 
 @register("bridge_yearly_supplier", sql=sql_finish(yearly_bridge_sql("l_suppkey"), keep=["l_suppkey", *_YB_KEEP]))
@@ -81,5 +81,5 @@ def bridge_yearly_supplier(spark, sf_dir):
     """The flagship at scale: one entity per supplier (dense: every supplier
     has lines in every quarter), facts -> panel -> yearly bridge."""
     keys = ["l_suppkey"]
-    panel = FX.fact_panel(spark, sf_dir, keys)
-    return D.yearly_bridge(panel, keys, FX.published_annual(spark, sf_dir, keys))
+    panel = FX.fact_panel(spark, sf_dir, keys, materialize=True)
+    return D.yearly_bridge(panel, keys, FX.published_annual(panel, keys))

@@ -107,8 +107,8 @@ FROM (SELECT *, {_B['d_base']} * (P0 / 100 + P / 100) / 2 AS vol_p,
         (P / 100 - P0 / 100) * (R0 + R) / 2 AS rate_p
       FROM pairs WHERE P0 IS NOT NULL AND P IS NOT NULL) AS x""", keep=[_K, "year", "previous_year"]))
 def published_basis(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
-    return D.bridge_with_rates(panel, FX.published_annual(spark, sf_dir, SEG), SEG)
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+    return D.bridge_with_rates(panel, FX.published_annual(panel, SEG), SEG)
 
 
 def _sensitivity_sql(key: str = _K) -> str:
@@ -191,7 +191,7 @@ FROM e WHERE variant <> 'published' OR (pub_old IS NOT NULL AND pub_new IS NOT N
                                               "window_new"]))
 def sensitivity_table(spark, sf_dir):
     panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
-    return sensitivity(panel, SEG, FX.published_annual(spark, sf_dir, SEG, materialize=True))
+    return sensitivity(panel, SEG, FX.published_annual(panel, SEG))
 
 
 _WF_SQL = _with(*_BASE, f"""br AS (SELECT c_mktsegment, year, W AS write_offs, {_B['d_w']} AS delta_write_offs,
@@ -252,8 +252,8 @@ def comparison_pairs(spark, sf_dir):
     priority (the peak often coincides with one of the first two)."""
     from ..operators.sensitivity import comparison_pairs as pairs
     keys = ["c_nationkey"]
-    panel = FX.fact_panel(spark, sf_dir, keys, line_level=False)
-    return pairs(panel, keys, FX.published_annual(spark, sf_dir, keys))
+    panel = FX.fact_panel(spark, sf_dir, keys, line_level=False, materialize=True)
+    return pairs(panel, keys, FX.published_annual(panel, keys))
 
 
 _VARIANT_VALUES = ", ".join(f"('{v}')" for v in VARIANTS)
@@ -271,4 +271,4 @@ def sensitivity_status(spark, sf_dir):
     from ..operators.sensitivity import sensitivity_status as status
     keys = ["o_custkey"]
     panel = FX.fact_panel(spark, sf_dir, keys, line_level=False, materialize=True)
-    return status(panel, keys, FX.published_annual(spark, sf_dir, keys, materialize=True))
+    return status(panel, keys, FX.published_annual(panel, keys))

@@ -48,7 +48,7 @@ def landing_checks(spark, sf_dir):
     panel = cut_lineage(FX.fact_panel(spark, sf_dir, SEG))       # pivot + re-staging reuse it
     q_wide = RS.pivot_wide(RS.panel_to_long(panel, SEG, {m: m for m in _MEASURES}), SEG)
     FS.write_wide(_newest_first(q_wide, [*SEG, "series"]), f"{base}/quarterly", SEG[0])
-    pub = FX.published_annual(spark, sf_dir, SEG)
+    pub = FX.published_annual(panel, SEG)
     a_long = (pub.select(*SEG, F.col("year").cast("string").alias("label"),
                          *[plain_text(c).alias(s) for s, c in _PUB_SERIES.items()])
               .unpivot([*SEG, "label"], list(_PUB_SERIES), "series", "value"))
@@ -101,7 +101,7 @@ def gated_write(spark, sf_dir):
     panel = cut_lineage(FX.fact_panel(spark, sf_dir, SEG))
     K.gate(K.quality_checks(panel, SEG, floor="1995-01-01", as_of="2001-12-31", min_periods=20),
            "panel checks")
-    bridge = D.yearly_bridge(panel, SEG, FX.published_annual(spark, sf_dir, SEG))
+    bridge = D.yearly_bridge(panel, SEG, FX.published_annual(panel, SEG))
     K.gate(K.closure_violations(bridge, SEG), "bridge closure")
     out = scratch_path(spark, f"published-{uuid.uuid4().hex}")
     (panel.withColumns({"principal": F.col("principal").cast("bigint"),

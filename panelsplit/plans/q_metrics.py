@@ -223,7 +223,7 @@ LEFT JOIN (SELECT c_mktsegment,
   ON t.c_mktsegment = a.c_mktsegment""", keep=["c_mktsegment", "peak_year", "peak_basis", "max_loss_period"]))
 def peak_period(spark, sf_dir):
     p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
-    return M.peak_period(p, SEG, FX.published_annual(spark, sf_dir, SEG))
+    return M.peak_period(p, SEG, FX.published_annual(p, SEG))
 
 
 @register("rate_path", sql=sql_finish(_with(_SEGP, S.annual_cte(SEG)) + """
