@@ -40,6 +40,16 @@ def test_entity_windows_are_partitioned(spark):
 
 
 def test_column_pruning(spark):
-    p = plan(E.queries()["bridge_yearly"](spark, SF_SMALL))
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
-    assert schemas and all("l_comment" not in s and "l_tax" not in s and "l_quantity" not in s for s in schemas)
+    for name in ("annual_metrics", "bridge_base_weighted", "book_split"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
+        assert schemas and all("l_comment" not in s and "l_tax" not in s and "l_quantity" not in s
+                               for s in schemas), name
+
+
+def test_one_pass_over_the_facts(spark):
+    """Queries that read the panel and the published table from two branches
+    checkpoint the panel once: the returned plan scans no fact table again."""
+    for name in ("bridge_yearly", "published_basis", "rate_reconcile", "flow_stock_reconcile"):
+        p = plan(E.queries()[name](spark, SF_SMALL))
+        assert "lineitem.parquet" not in p and "orders.parquet" not in p, name
