@@ -153,3 +153,53 @@ def test_reconciles_with_the_annual_table(panel, published):
     assert rate.comparable_years == 11 and rate.max_abs_diff <= 0.05
     fs = RC.flow_stock_reconcile(panel, published, []).collect()[0]
     assert fs.overlap_years == 11 and fs.max_flow_gap <= 0.1 + 1e-9 and fs.max_stock_gap == 0.0
+
+
+# --------------------------------------------------------------------------- mutations of the real file
+
+def _mutated(tmp_path, series, value):
+    """The quarterly file with the newest cell of ``series`` replaced by ``value``."""
+    lines = open(os.path.join(HERE, "quarterly.csv"), encoding="utf-8").read().splitlines()
+    out = []
+    for line in lines:
+        cells = line.split(",")
+        if cells[0] == series:
+            cells[1] = value
+        out.append(",".join(cells))
+    path = tmp_path / "quarterly.csv"
+    path.write_text("\n".join(out) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def _stage_and_check(spark, path):
+    from panelsplit.operators.reshape import cell_accounting
+    wide = read_wide(spark, path).drop("source_file")
+    staged = stage_wide(wide, [], SERIES, series_col="DataSeries")
+    checks = {r.check_name: r.violations for r in
+              K.quality_checks(staged, [], floor="2014-01-01", as_of="2026-10-03", min_periods=40).collect()}
+    cells = cell_accounting(wide, staged, [], SERIES, series_col="DataSeries").collect()[0]
+    return checks, cells
+
+
+def test_clean_file_cell_accounting(spark):
+    _, cells = _stage_and_check(spark, os.path.join(HERE, "quarterly.csv"))
+    assert (cells.raw_cells, cells.missing_cells, cells.staged_cells) == (282, 0, 282) and cells.reconciles
+
+
+def test_fractional_count_is_caught(spark, tmp_path):
+    checks, _ = _stage_and_check(spark, _mutated(tmp_path, "Principal Cardholders", "100.5"))
+    assert checks["counts whole & positive"] == 1
+    assert sum(checks.values()) == 1
+
+
+def test_blank_cell_is_caught_and_accounted(spark, tmp_path):
+    checks, cells = _stage_and_check(spark, _mutated(tmp_path, "Rollover Balance", ""))
+    assert checks["all series per period"] == 1
+    assert (cells.raw_cells, cells.missing_cells, cells.staged_cells) == (282, 1, 281) and cells.reconciles
+
+
+@pytest.mark.parametrize("value", ["NaN", "Infinity", "-Infinity"])
+@pytest.mark.parametrize("series", list(SERIES))
+def test_non_finite_value_is_caught(spark, tmp_path, series, value):
+    checks, _ = _stage_and_check(spark, _mutated(tmp_path, series, value))
+    assert checks["numeric fields finite"] == 1
