@@ -35,7 +35,8 @@ def header_checks(files: DataFrame, id_col: str, kind: str, min_labels: int) ->
     labels = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1)))
     h = files.select("path", fields.alias("fields"), labels.alias("labels"))
     good = F.filter("labels", lambda x: x.rlike(pattern))
-    sorted_idx = F.array_sort(F.transform(good, idx))
+    # distinct: a repeated label is reported by the duplicate check only
+    sorted_idx = F.array_sort(F.array_distinct(F.transform(good, idx)))
     steps = F.zip_with(F.slice(sorted_idx, 2, F.greatest(F.size(sorted_idx) - 1, F.lit(1))),
                        F.slice(sorted_idx, 1, F.greatest(F.size(sorted_idx) - 1, F.lit(1))),
                        lambda a, b: a - b)
