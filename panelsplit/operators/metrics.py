@@ -182,10 +182,14 @@ def peak_period(panel: DataFrame, keys: Sequence[str], published: DataFrame | No
            .agg(F.max_by(spec.period, F.struct(F.col(spec.loss), -F.datediff(spec.period, F.lit("1970-01-01"))))
                 .alias("max_loss_period"),
                 F.max(F.col(spec.loss).cast("double")).alias("max_loss")))
-    return (agg.select(*keys, F.coalesce("peak_pub", "peak_proxy").alias("peak_year"),
-                       F.when(F.col("published_years") > 0, F.lit("published")).otherwise(F.lit("proxy"))
-                       .alias("peak_basis"))
-            .join(top, list(keys), "left"))
+    peak = agg.select(*keys, F.coalesce("peak_pub", "peak_proxy").alias("peak_year"),
+                      F.when(F.col("published_years") > 0, F.lit("published")).otherwise(F.lit("proxy"))
+                      .alias("peak_basis"))
+    if keys:
+        return peak.join(top, list(keys), "left")
+    # whole table: both sides are single-row aggregates, paired on a constant
+    one = F.lit(1).alias("_all")
+    return peak.select("*", one).join(top.select("*", one), "_all", "left").drop("_all")
 
 
 def rate_path(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT) -> DataFrame:

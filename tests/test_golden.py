@@ -75,6 +75,14 @@ SENS_COLS = ("write_offs_old", "write_offs_new", "delta", "volume", "rate", "joi
 # book split (average total, average principal, year-end total, year-end principal).
 HEADLINE_VOLUME, HEADLINE_RATE = 63.900864520285, 32.599135479715
 COUNT_EFFECTS_2025 = (-31.808419822455, 30.148644653896, -228.378909802536, -194.779180682559)
+# Published metrics. Trailing-4 write-offs at 2026 Q2 and the y/y change of the
+# rate there; peak year; write-offs per principal card 2024 -> 2025 and its % change; the
+# largest one-quarter move of principal cards (2025 Q2 -> Q3, % change); pooled Q1-Q4 rate means.
+TRAILING4_2026Q2, RATE_YOY_2026Q2 = 543.4, -0.1
+PEAK_YEAR = 2020
+PER_PRINCIPAL_2024, PER_PRINCIPAL_2025, PER_PRINCIPAL_CHANGE_PCT = 68.3, 83.5, 22.4
+LARGEST_PRINCIPAL_MOVE = ("2025-04-01", "2025-07-01", -4.0)
+POOLED_QUARTER_RATE_MEANS = (5.34, 5.29, 5.51, 5.25)
 # Published-rate basis minus recomputed split, 2025 vs 2024 (volume, rate), and
 # the basis-and-rounding residual.
 PUBLISHED_BASIS_2025 = (-0.350664520285, 0.812414520285, -0.46175)
@@ -233,3 +241,23 @@ def test_header_mutations_of_the_real_file(spark, tmp_path):
     assert sum(v for k, v in got["duplicated"].items() if k != "duplicate labels") == 0, got["duplicated"]
     rows_ok = L.row_checks(files, file_lines(spark, glob), list(SERIES), False).collect()
     assert {r.violations for r in rows_ok if "clean" in r.path} == {0}
+
+
+def test_metrics_match_published(panel, published):
+    from panelsplit.operators import metrics as M
+    q = {str(r.period): r for r in
+         M.yoy_change(M.trailing_sum(panel, [], "write_offs"), [], "rate_pct").collect()}["2026-04-01"]
+    assert close(q.write_offs_4q, TRAILING4_2026Q2, 1) and q.write_offs_4q == q.write_offs_4q_contiguous
+    assert close(q.rate_pct_yoy_checked, RATE_YOY_2026Q2, 1)
+    peak = M.peak_period(panel, [], published).collect()[0]
+    assert (peak.peak_year, peak.peak_basis) == (PEAK_YEAR, "published")
+    pu = {r.year: r for r in M.per_unit(panel, []).collect()}
+    assert close(pu[2024].loss_per_principal, PER_PRINCIPAL_2024, 1)
+    assert close(pu[2025].loss_per_principal, PER_PRINCIPAL_2025, 1)
+    assert close(pu[2025].loss_per_principal_change_pct, PER_PRINCIPAL_CHANGE_PCT, 1)
+    mv = M.largest_move(panel, [], "principal").collect()[0]
+    assert (str(mv.from_period), str(mv.to_period)) == LARGEST_PRINCIPAL_MOVE[:2]
+    assert close(mv.change_pct, LARGEST_PRINCIPAL_MOVE[2], 1)
+    means = {r.quarter_of_year: r.mean_rate_pct for r in M.seasonal_means(panel, [], "rate_pct").collect()}
+    for qtr, want in zip((1, 2, 3, 4), POOLED_QUARTER_RATE_MEANS):
+        assert close(means[qtr], want, 2), (qtr, means[qtr], want)
