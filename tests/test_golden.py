@@ -261,3 +261,37 @@ def test_metrics_match_published(panel, published):
     means = {r.quarter_of_year: r.mean_rate_pct for r in M.seasonal_means(panel, [], "rate_pct").collect()}
     for qtr, want in zip((1, 2, 3, 4), POOLED_QUARTER_RATE_MEANS):
         assert close(means[qtr], want, 2), (qtr, means[qtr], want)
+
+
+def test_every_operator_accepts_empty_keys(spark, panel, published):
+    """Whole-table use (keys=[]) of every panel operator on the real series."""
+    from panelsplit.operators import chartdata as C
+    from panelsplit.operators import metrics as M
+    from panelsplit.operators import panel as P
+    from panelsplit.operators import reconcile as RC
+    from panelsplit.operators import sensitivity as SE
+    bridge = D.yearly_bridge(panel, [], published)
+    raw = P.annual_metrics(panel, []).select("year", F.col("write_offs").alias("raw_w"),
+                                             F.col("avg_rollover").alias("raw_r"))
+    windows = P.year_windows(spark.range(1).select(F.lit(2024).alias("year")))
+    expected_rows = {
+        "annual_metrics": (P.annual_metrics(panel, []), 11), "annual_book": (P.annual_book(panel, []), 11),
+        "window_stats": (P.window_stats(panel, windows, []), 1),
+        "trailing_sum": (M.trailing_sum(panel, [], "write_offs"), 47),
+        "trailing_by_sequence": (M.trailing_by_sequence(panel, [], "write_offs"), 47),
+        "first_full_window": (M.first_full_window(panel, [], "write_offs"), 1),
+        "recent_periods": (M.recent_periods(panel, []), 4),
+        "series_profile": (M.series_profile(panel, [], ["principal", "rate_pct"]), 2),
+        "decline_count": (M.decline_count(panel, [], "supplementary"), 1), "rate_path": (M.rate_path(panel, []), 1),
+        "base_weighted": (D.base_weighted_bridge(panel, []), 10),
+        "bridge_between": (D.bridge_between(panel, [], 2022, 2025), 1),
+        "comparison_pairs": (SE.comparison_pairs(panel, [], published), 3),
+        "sensitivity_status": (SE.sensitivity_status(panel, [], published), 6),
+        "closure_violations": (K.closure_violations(bridge, []), 1),
+        "freshness": (K.freshness(panel, [], "2026-10-03"), 1),
+        "hand_check": (RC.hand_check(panel, raw, []), 11), "coverage": (RC.coverage(panel, []), 1),
+        "source_overlap": (RC.source_overlap(panel, published, []), 0),
+        "waterfall": (C.waterfall(bridge, []), 40), "signed_stack": (C.signed_stack(bridge, []), 20),
+    }
+    got = {name: df.count() for name, (df, _) in expected_rows.items()}
+    assert got == {name: n for name, (_, n) in expected_rows.items()}
