@@ -83,6 +83,19 @@ PEAK_YEAR = 2020
 PER_PRINCIPAL_2024, PER_PRINCIPAL_2025, PER_PRINCIPAL_CHANGE_PCT = 68.3, 83.5, 22.4
 LARGEST_PRINCIPAL_MOVE = ("2025-04-01", "2025-07-01", -4.0)
 POOLED_QUARTER_RATE_MEANS = (5.34, 5.29, 5.51, 5.25)
+# Audit profile. Per series (min, max) over the 47 quarters; supplementary cards:
+# declining years of 10 year pairs and the % change over the decade; 2025 vs 2024 average total
+# cards (% change) and rollover per reported card (% change).
+SERIES_RANGE = {
+    "principal": (5231538, 6349360),
+    "supplementary": (863831, 1343358),
+    "billings": (10618.7, 27992.2),
+    "rollover": (5148.9, 9640.8),
+    "write_offs": (47.3, 138.1),
+    "rate_pct": (3.4, 9.1),
+}
+SUPPLEMENTARY_DECLINES, SUPPLEMENTARY_DECADE_PCT = (10, 10), -32.0
+AVG_TOTAL_CARDS_2025_PCT, ROLLOVER_PER_CARD_2025_PCT = -0.4, 15.0
 # Published-rate basis minus recomputed split, 2025 vs 2024 (volume, rate), and
 # the basis-and-rounding residual.
 PUBLISHED_BASIS_2025 = (-0.350664520285, 0.812414520285, -0.46175)
@@ -295,3 +308,18 @@ def test_every_operator_accepts_empty_keys(spark, panel, published):
     }
     got = {name: df.count() for name, (df, _) in expected_rows.items()}
     assert got == {name: n for name, (_, n) in expected_rows.items()}
+
+
+def test_audit_profile_matches_published(panel):
+    from panelsplit.operators import metrics as M
+    prof = {r.series: r for r in M.series_profile(panel, [], list(SERIES_RANGE)).collect()}
+    for name, (lo, hi) in SERIES_RANGE.items():
+        r = prof[name]
+        assert (r.min_value, r.max_value, r.nulls, r.periods) == (lo, hi, 0, 47), name
+    d = M.decline_count(panel, [], "supplementary").collect()[0]
+    assert (d.declining_years, d.year_pairs) == SUPPLEMENTARY_DECLINES
+    assert close(d.endpoint_change_pct, SUPPLEMENTARY_DECADE_PCT, 0)
+    book = {r.year: r for r in D.book_split(panel, []).collect()}
+    assert close(book[2025].avg_total_change_pct, AVG_TOTAL_CARDS_2025_PCT, 1)
+    per_card = (book[2025].rollover_per_unit / book[2024].rollover_per_unit - 1) * 100
+    assert close(per_card, ROLLOVER_PER_CARD_2025_PCT, 0)
