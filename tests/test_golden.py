@@ -96,6 +96,15 @@ SERIES_RANGE = {
 }
 SUPPLEMENTARY_DECLINES, SUPPLEMENTARY_DECADE_PCT = (10, 10), -32.0
 AVG_TOTAL_CARDS_2025_PCT, ROLLOVER_PER_CARD_2025_PCT = -0.4, 15.0
+# Audit cross-checks per year. Recomputed annual rate %; quarterly sum minus the
+# annual file for write-offs and billings; rollover Q4 and four-quarter average, principal cards Q4
+# and four-quarter average.
+RECOMPUTED_RATE = {2015: 5.69, 2016: 4.87, 2017: 4.74, 2018: 5.99, 2019: 5.85, 2020: 7.08, 2021: 4.48,
+                   2022: 3.54, 2023: 4.02, 2024: 5.44, 2025: 5.83}
+FLOW_GAPS = {2015: (-0.1, 0.1), 2016: (0.0, 0.0), 2017: (0.1, 0.1), 2018: (0.0, 0.0), 2019: (0.0, -0.1),
+             2020: (-0.1, 0.0), 2021: (0.0, 0.0), 2022: (0.0, 0.0), 2023: (0.1, -0.1), 2024: (0.0, 0.1),
+             2025: (-0.1, 0.0)}
+STOCKS = {2024: (8298.8, 7785.5, 6271929, 6200077), 2025: (9400.2, 8920.3, 6135494, 6222499)}
 # Published-rate basis minus recomputed split, 2025 vs 2024 (volume, rate), and
 # the basis-and-rounding residual.
 PUBLISHED_BASIS_2025 = (-0.350664520285, 0.812414520285, -0.46175)
@@ -323,3 +332,21 @@ def test_audit_profile_matches_published(panel):
     assert close(book[2025].avg_total_change_pct, AVG_TOTAL_CARDS_2025_PCT, 1)
     per_card = (book[2025].rollover_per_unit / book[2024].rollover_per_unit - 1) * 100
     assert close(per_card, ROLLOVER_PER_CARD_2025_PCT, 0)
+
+
+def test_audit_cross_checks_match_published(panel, published):
+    from panelsplit.operators import panel as P
+    from panelsplit.operators import reconcile as RC
+    annual = {r.year: r for r in P.annual_metrics(panel, []).collect()}
+    assert sorted(annual) == sorted(RECOMPUTED_RATE)
+    for y, want in RECOMPUTED_RATE.items():
+        assert close(annual[y].rate_pct_recomputed, want, 2), (y, annual[y].rate_pct_recomputed)
+    pub = {r.year: r for r in published.collect()}
+    sums = {r.year: r for r in RC.quarterly_sums(panel, []).collect()}
+    for y, (dw, db) in FLOW_GAPS.items():
+        assert close(sums[y].q_write_offs - pub[y].pub_write_offs, dw, 2), y
+        assert close(sums[y].q_billings - pub[y].pub_billings, db, 2), y
+    book = {r.year: r for r in D.book_split(panel, []).collect()}
+    for y, (r_q4, r_avg, p_q4, p_avg) in STOCKS.items():
+        assert sums[y].q4_rollover == r_q4 and close(annual[y].avg_rollover, r_avg, 1)
+        assert sums[y].q4_principal == p_q4 and close(book[y].avg_principal, p_avg, 0)
