@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from panelsplit.llm.knn import op2_topk_search
 from panelsplit.llm.langid import op7_language_id
+from panelsplit.llm.lm import op8_lm_scoring
 from panelsplit.llm.neardup import op1_minhash_dedup
 from panelsplit.llm.packing import op9_best_fit_packing
 from panelsplit.llm.quality import op5_quality_classifier
 from panelsplit.llm.secrets import op10_secret_scan
+from panelsplit.llm.substring import op3_substring_dedup
 
-_FUNCTIONS = (op1_minhash_dedup, op2_topk_search, op5_quality_classifier, op7_language_id, op9_best_fit_packing, op10_secret_scan)
+_FUNCTIONS = (op1_minhash_dedup, op2_topk_search, op3_substring_dedup, op5_quality_classifier, op7_language_id, op8_lm_scoring, op9_best_fit_packing, op10_secret_scan)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 #: Oracle SQL by query.
