@@ -47,7 +47,9 @@ def fit_languages(training: DataFrame, rows_per_language: int = 600, piece_chars
     size = F.create_map(*[F.lit(x) for kv in chars.items() for x in kv])[F.col("lang")]
     room = F.greatest(F.length("text") - size, F.lit(0))
     piece = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit("piece")), room + 1) + 1).cast("int"), size)
-    pieces = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rows_per_language).select("lang", "nth", piece.alias("piece")).collect()
+    # The piece is cut before the rows are ranked: texts don't travel.
+    ranked = rows.select("doc_id", "lang", piece.alias("piece")).withColumn("nth", F.row_number().over(order))
+    pieces = ranked.where(F.col("nth") <= rows_per_language).select("lang", "nth", "piece").collect()
     content: dict[str, list[bytes]] = {}
     for r in sorted(pieces, key=lambda r: (r["lang"], r["nth"])):
         content.setdefault(r["lang"], []).append(b" ".join(_folded(r["piece"]).split()))

@@ -334,5 +334,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch_s
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their group."""
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)

@@ -23,7 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelsplit.llm.common import id_remainder, table
@@ -75,26 +75,31 @@ def _logistic(x, y, ridge=1e-2, rounds=50):
     return w
 
 
-def fit_quality(labelled: DataFrame, dictionary_rows: int = 1500, calibration_rows: int = 3000,
+def fit_quality(docs: DataFrame, labels: DataFrame, dictionary_rows: int = 1500, calibration_rows: int = 3000,
                 dictionary_bytes: int = 1 << 20, piece_bytes: int = 3000, level: int = 6) -> QualityModel:
-    """Fit on ``labelled`` (doc_id, text, quality). At most ``dictionary_rows + calibration_rows`` rows a class are used."""
-    rows = labelled.where(F.col("quality").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    """Fit on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) mark.
+
+    At most ``dictionary_rows + calibration_rows`` labels a class are drawn; only their texts are fetched.
+    """
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.5
     prior = math.log((share * total + 0.5) / ((1 - share) * total + 0.5))
     if not counts.get(0) or not counts.get(1):
         return QualityModel(b"", b"", (prior, 0.0, 0.0, 0.0), level)
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= dictionary_rows + calibration_rows)
+    ids = [(r["doc_id"], y, nth) for y in (0, 1) for nth, r in enumerate(
+        marked.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(dictionary_rows + calibration_rows).collect(), 1)]
+    drawn = (docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+             .join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id bigint, quality int, nth int")), "doc_id"))
     # A class of few rows gives half of them to the dictionary.
-    limit = F.least(F.lit(dictionary_rows), F.floor(F.when(F.col("quality") == 1, counts[1]).otherwise(counts[0]) / 2))
-    for_dictionary = F.col("nth") <= F.greatest(limit, F.lit(1))
+    half = {y: max(1, min(dictionary_rows, n // 2)) for y, n in counts.items()}
+    for_dictionary = F.col("nth") <= F.when(F.col("quality") == 1, half[1]).otherwise(half[0])
     # Where a text is longer than its share of the dictionary, the piece starts at a place drawn by hash.
     room = F.greatest(F.length("text") - piece_bytes, F.lit(0))
     piece = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit("piece")), room + 1) + 1).cast("int"), F.lit(piece_bytes))
     pieces = drawn.where(for_dictionary).select("quality", "nth", piece.alias("piece")).collect()
-    content = {y: "\n".join(r["piece"] for r in sorted(pieces, key=lambda r: r["nth"]) if r["quality"] == y)
+    content = {y: "\n".join(r["piece"] for r in sorted(pieces, key=lambda r: (r["nth"], r["piece"])) if r["quality"] == y)
                .encode("utf-8", "surrogatepass")[:dictionary_bytes] for y in (0, 1)}
     sizes = (drawn.where(~for_dictionary).select("quality", "text")
              .mapInArrow(_sizes(content[1], content[0], level), "quality int, n_bytes long, good_size long, bad_size long").toPandas())
@@ -109,8 +114,8 @@ def fit_quality(labelled: DataFrame, dictionary_rows: int = 1500, calibration_ro
 
 def score_quality(docs: DataFrame, model: QualityModel, *keep: str | Column) -> DataFrame:
     """The columns ``keep`` and score, the calibrated probability of label 1, for every row."""
-    rows = docs.select(*keep, "text")
-    kept = rows.drop("text")
+    rows = docs.select(*keep, F.col("text").alias("scored text"))
+    kept = rows.drop("scored text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double"])
 
     def run(batches):
@@ -129,13 +134,19 @@ THRESHOLD = 0.7
 HELD_OUT = 2
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that may be learned from: labelled, and not held out."""
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id").where(id_remainder("doc_id", 4) != HELD_OUT)
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``."""
+    scored = score_quality(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return scored.where(F.col("score") >= threshold).select("doc.*")
+
+
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: not of held-out rows."""
+    return labels.where(id_remainder("doc_id", 4) != HELD_OUT)
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_quality(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = fit_quality(docs, learnable(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(id_remainder("doc_id", 4) == HELD_OUT, F.lit(False)).alias("held_out")
     return score_quality(docs, model, "doc_id", held_out).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -31,9 +31,9 @@ def test_languages_on_held_out_rows(spark):
 def test_answers_without_learning(spark, documents):
     docs = documents([(1, "some text"), (2, None), (3, ""), (3, "")], extra=True)
     none = docs.limit(0).withColumn("quality", F.lit(1))
-    assert {r["score"] for r in score_quality(docs, fit_quality(none), "doc_id").collect()} == {0.5}
+    assert {r["score"] for r in score_quality(docs, fit_quality(docs, none), "doc_id").collect()} == {0.5}
     one_class = docs.withColumn("quality", F.lit(1))
-    assert {r["score"] > 0.5 for r in score_quality(docs, fit_quality(one_class), "doc_id").collect()} == {True}
+    assert {r["score"] > 0.5 for r in score_quality(docs, fit_quality(docs, one_class), "doc_id").collect()} == {True}
     assert {r["lang_pred"] for r in predict_languages(docs, fit_languages(docs.limit(0)), "doc_id").collect()} == {"und"}
 
 
@@ -49,7 +49,8 @@ def test_language_of_odd_texts(documents):
 
 def test_quality_of_odd_texts(documents):
     rows = [(i, "a clean line of words number %d" % i if i % 2 else "!!! $$$ *** ### %d" % i) for i in range(200)]
-    model = fit_quality(documents(rows).withColumn("quality", (F.col("doc_id") % 2).cast("int")))
+    docs = documents(rows)
+    model = fit_quality(docs, docs.withColumn("quality", (F.col("doc_id") % 2).cast("int")))
     odd = documents([(1, None), (2, ""), (3, "a clean line of words"), (4, "!!! $$$ *** ###"), (5, "words of a line " * 30_000)], extra=True)
     got = {r["doc_id"]: r["score"] for r in score_quality(odd, model, "doc_id").collect()}
     assert got[1] == got[2] and got[3] > got[4] and all(0 <= s <= 1 for s in got.values())
