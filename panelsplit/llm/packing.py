@@ -19,7 +19,6 @@ capacity that a single piece exceeds raises ValueError.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -32,8 +31,9 @@ from pyspark.sql import functions as F
 
 from panelsplit.llm.common import shuffle_partitions, store, table
 
-#: White space other than single spaces and line ends between other characters.
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: Two characters of white space in a row, and white space other than blanks and line ends.
+_DOUBLE_SPACE = ("  ", " \n", "\n ", "\n\n")
+_ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 
 def _worker_cache() -> types.ModuleType:
@@ -49,12 +49,18 @@ class Encoder:
     whole.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        #: Tokens that begin with a blank.
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(blank)]] = True
         self.kept = kept
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of a blank and the word
+        self.first: dict[str, bytes] = {}  # ids of a word that begins a text
 
     @classmethod
     def of_worker(cls, path: str) -> "Encoder":
@@ -63,26 +69,42 @@ class Encoder:
             cache[path] = cls(path)
         return cache[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _one(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _many(self, words: list[str]) -> list[bytes]:
+        """Ids of a blank and each word: encoded together, parted where a token begins with a blank."""
+        ids = self._ids(" " + " ".join(words))
+        at = (4 * np.flatnonzero(self.begins[ids])).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        split = []
-        for t in texts:
-            if _ODD_SPACE.search(t):
-                split.append([t])
-            else:
-                first, *rest = t.split(" ")
-                split.append([first, *map(" ".__add__, rest)])
+        whole = [any(d in t for d in _DOUBLE_SPACE) or any(c in t for c in _ODD_SPACE) for t in texts]
+        split = [None if w else t.split(" ") for t, w in zip(texts, whole)]
+        met = set().union(*(words[1:] for words in split if words))
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        new = list(met.difference(known))
         if len(known) + len(new) > self.kept:
             known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i:i + 20_000], self._encode(new[i:i + 20_000])))
-        return [b"".join([known[w] for w in words]) for words in split]
+            new = list(met)
+        # A line end at the end of a text would meet the next word's blank, and no word at all has no token of its own.
+        alone = [w for w in new if not w or w[-1] == "\n"]
+        known.update((w, self._one(" " + w)) for w in alone)
+        new = list(set(new).difference(alone)) if alone else new
+        for i in range(0, len(new), 1000):
+            known.update(zip(new[i:i + 1000], self._many(new[i:i + 1000])))
+        first = self.first
+        if len(first) > self.kept // 10:
+            first.clear()
+        for words in split:
+            if words and words[0] not in first:
+                first[words[0]] = self._one(words[0])
+        return [self._one(t) if words is None else first[words[0]] + b"".join(map(known.__getitem__, words[1:])) for t, words in zip(texts, split)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
