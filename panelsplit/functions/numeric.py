@@ -20,8 +20,8 @@ def is_finite(col) -> Column:
 
 
 def snap_zero(value, *scale) -> Column:
-    """Set |value| <= 1e-12 * max(1, |scale...|) to exactly 0.0 (numerical noise
-    is not a signed interaction)."""
+    """Set |value| <= 1e-12 * max(1, |scale...|) to exactly 0.0: what rounding leaves of a
+    sum that is zero carries no sign."""
     v = _c(value)
     bound = F.greatest(F.lit(1.0), *[F.abs(_c(s)) for s in scale]) if scale else F.lit(1.0)
     return F.when(F.abs(v) <= F.lit(1e-12) * bound, F.lit(0.0)).otherwise(v)
@@ -46,8 +46,14 @@ def any_null(*cols) -> Column:
     return reduce(lambda a, b: a | b, [_c(c).isNull() for c in cols])
 
 
-def as_double(col) -> Column:
-    return _c(col).cast("double")
+def full_sum(col, n: int) -> Column:
+    """Sum over exactly ``n`` non-null values as double; NULL when one is missing."""
+    return F.when(F.count(_c(col)) == F.lit(n), F.sum(_c(col)).cast("double"))
+
+
+def full_avg(col, n: int) -> Column:
+    """Average over exactly ``n`` non-null values; NULL when one is missing."""
+    return full_sum(col, n) / F.lit(n)
 
 
 def money(col, precision: int = 18, scale: int = 2) -> Column:
@@ -57,7 +63,11 @@ def money(col, precision: int = 18, scale: int = 2) -> Column:
 
 
 def plain_text(col) -> Column:
-    """Number -> plain decimal text without exponent or trailing zeros
-    (integers as '98', money as '22716202.07'); ten decimals at most."""
-    s = _c(col).cast("decimal(38,10)").cast("string")
-    return F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """Number -> its exact decimal text without exponent or trailing zeros
+    (integers as '98', money as '22716202.07'). A double is written as its
+    shortest exact representation."""
+    s = _c(col).cast("string")
+    plain = (F.when(s.rlike("E-"), s.try_cast("decimal(38,30)").cast("string"))
+             .when(s.rlike("E"), s.try_cast("decimal(38,0)").cast("string")).otherwise(s))
+    s = F.coalesce(plain, s)
+    return F.when(s.contains(".") & ~s.contains("E"), F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")).otherwise(s)

@@ -35,13 +35,6 @@ def period_label(period) -> Column:
     return F.concat(F.year(p).cast("string"), F.lit(" Q"), F.quarter(p).cast("string"))
 
 
-def index_label(index) -> Column:
-    """Quarter index (year*4+q) back to 'YYYY Qn'."""
-    i = _c(index)
-    return F.concat(F.floor((i - 1) / 4).cast("string"), F.lit(" Q"),
-                    (((i - 1) % 4) + 1).cast("string"))
-
-
 def wide_label(period) -> Column:
     """Quarter-start date to the wide-file column label 'YYYYqQ'."""
     p = _c(period)

@@ -1,9 +1,10 @@
 """Data-quality checks and the write gate.
 
-The nine panel checks are fused: one window pass (``lag`` per entity for
-contiguity and duplicates) feeding one aggregate with a ``count_if`` per check,
-then ``stack`` to long rows ``(keys..., check_name, violations)``. One scan, one
-exchange (none when the panel is already clustered by entity).
+The checks follow from the measures: every measure must be present and finite, a stock of things whole and
+positive, money positive, a rate within bounds; and from the periods: none twice, none skipped, all within the
+dates, enough of them. A check is named ``<measure>:<rule>`` or ``period:<rule>``. All are fused: one window pass
+(``lag`` per entity) feeding one aggregate with a count per check, then ``stack`` to long rows
+``(keys..., check_name, violations)``. One scan, one exchange (none when the panel is already clustered by entity).
 """
 
 from __future__ import annotations
@@ -11,70 +12,66 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import any_null, is_finite
+from ..functions.numeric import is_finite
 from ..functions.periods import quarter_index
-from ..spec import DEFAULT, PanelSpec
+from ..spec import DEFAULT, RATE, PanelSpec
 from .panel import entity_window
 
-# Check names, in report order.
-CHECK_NAMES = [
-    "all series per period",
-    "no duplicate periods",
-    "periods contiguous",
-    "periods in range",
-    "coverage floor",
-    "counts whole & positive",
-    "money fields positive",
-    "published rate in 0-50%",
-    "numeric fields finite",
-]
-
-
 class GateError(RuntimeError):
     """Raised by ``gate`` when any check reports violations."""
 
 
+def measure_rules(spec: PanelSpec = DEFAULT, highest_rate: float = 50) -> list[tuple[str, str, Column]]:
+    """(measure, rule, condition of a violation) of every rule on a measure."""
+    rules = []
+    for m in spec.measures():
+        c = F.col(m.name)
+        rules += [(m.name, "missing", c.isNull()), (m.name, "not finite", ~is_finite(c))]
+        if m.name in spec.counts():
+            rules.append((m.name, "not whole", is_finite(c) & (c != F.round(c))))
+        if m.name in spec.counts() + spec.money():
+            rules.append((m.name, "not positive", c <= 0))
+        if m.kind == RATE:
+            rules.append((m.name, "out of bounds", is_finite(c) & ((c < 0) | (c > highest_rate))))
+    return rules
+
+
 def quality_checks(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT,
                    floor: str | _dt.date = "2014-10-01", as_of: str | _dt.date | None = None,
                    min_periods: int = 40) -> DataFrame:
     """Violations per entity and check (0 = pass)."""
-    p, m = spec.period, spec.measure_names()
+    p = spec.period
     w = entity_window(keys).orderBy(p)
-    as_of_col = F.lit(str(as_of)).cast("date") if as_of is not None else F.current_date()
-    prev, prev2 = F.lag(p, 1).over(w), F.lag(p, 2).over(w)
-    flagged = panel.select(
-        *keys, p, *m,
-        (prev.isNotNull() & (F.col(p) != F.add_months(prev, 3))).alias("_gap"),
-        ((F.col(p) == prev) & (prev2.isNull() | (prev2 != F.col(p)))).alias("_dup"))
-    counts = [spec.principal, spec.supplementary]
-    agg = flagged.groupBy(*keys).agg(
-        F.count_if(any_null(*m)).alias("c1"),
-        F.count_if("_dup").alias("c2"),
-        F.count_if("_gap").alias("c3"),
-        F.count_if((F.col(p) < F.lit(str(floor)).cast("date")) | (F.col(p) > as_of_col)).alias("c4"),
-        F.when(F.count(F.lit(1)) >= min_periods, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("c5"),
-        F.count_if((F.col(counts[0]) <= 0) | (F.col(counts[1]) <= 0)
-                   | (F.col(counts[0]) != F.round(counts[0])) | (F.col(counts[1]) != F.round(counts[1])))
-        .alias("c6"),
-        F.count_if((F.col(spec.billings) <= 0) | (F.col(spec.balance) <= 0) | (F.col(spec.loss) <= 0)).alias("c7"),
-        F.count_if((F.col(spec.rate) < 0) | (F.col(spec.rate) > 50)).alias("c8"),
-        F.count_if(~is_finite(m[0]) | ~is_finite(m[1]) | ~is_finite(m[2]) | ~is_finite(m[3])
-                   | ~is_finite(m[4]) | ~is_finite(m[5])).alias("c9"),
-    )
-    pairs = ", ".join(f"'{name}', c{i + 1}" for i, name in enumerate(CHECK_NAMES))
-    return agg.select(*keys, F.expr(f"stack({len(CHECK_NAMES)}, {pairs}) AS (check_name, violations)"))
-
-
-def gate(checks: DataFrame, what: str = "checks") -> None:
-    """Stop before any write when a check failed. Collects only the failing
-    rows (bounded by entities x checks) and reports a few of them."""
+    latest = F.lit(str(as_of)).cast("date") if as_of is not None else F.current_date()
+    before, before2 = F.lag(p, 1).over(w), F.lag(p, 2).over(w)
+    flagged = panel.select(*keys, p, *spec.measure_names(),
+                           ((F.col(p) == before) & (before2.isNull() | (before2 != F.col(p)))).alias("_again"),
+                           (F.col(p) > F.add_months(before, 3)).alias("_skips"))
+    checks = [(f"{measure}:{rule}", F.count_if(broken)) for measure, rule, broken in measure_rules(spec)]
+    checks += [("period:repeated", F.count_if("_again")), ("period:skipped", F.count_if("_skips")),
+               ("period:outside the dates", F.count_if((F.col(p) < F.lit(str(floor)).cast("date")) | (F.col(p) > latest))),
+               ("period:too few", F.when(F.count(F.lit(1)) >= min_periods, 0).otherwise(1).cast("bigint"))]
+    agg = flagged.groupBy(*keys).agg(*[c.alias(f"_c{i}") for i, (_, c) in enumerate(checks)])
+    pairs = ", ".join(f"'{name}', _c{i}" for i, (name, _) in enumerate(checks))
+    return agg.select(*keys, F.expr(f"stack({len(checks)}, {pairs}) AS (check_name, violations)"))
+
+
+def gate(checks: DataFrame, what: str = "checks", report: str | None = None) -> None:
+    """Stop before any write when a check failed.
+
+    The error says how many entities and rows fail each check; ``report`` names a path to which all
+    failing rows are written."""
     failed = checks.where(F.col("violations") > 0)
-    sample = failed.limit(20).collect()
-    if sample:
-        raise GateError(f"{what} failed; nothing written. e.g. {[r.asDict() for r in sample[:5]]}")
+    totals = (failed.groupBy("check_name").agg(F.count(F.lit(1)).alias("entities"), F.sum("violations").alias("violations"))
+              .orderBy("check_name").collect())
+    if totals:
+        if report:
+            failed.write.mode("overwrite").parquet(report)
+        raise GateError(f"{what} failed; nothing written. " + "; ".join(
+            f"{r['check_name']}: {r['violations']} violations in {r['entities']} entities" for r in totals))
 
 
 def closure_violations(bridge: DataFrame, keys: Sequence[str], flag: str = "closes") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periods import NUMERIC_TEXT_PATTERN, QUARTER_LABEL_PATTERN, YEAR_LABEL_PATTERN
-from ..sources.files import file_bytes, file_lines
+from ..sources.files import body_lines, csv_fields, file_bytes, file_lines
 
 QUARTER, YEAR = "quarter", "year"
 
@@ -31,7 +31,7 @@ def header_checks(files: DataFrame, id_col: str, kind: str, min_labels: int) ->
     contiguity (sorted index steps of 1) and the coverage floor."""
     pattern = QUARTER_LABEL_PATTERN if kind == QUARTER else YEAR_LABEL_PATTERN
     idx = _label_index(kind)
-    fields = F.split(F.col("header"), ",")
+    fields = csv_fields(F.col("header"))
     labels = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1)))
     h = files.select("path", fields.alias("fields"), labels.alias("labels"))
     good = F.filter("labels", lambda x: x.rlike(pattern))
@@ -61,10 +61,8 @@ def row_checks(files: DataFrame, lines: DataFrame, expected_series: Sequence[str
     series whose row count differs from the expected multiset (an equi-join
     of per-(file, series) counts against the expected counts; nothing is
     gathered per file)."""
-    width = files.select("path", F.size(F.split("header", ",")).alias("width"), "header")
-    body = (lines.join(width, "path").where(F.col("line") != F.col("header"))
-            .where(F.trim("line") != "")
-            .select("path", "width", F.split("line", ",").alias("f")))
+    body = (body_lines(files, lines)
+            .select("path", F.size(csv_fields(F.col("header"))).alias("width"), csv_fields(F.col("line")).alias("f")))
     ok_cell = (lambda x: x.rlike(NUMERIC_TEXT_PATTERN) | (x == "na")) if allow_na \
         else (lambda x: x.rlike(NUMERIC_TEXT_PATTERN))
     cells = F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(1)))
@@ -91,14 +89,12 @@ def profile_files(spark: SparkSession, glob: str, kind: str) -> DataFrame:
     lines = file_lines(spark, glob)
     idx = _label_index(kind)
     pattern = QUARTER_LABEL_PATTERN if kind == QUARTER else YEAR_LABEL_PATTERN
-    labels = F.filter(F.slice(F.split("header", ","), 2, 1 << 20), lambda x: x.rlike(pattern))
-    h = files.select("path", "bytes", "sha256", "header",
+    labels = F.filter(F.slice("fields", 2, F.greatest(F.size("fields") - 1, F.lit(1))), lambda x: x.rlike(pattern))
+    h = files.withColumn("fields", csv_fields(F.col("header"))).select("path", "bytes", "sha256", "header",
                      F.size(labels).alias("labels"),
                      F.array_min(F.transform(labels, idx)).alias("label_min_idx"),
                      F.array_max(F.transform(labels, idx)).alias("label_max_idx"))
-    body = (lines.join(files.select("path", "header"), "path").where(F.col("line") != F.col("header"))
-            .where(F.trim("line") != "")
-            .withColumn("series", F.split("line", ",")[0])
+    body = (body_lines(files, lines).withColumn("series", F.element_at(csv_fields(F.col("line")), 1))
             .groupBy("path").agg(F.count(F.lit(1)).alias("rows"),
                                  F.count_distinct("series").alias("series_count"),
                                  F.sum(F.xxhash64("series").cast("decimal(38,0)")).cast("string")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pct_change, ratio
+from ..functions.numeric import full_avg, full_sum, pct_change, ratio
 from ..functions.periods import period_label, quarter_index
 from ..spec import DEFAULT, PanelSpec
 from .panel import annual_metrics, entity_window, with_year
@@ -143,7 +143,7 @@ def largest_move(panel: DataFrame, keys: Sequence[str], col: str,
 def annual_average(panel: DataFrame, keys: Sequence[str], col: str, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Average of ``col`` per complete year (four periods)."""
     return (with_year(panel, spec).groupBy(*keys, "year")
-            .agg(F.count(F.lit(1)).alias("_n"), (F.sum(col).cast("double") / F.count(F.lit(1))).alias("avg_value"))
+            .agg(F.count(F.lit(1)).alias("_n"), full_avg(col, 4).alias("avg_value"))
             .where(F.col("_n") == 4).drop("_n"))
 
 
@@ -213,13 +213,10 @@ def per_unit(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT,
     principal count), its year-on-year % change, balance per unit and the
     balance-to-billings ratio. ``unit_scale`` converts the money unit
     (1e6 when money is in millions, 1.0 when it is in units)."""
-    n = F.count(F.lit(1))
     y = (with_year(panel, spec).groupBy(*keys, "year")
-         .agg(n.alias("_n"), F.sum(spec.loss).cast("double").alias("w"),
-              (F.sum(spec.principal).cast("double") / n).alias("p"),
-              (F.sum(spec.supplementary).cast("double") / n).alias("s"),
-              (F.sum(spec.balance).cast("double") / n).alias("r"),
-              (F.sum(spec.billings).cast("double") / n).alias("b"))
+         .agg(F.count(F.lit(1)).alias("_n"), full_sum(spec.loss, 4).alias("w"),
+              full_avg(spec.principal, 4).alias("p"), full_avg(spec.supplementary, 4).alias("s"),
+              full_avg(spec.balance, 4).alias("r"), full_avg(spec.billings, 4).alias("b"))
          .where(F.col("_n") == 4))
     w = entity_window(keys).orderBy("year")
     y = y.withColumn("loss_per_principal", F.try_divide(F.col("w") * F.lit(unit_scale), F.col("p")))
@@ -230,6 +227,3 @@ def per_unit(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT,
                     F.try_divide(F.col("r") * F.lit(unit_scale), F.col("p") + F.col("s")).alias("balance_per_unit"),
                     ratio("r", "b").alias("balance_to_billings")))
 
-
-def first_last(col: Column, order: Column):
-    return F.min_by(col, order), F.max_by(col, order)

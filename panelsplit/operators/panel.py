@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio
-from ..spec import DEFAULT, FLOW, RATE, STOCK, MeasureSpec, PanelSpec
+from ..functions.numeric import full_avg, full_sum, ratio
+from ..spec import DEFAULT, PanelSpec
 
 
 def entity_window(keys: Sequence[str]) -> Window:
@@ -71,35 +71,19 @@ def annual_metrics(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFA
             .where(F.col("quarters") == periods_per_year))
 
 
-def aggregate_by_kind(panel: DataFrame, keys: Sequence[str], group: Sequence[str | Column],
-                      measures: Sequence[MeasureSpec]) -> DataFrame:
-    """Generic period roll-up driven by measure kinds: flow -> sum,
-    stock -> average of period ends, rate -> average. Summing a stock is
-    refused by construction."""
-    aggs = []
-    for m in measures:
-        if m.kind == FLOW:
-            aggs.append(F.sum(m.name).cast("double").alias(m.name))
-        elif m.kind == STOCK:
-            aggs.append((F.sum(m.name).cast("double") / F.count(m.name)).alias(m.name))
-        elif m.kind == RATE:
-            aggs.append((F.sum(m.name).cast("double") / F.count(m.name)).alias(m.name))
-    return panel.groupBy(*keys, *group).agg(F.count(F.lit(1)).alias("periods"), *aggs)
-
-
 def annual_book(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT) -> DataFrame:
     """Per complete year: average counts, average balance and billings, summed
-    loss, and the year-end (fourth-quarter) value of both counts and the balance."""
-    n = F.count(F.lit(1))
+    loss, and the year-end (fourth-quarter) value of both counts and the balance.
+    A measure that lacks a quarter is NULL."""
     is_q4 = F.month(spec.period) == 10
-    avg = lambda c: F.sum(c).cast("double") / n
+    avg = lambda c: full_avg(c, 4)
     ye = lambda c: F.max(F.when(is_q4, F.col(c))).cast("double")
     return (with_year(panel, spec)
             .groupBy(*keys, "year")
-            .agg(n.alias("quarters"),
+            .agg(F.count(F.lit(1)).alias("quarters"),
                  avg(spec.principal).alias("p"), avg(spec.supplementary).alias("s"),
                  avg(spec.balance).alias("r"), avg(spec.billings).alias("b"),
-                 F.sum(spec.loss).cast("double").alias("w"),
+                 full_sum(spec.loss, 4).alias("w"),
                  ye(spec.principal).alias("pe"), ye(spec.supplementary).alias("se"),
                  ye(spec.balance).alias("re"))
             .where(F.col("quarters") == 4))
@@ -107,21 +91,30 @@ def annual_book(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT
 
 def window_stats(panel: DataFrame, windows: DataFrame, keys: Sequence[str],
                  spec: PanelSpec = DEFAULT, window_keys: Sequence[str] = ("window_id",)) -> DataFrame:
-    """Aggregate arbitrary period sets. ``windows`` maps ``(keys?, window_id,
-    period, expected)``; the result has the loss, the average balance, their
-    ratio, the rate annualised to a year (ratio*100*4/n), the average published
-    rate, n and ``complete`` (all requested periods found)."""
-    join_on = [k for k in keys if k in windows.columns] + [spec.period]
-    joined = panel.join(windows, join_on, "inner")
-    n = F.count(F.lit(1))
+    """Aggregate arbitrary period sets. ``windows`` maps ``(keys, window_id,
+    period, expected)``; every window has a row with the loss, the average
+    balance, their ratio, the rate annualised to a year (ratio*100*4/expected),
+    the average published rate, the number of periods found and ``complete``
+    (all requested periods found). A statistic of a measure that lacks a
+    requested period is NULL."""
+    missing = [k for k in keys if k not in windows.columns]
+    if missing:
+        raise ValueError(f"windows lack the keys {missing}")
+    found = panel.select(*keys, spec.period, spec.loss, spec.balance, spec.rate, F.lit(True).alias("_found"))
+    joined = windows.join(found, [*keys, spec.period], "left")
+    n = F.max("expected")
+
+    def total(c):
+        return F.when(F.count(c) == n, F.sum(c).cast("double"))
+
+    here = F.when(F.col("_found"), F.col(spec.period))
     stats = (joined.groupBy(*keys, *window_keys)
-             .agg(F.sum(spec.loss).cast("double").alias("loss"),
-                  (F.sum(spec.balance).cast("double") / n).alias("avg_balance"),
-                  (F.sum(spec.rate).cast("double") / n).alias("rate_pub"),
-                  n.alias("nq"), F.max("expected").alias("expected"),
-                  F.min(spec.period).alias("first_period"), F.max(spec.period).alias("last_period")))
+             .agg(total(spec.loss).alias("loss"), (total(spec.balance) / n).alias("avg_balance"),
+                  (total(spec.rate) / n).alias("rate_pub"),
+                  F.count("_found").alias("nq"), n.alias("expected"),
+                  F.min(here).alias("first_period"), F.max(here).alias("last_period")))
     return (stats.withColumn("ratio", ratio("loss", "avg_balance"))
-            .withColumn("rate_pct", F.col("ratio") * 100 * 4 / F.col("nq"))
+            .withColumn("rate_pct", F.col("ratio") * 100 * 4 / F.col("expected"))
             .withColumn("complete", F.col("nq") == F.col("expected")))
 
 

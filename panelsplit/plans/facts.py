@@ -12,10 +12,11 @@ Mapping (orders are the book, lines the transactions):
 Money is cast to DECIMAL before summing (exact, order-independent sums).
 ``period`` is the quarter start of ``o_orderdate``.
 
-The "published annual table" is a year-grain roll-up of the quarterly panel:
-flows summed (NULL unless all four quarters exist), stocks at year end (fourth
-quarter), rate recomputed and rounded to 1 dp. The hand check's independent
-recompute (``raw_annual``) is a separate pass straight from the facts.
+The "published annual table" has flows summed (NULL unless all four quarters
+exist), stocks at year end (fourth quarter) and the rate recomputed and rounded
+to 1 dp. ``published_from_facts`` computes it in a pass of its own, for the
+reconciliations; ``published_annual`` rolls it up from a panel. The hand check's
+recompute (``raw_annual``) is a separate pass straight from the facts as well.
 
 Join plan: lineitem ⋈ orders on the order key is the one large join (sort-merge
 or shuffled hash, chosen by Catalyst/AQE from sizes); customer is joined only
@@ -33,7 +34,7 @@ from ..functions.numeric import money
 from ..functions.periods import quarter_start
 from ..operators.panel import build_panel, cluster_by_entity
 from ..session import cut_lineage
-from ..sources.tables import read_table, spread_small_input
+from ..sources.tables import read_table
 
 LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
              "l_returnflag", "l_linestatus")
@@ -46,7 +47,7 @@ def order_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str], since: st
     columns the panel uses. ``since`` (a quarter start) bounds the order date;
     it is a plain column predicate, so it reaches the orders scan as a pushed
     Parquet filter."""
-    li = spread_small_input(read_table(spark, sf_dir, "lineitem").select(*LINE_COLS))
+    li = read_table(spark, sf_dir, "lineitem").select(*LINE_COLS)
     od = read_table(spark, sf_dir, "orders").select(*ORDER_COLS)
     if since is not None:
         od = od.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
@@ -69,7 +70,7 @@ def order_level_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str],
     order instead of one per line, and its hash partitioning already
     satisfies the join on the order key. Usable whenever no line-level column
     is needed downstream (no supplier counts, no line-level keys)."""
-    li = spread_small_input(read_table(spark, sf_dir, "lineitem").select(*LINE_COLS))
+    li = read_table(spark, sf_dir, "lineitem").select(*LINE_COLS)
     per_order = li.groupBy("l_orderkey").agg(
         F.sum(line_amount()).alias("b"),
         F.sum(F.when(F.col("l_linestatus") == "O", line_amount())).alias("rb"),
@@ -156,14 +157,9 @@ def published_annual(panel: DataFrame, keys: Sequence[str], materialize: bool =
     any quarter): flows and the rate only for years with four quarters, stocks
     at year end (the fourth quarter's value).
 
-    It is a year-grain roll-up of the quarterly panel, the way an annual table
-    is published from the same quarterly returns. Building it from the panel,
-    not from a second pass over the facts, halves the fact scans and joins of
-    every plan that reads both; the panel is already clustered by the keys, so
-    the roll-up adds no exchange. Every input is an exact decimal sum or a
-    count, so the numbers equal a direct year-grain aggregate of the facts
-    (the oracle SQL computes it that way). The independent recompute used by
-    the hand check stays a separate pass (``raw_annual``)."""
+    It is a year-grain roll-up of the quarterly panel, for plans that use
+    published rates beside the panel's own and need no second pass over the
+    facts. Reconciliations compare the panel with ``published_from_facts``."""
     q4 = F.quarter("period") == 4
     agg = (panel.groupBy(*keys, F.year("period").cast("bigint").alias("year"))
            .agg(F.count(F.lit(1)).alias("nq"), F.sum("billings").alias("b"),
@@ -183,6 +179,25 @@ def published_annual(panel: DataFrame, keys: Sequence[str], materialize: bool =
     return cut_lineage(out) if materialize else out
 
 
+def published_from_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
+    """The published annual table straight from the facts, independent of any panel."""
+    facts = order_level_facts(spark, sf_dir, keys)
+    q4 = F.quarter("o_orderdate") == 4
+    agg = (facts.groupBy(*keys, F.year("o_orderdate").cast("bigint").alias("year"))
+           .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, quarter(o_orderdate) - 1)"))).cast("int").alias("nq"),
+                F.sum("b").alias("b"), F.sum("w").alias("w"), F.sum("rb").alias("rb"),
+                F.sum(F.when(q4, F.col("rb"))).alias("rb_ye"),
+                F.countDistinct(F.when(q4, F.col("o_custkey"))).alias("p_ye"), F.max(q4).alias("has_q4")))
+    full = F.col("nq") == 4
+    return agg.select(
+        *keys, "year",
+        F.when(full, F.col("b").cast("double")).alias("pub_billings"),
+        F.when(full, F.col("w").cast("double")).alias("pub_write_offs"),
+        F.when(F.col("has_q4"), F.col("rb_ye").cast("double")).alias("pub_rollover_ye"),
+        F.when(F.col("has_q4"), F.col("p_ye").cast("double")).alias("pub_principal_ye"),
+        F.when(full, F.round(F.try_divide(F.col("w").cast("double") * 100, F.col("rb").cast("double") / 4), 1)).alias("pub_rate_pct"))
+
+
 def raw_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
     """Independent recompute for the hand check: per complete year, the loss
     and the average balance straight from the facts."""
@@ -194,7 +209,7 @@ def raw_annual(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFra
 def events_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str] = ("event_type",)) -> DataFrame:
     """Daily panel of the event stream: events (flow), value (flow),
     distinct users (stock)."""
-    ev = spread_small_input(read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value"))
+    ev = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
     panel = build_panel(ev, keys, F.to_date("ts"),
                         {"events": F.count(F.lit(1)), "value": F.sum(money("value")),
                          "users": F.countDistinct("user_id")})

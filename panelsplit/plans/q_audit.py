@@ -28,8 +28,8 @@ def _audit_sql() -> str:
         f"FROM ({ORACLE['quality_checks_segment']}) AS t",
         f"SELECT {_K}, 'series min', series, min_value FROM ({ORACLE['series_profile']}) AS t",
         f"SELECT {_K}, 'series max', series, max_value FROM ({ORACLE['series_profile']}) AS t",
-        f"SELECT {_K}, 'max flow gap', 'annual', max_flow_gap FROM ({ORACLE['flow_stock_reconcile']}) AS t",
-        f"SELECT {_K}, 'max stock gap', 'year end', max_stock_gap FROM ({ORACLE['flow_stock_reconcile']}) AS t",
+        f"SELECT {_K}, 'max flow gap', 'annual', max_flow_gap FROM ({ORACLE['flow_stock_reconcile']}) AS t WHERE {_K} NOT LIKE 'damaged:%'",
+        f"SELECT {_K}, 'max stock gap', 'year end', max_stock_gap FROM ({ORACLE['flow_stock_reconcile']}) AS t WHERE {_K} NOT LIKE 'damaged:%'",
         f"SELECT {_K}, 'seasonal mean rate_pct', 'Q' || CAST(quarter_of_year AS VARCHAR), mean_rate_pct "
         f"FROM ({ORACLE['seasonal_means']}) AS t",
         f"SELECT {_K}, 'largest principal move %', {_label_sql('from_period')} || ' → ' || "

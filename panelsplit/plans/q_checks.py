@@ -8,7 +8,6 @@ from ..functions.periods import period_label
 from ..operators import checks as K
 from ..operators import reconcile as RC
 from ..operators import reshape as RS
-from ..operators.checks import CHECK_NAMES
 from ..operators.panel import entity_window
 from ..session import cut_lineage
 from . import facts as FX
@@ -26,29 +25,32 @@ FLOOR, AS_OF, MIN_PERIODS = "1995-01-01", "2000-12-31", 20
 
 
 def _checks_sql(key: str, as_of: str = AS_OF) -> str:
-    nulls = " OR ".join(f"{m} IS NULL" for m in _MEASURES)
-    finite = " OR ".join(f"NOT isfinite(CAST({m} AS DOUBLE))" for m in _MEASURES)
-    agg = f"""agg AS (SELECT {key},
-  count(*) FILTER (WHERE {nulls}) AS c1,
-  count(*) FILTER (WHERE period = prev AND (prev2 IS NULL OR prev2 <> period)) AS c2,
-  count(*) FILTER (WHERE prev IS NOT NULL AND period <> CAST(prev + INTERVAL 3 MONTH AS DATE)) AS c3,
-  count(*) FILTER (WHERE period < DATE '{FLOOR}' OR period > DATE '{as_of}') AS c4,
-  CAST(CASE WHEN count(*) >= {MIN_PERIODS} THEN 0 ELSE 1 END AS BIGINT) AS c5,
-  count(*) FILTER (WHERE principal <= 0 OR supplementary <= 0 OR principal <> round(principal)
-                   OR supplementary <> round(supplementary)) AS c6,
-  count(*) FILTER (WHERE billings <= 0 OR rollover <= 0 OR write_offs <= 0) AS c7,
-  count(*) FILTER (WHERE rate_pct < 0 OR rate_pct > 50) AS c8,
-  count(*) FILTER (WHERE {finite}) AS c9
-FROM (SELECT *, lag(period) OVER w AS prev, lag(period, 2) OVER w AS prev2 FROM panel
-      WINDOW w AS (PARTITION BY {key} ORDER BY period)) AS f GROUP BY {key})"""
-    body = " UNION ALL ".join(f"SELECT {key}, '{n}' AS check_name, c{i + 1} AS violations FROM agg"
-                              for i, n in enumerate(CHECK_NAMES))
-    return _with(S.panel_cte([key]), agg) + body
+    def rule(name, broken):
+        return f"SELECT {key}, '{name}' AS check_name, count(*) FILTER (WHERE {broken}) AS violations FROM panel GROUP BY {key}"
+
+    out = []
+    for m in _MEASURES:
+        x = f"CAST({m} AS DOUBLE)"
+        out += [rule(f"{m}:missing", f"{m} IS NULL"), rule(f"{m}:not finite", f"NOT isfinite({x})")]
+        if m in ("principal", "supplementary"):
+            out.append(rule(f"{m}:not whole", f"isfinite({x}) AND {x} % 1 <> 0"))
+        if m == "rate_pct":
+            out.append(rule(f"{m}:out of bounds", f"isfinite({x}) AND {x} NOT BETWEEN 0 AND 50"))
+        else:
+            out.append(rule(f"{m}:not positive", f"{m} <= 0"))
+    out.append(f"""SELECT {key}, 'period:repeated', count(*) FILTER (WHERE n > 1)
+  FROM (SELECT {key}, period, count(*) AS n FROM panel GROUP BY ALL) AS r GROUP BY {key}""")
+    out.append(f"""SELECT {key}, 'period:skipped', count(*) FILTER (WHERE period > prev + INTERVAL 3 MONTH)
+  FROM (SELECT {key}, period, lag(period) OVER (PARTITION BY {key} ORDER BY period) AS prev
+        FROM (SELECT DISTINCT {key}, period FROM panel) AS p) AS g GROUP BY {key}""")
+    out.append(rule("period:outside the dates", f"period < DATE '{FLOOR}' OR period > DATE '{as_of}'"))
+    out.append(f"SELECT {key}, 'period:too few', CAST(count(*) < {MIN_PERIODS} AS BIGINT) FROM panel GROUP BY {key}")
+    return _with(S.panel_cte([key])) + " UNION ALL ".join(out)
 
 
 @register("quality_checks", sql=_checks_sql("o_custkey"))
 def quality_checks(spark, sf_dir):
-    """Nine checks per customer on the sparse customer panel (gaps, NULL
+    """All checks per customer on the sparse customer panel (gaps, NULL
     cells and short coverage occur naturally there): one window pass, one
     aggregate, stacked to long rows."""
     p = FX.fact_panel(spark, sf_dir, CUST)
@@ -108,26 +110,46 @@ panel AS (
   UNION ALL SELECT * EXCLUDE (rk) FROM dmg WHERE rk <> 6
   UNION ALL SELECT * EXCLUDE (rk) FROM dmg WHERE rk = 5)"""))
 def quality_checks_damaged(spark, sf_dir):
-    """The nine checks on the segment panel plus its damaged twins: every
-    check except coverage must fire on the twins and only there."""
+    """All checks on the segment panel plus its damaged twins: every
+    kind of check except coverage must fire on the twins and only there."""
     panel = FX.fact_panel(spark, sf_dir, SEG, materialize=True)
     return K.quality_checks(_damaged(panel), SEG, floor=FLOOR, as_of=_DAMAGED_AS_OF, min_periods=MIN_PERIODS)
 
 
 _PUB = [S.panel_cte(SEG), S.annual_cte(SEG), S.published_cte(SEG)]
 
+# The segments, and a twin of each whose published table is wrong and must fail.
+_PUB_TWINS = [
+    S.panel_cte(SEG, name="panel0"),
+    f"panel AS (SELECT * FROM panel0 UNION ALL SELECT * REPLACE ('damaged:' || {_K} AS {_K}) FROM panel0)",
+    S.annual_cte(SEG), S.published_cte(SEG, name="published0"),
+    f"""published AS (SELECT * FROM published0 UNION ALL
+  SELECT * REPLACE ('damaged:' || {_K} AS {_K}, pub_rate_pct + 1 AS pub_rate_pct, pub_write_offs * 2 AS pub_write_offs,
+                    pub_rollover_ye + 1 AS pub_rollover_ye) FROM published0)"""]
 
-@register("rate_reconcile", sql=sql_finish(_with(*_PUB) + """
+
+def _with_twins(spark, sf_dir):
+    """Panel and published table (each from its own pass over the facts) with their damaged twins."""
+    def twin(df, **changes):
+        return df.unionByName(df.withColumns({SEG[0]: F.concat(F.lit("damaged:"), F.col(SEG[0])), **changes}))
+
+    panel = twin(FX.fact_panel(spark, sf_dir, SEG, line_level=False))
+    published = twin(FX.published_from_facts(spark, sf_dir, SEG), pub_rate_pct=F.col("pub_rate_pct") + 1,
+                     pub_write_offs=F.col("pub_write_offs") * 2, pub_rollover_ye=F.col("pub_rollover_ye") + 1)
+    return panel, published
+
+
+@register("rate_reconcile", sql=sql_finish(_with(*_PUB_TWINS) + """
 SELECT *, comparable_years >= 1 AND max_abs_diff <= 0.05 AS ok FROM (
   SELECT a.c_mktsegment, max(abs(rate_pct_recomputed - pub_rate_pct)) AS max_abs_diff, count(*) AS comparable_years
   FROM annual a JOIN published p ON p.c_mktsegment = a.c_mktsegment AND p.year = a.year
   WHERE pub_rate_pct IS NOT NULL GROUP BY a.c_mktsegment) AS x""", keep=[_K, "comparable_years", "ok"]))
 def rate_reconcile(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
-    return RC.rate_reconcile(p, FX.published_annual(p, SEG), SEG)
+    p, published = _with_twins(spark, sf_dir)
+    return RC.rate_reconcile(p, published, SEG)
 
 
-@register("flow_stock_reconcile", sql=sql_finish(_with(*_PUB) + """
+@register("flow_stock_reconcile", sql=sql_finish(_with(*_PUB_TWINS) + """
 SELECT *, overlap_years >= 1 AND max_flow_gap <= 0.1 AS flows_ok, overlap_years >= 1 AND max_stock_gap = 0 AS stocks_ok
 FROM (SELECT q.c_mktsegment,
         round(max(greatest(abs(q_write_offs - pub_write_offs), abs(q_billings - pub_billings))), 9) AS max_flow_gap,
@@ -143,8 +165,8 @@ FROM (SELECT q.c_mktsegment,
         AND pub_principal_ye IS NOT NULL
       GROUP BY q.c_mktsegment) AS x""", keep=[_K, "overlap_years", "flows_ok", "stocks_ok"]))
 def flow_stock_reconcile(spark, sf_dir):
-    p = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
-    return RC.flow_stock_reconcile(p, FX.published_annual(p, SEG), SEG)
+    p, published = _with_twins(spark, sf_dir)
+    return RC.flow_stock_reconcile(p, published, SEG)
 
 
 @register("hand_check", sql=sql_finish(_with(*_PUB) + """

@@ -60,9 +60,11 @@ def bridge_shape(spark, sf_dir):
 def _book_sql() -> str:
     book = """book AS (
   SELECT c_mktsegment, CAST(year(period) AS BIGINT) AS year,
-    CAST(sum(principal) AS DOUBLE) / count(*) AS p, CAST(sum(supplementary) AS DOUBLE) / count(*) AS s,
-    CAST(sum(rollover) AS DOUBLE) / count(*) AS r, CAST(sum(billings) AS DOUBLE) / count(*) AS b,
-    CAST(sum(write_offs) AS DOUBLE) AS w,
+    CASE WHEN count(principal) = 4 THEN CAST(sum(principal) AS DOUBLE) / 4 END AS p,
+    CASE WHEN count(supplementary) = 4 THEN CAST(sum(supplementary) AS DOUBLE) / 4 END AS s,
+    CASE WHEN count(rollover) = 4 THEN CAST(sum(rollover) AS DOUBLE) / 4 END AS r,
+    CASE WHEN count(billings) = 4 THEN CAST(sum(billings) AS DOUBLE) / 4 END AS b,
+    CASE WHEN count(write_offs) = 4 THEN CAST(sum(write_offs) AS DOUBLE) END AS w,
     CAST(max(CASE WHEN month(period) = 10 THEN principal END) AS DOUBLE) AS pe,
     CAST(max(CASE WHEN month(period) = 10 THEN supplementary END) AS DOUBLE) AS se,
     CAST(max(CASE WHEN month(period) = 10 THEN rollover END) AS DOUBLE) AS re
@@ -140,22 +142,20 @@ def _sensitivity_sql(key: str = _K) -> str:
     4 AS expected
   FROM (SELECT {key}, variant, 'old' AS side, year - 1 AS y FROM yp
         UNION ALL SELECT {key}, variant, 'new', year FROM yp) AS s)""",
-        f"""ranked AS (SELECT {key}, period,
-    row_number() OVER (PARTITION BY {key} ORDER BY period DESC) AS rn,
-    count(*) OVER (PARTITION BY {key}) AS n FROM panel)""",
+        f"""last AS (SELECT {key}, max(period) AS latest FROM panel GROUP BY {key})""",
         f"""rwin AS (
-  SELECT {key}, 'trailing4' AS variant, 'new' AS side, CAST(NULL AS BIGINT) AS window_year, period,
-    4 AS expected FROM ranked WHERE n >= 8 AND rn <= 4
-  UNION ALL SELECT {key}, 'trailing4', 'old', NULL, period, 4 FROM ranked WHERE n >= 8 AND rn BETWEEN 5 AND 8
-  UNION ALL SELECT {key}, 'same2', 'new', NULL, period, 2 FROM ranked WHERE n >= 8 AND rn <= 2
-  UNION ALL SELECT {key}, 'same2', 'old', NULL, period, 2 FROM ranked WHERE n >= 8 AND rn BETWEEN 5 AND 6)""",
-        f"""st AS (SELECT *, w / bal * 100 * 4 / nq AS rate_pct FROM (
+  SELECT {key}, variant, side, CAST(NULL AS BIGINT) AS window_year,
+    CAST(unnest(generate_series(latest - to_months(3 * (ago + expected - 1)), latest - to_months(3 * ago),
+                                INTERVAL 3 MONTH)) AS DATE) AS period, expected
+  FROM last CROSS JOIN (VALUES ('trailing4', 'new', 0, 4), ('trailing4', 'old', 4, 4),
+                               ('same2', 'new', 0, 2), ('same2', 'old', 4, 2)) AS v(variant, side, ago, expected))""",
+        f"""st AS (SELECT *, w / bal * 100 * 4 / expected AS rate_pct FROM (
   SELECT p.{key}, variant, side, CAST(sum(write_offs) AS DOUBLE) AS w,
-    CAST(sum(rollover) AS DOUBLE) / count(*) AS bal, count(*) AS nq, max(expected) AS expected,
+    CAST(sum(rollover) AS DOUBLE) / max(expected) AS bal, max(expected) AS expected,
     max(window_year) AS wy, min(p.period) AS p_first, max(p.period) AS p_last
   FROM panel p JOIN (SELECT * FROM ywin UNION ALL SELECT * FROM rwin) AS x
     ON p.{key} = x.{key} AND p.period = x.period
-  GROUP BY ALL HAVING count(*) = max(expected)) AS s0)""",
+  GROUP BY ALL HAVING count(write_offs) = max(expected) AND count(rollover) = max(expected)) AS s0)""",
         f"""wide AS (SELECT {key}, variant, {wide_aggs} FROM st GROUP BY ALL HAVING count(*) = 2)""",
         f"""wide2 AS (SELECT wide.*, po.pub_rate_pct AS pub_old, pn.pub_rate_pct AS pub_new FROM wide
   LEFT JOIN published po ON po.{key} = wide.{key} AND po.year = wide.wy_old
@@ -169,21 +169,15 @@ def _sensitivity_sql(key: str = _K) -> str:
     CAST(wy_old AS VARCHAR) AS yo, CAST(wy_new AS VARCHAR) AS yn
   FROM d)""") + f"""
 SELECT {key}, variant AS variant_id, CAST(list_position([{variants}], variant) AS BIGINT) AS variant_order,
-  CASE variant WHEN 'base' THEN 'annual ' || yn || ' vs ' || yo || ' (base)'
-    WHEN 'peak' THEN 'annual ' || yn || ' vs ' || yo || ' (peak year)'
-    WHEN 'trailing4' THEN 'trailing 4 quarters'
-    WHEN 'same2' THEN 'same two quarters, year apart'
-    WHEN 'published' THEN 'published annual-rate basis (' || yn || ' vs ' || yo || ')'
-    ELSE 'base-weighted 3-term (' || yn || ' vs ' || yo || ')' END AS variant,
-  CASE WHEN variant IN ('published', 'base_weighted') THEN yo ELSE {span.format('p_first_old', 'p_last_old')} END
-    AS window_old,
-  CASE WHEN variant IN ('published', 'base_weighted') THEN yn ELSE {span.format('p_first_new', 'p_last_new')} END
-    AS window_new,
+  variant || ': ' || win_new || ' against ' || win_old AS variant, win_old AS window_old, win_new AS window_new,
   w_old AS write_offs_old, w_new AS write_offs_new, d_w AS delta, vv AS volume, rr AS rate, jj AS joint,
   d_w - vv - rr - coalesce(jj, 0.0) AS residual,
   CASE WHEN variant = 'published' THEN pub_old ELSE rate_pct_old END AS rate_old_pct,
   CASE WHEN variant = 'published' THEN pub_new ELSE rate_pct_new END AS rate_new_pct
-FROM e WHERE variant <> 'published' OR (pub_old IS NOT NULL AND pub_new IS NOT NULL)"""
+FROM (SELECT *,
+    CASE WHEN variant IN ('published', 'base_weighted') THEN yo ELSE {span.format('p_first_old', 'p_last_old')} END AS win_old,
+    CASE WHEN variant IN ('published', 'base_weighted') THEN yn ELSE {span.format('p_first_new', 'p_last_new')} END AS win_new
+  FROM e) AS e2 WHERE variant <> 'published' OR (pub_old IS NOT NULL AND pub_new IS NOT NULL)"""
 
 
 @register("sensitivity", sql=sql_finish(_sensitivity_sql(),

@@ -135,12 +135,13 @@ def recent_periods(spark, sf_dir):
     CAST(unnest(generate_series(make_date(year, 1, 1), make_date(year, 10, 1), INTERVAL 3 MONTH)) AS DATE) AS period,
     CAST(4 AS BIGINT) AS expected
   FROM years)""") + """
-SELECT *, loss / avg_balance AS ratio, loss / avg_balance * 100 * 4 / nq AS rate_pct,
+SELECT *, loss / avg_balance AS ratio, loss / avg_balance * 100 * 4 / expected AS rate_pct,
   nq = expected AS complete FROM (
-  SELECT p.c_mktsegment, window_id, CAST(sum(write_offs) AS DOUBLE) AS loss,
-    CAST(sum(rollover) AS DOUBLE) / count(*) AS avg_balance, CAST(sum(rate_pct) AS DOUBLE) / count(*) AS rate_pub,
-    count(*) AS nq, max(expected) AS expected, min(p.period) AS first_period, max(p.period) AS last_period
-  FROM panel p JOIN windows x ON p.c_mktsegment = x.c_mktsegment AND p.period = x.period
+  SELECT x.c_mktsegment, window_id, CASE WHEN count(write_offs) = max(expected) THEN CAST(sum(write_offs) AS DOUBLE) END AS loss,
+    CASE WHEN count(rollover) = max(expected) THEN CAST(sum(rollover) AS DOUBLE) / max(expected) END AS avg_balance,
+    CASE WHEN count(rate_pct) = max(expected) THEN CAST(sum(rate_pct) AS DOUBLE) / max(expected) END AS rate_pub,
+    count(p.period) AS nq, max(expected) AS expected, min(p.period) AS first_period, max(p.period) AS last_period
+  FROM windows x LEFT JOIN panel p ON p.c_mktsegment = x.c_mktsegment AND p.period = x.period
   GROUP BY ALL) AS s""", keep=["c_mktsegment", "window_id", "nq", "expected", "first_period", "last_period",
                                 "complete"]))
 def window_stats(spark, sf_dir):
@@ -246,11 +247,11 @@ SELECT c_mktsegment, year, lpp AS loss_per_principal,
 FROM (SELECT *, lag(lpp) OVER w AS prev, lag(year) OVER w AS py
       FROM (SELECT *, w * 1.0 / p AS lpp
             FROM (SELECT c_mktsegment, CAST(year(period) AS BIGINT) AS year,
-                    CAST(sum(write_offs) AS DOUBLE) AS w,
-                    CAST(sum(principal) AS DOUBLE) / count(*) AS p,
-                    CAST(sum(supplementary) AS DOUBLE) / count(*) AS s,
-                    CAST(sum(rollover) AS DOUBLE) / count(*) AS r,
-                    CAST(sum(billings) AS DOUBLE) / count(*) AS b
+                    CASE WHEN count(write_offs) = 4 THEN CAST(sum(write_offs) AS DOUBLE) END AS w,
+                    CASE WHEN count(principal) = 4 THEN CAST(sum(principal) AS DOUBLE) / 4 END AS p,
+                    CASE WHEN count(supplementary) = 4 THEN CAST(sum(supplementary) AS DOUBLE) / 4 END AS s,
+                    CASE WHEN count(rollover) = 4 THEN CAST(sum(rollover) AS DOUBLE) / 4 END AS r,
+                    CASE WHEN count(billings) = 4 THEN CAST(sum(billings) AS DOUBLE) / 4 END AS b
                   FROM panel GROUP BY ALL HAVING count(*) = 4) AS a) AS b
       WINDOW w AS (PARTITION BY c_mktsegment ORDER BY year)) AS c""", keep=["c_mktsegment", "year"]))
 def per_unit(spark, sf_dir):

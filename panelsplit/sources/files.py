@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_wide(spark: SparkSession, paths: str | Sequence[str], null_value: str | None = None) -> DataFrame:
@@ -55,15 +54,22 @@ def file_bytes(spark: SparkSession, glob: str) -> DataFrame:
                     F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "").alias("header"))
 
 
+def csv_fields(line) -> Column:
+    """Fields of one CSV line; commas within double quotes belong to the field."""
+    raw = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(raw, lambda x: F.when(x.rlike('^".*"$'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
 def file_lines(spark: SparkSession, glob: str) -> DataFrame:
     """(path, line) for every line of every file (splittable text scan)."""
     t = spark.read.text(glob)
     return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
-MANIFEST_SCHEMA = StructType([
-    StructField("path", StringType()), StructField("bytes", StringType()),
-    StructField("sha256", StringType()), StructField("rows", StringType()),
-    StructField("labels", StringType()), StructField("label_min", StringType()),
-    StructField("label_max", StringType()),
-])
+def body_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(path, header, line) of every line but the file's first. A line that repeats the header is a body line:
+    of the lines that equal the header, one a file is left out."""
+    known = lines.join(files.select("path", "header"), "path").where(F.trim("line") != "")
+    again = known.where(F.col("line") == F.col("header")).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where("nth > 1").drop("nth")
+    return known.where(F.col("line") != F.col("header")).unionByName(again).select("path", "header", "line")

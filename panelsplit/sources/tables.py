@@ -15,40 +15,3 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-# Largest input that ``spread_small_input`` will round-robin (1 GiB): spreading
-# costs one shuffle of the input, which is only worth it for small inputs.
-SPREAD_MAX_BYTES = 1 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan (the statistic behind its broadcast
-    decisions; for a file scan, the pruned file sizes). None if unavailable."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # noqa: BLE001
-        return None
-
-
-def spread_small_input(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Round-robin a *small* scan over the cluster's task slots when it comes
-    from fewer files than there are slots (a single-row-group file is one
-    task however large the cluster; byte splits of it are empty tasks).
-
-    Only inputs with a known size of at most ``max_bytes`` are spread, so this
-    never adds a shuffle of a large table: a large input keeps its scan
-    partitioning (many files / row groups) whatever its file count."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size > max_bytes:
-        return df
-    if len(df.inputFiles()) >= slots:
-        return df
-    return df.repartition(slots)
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views for the SQL edge (names as in the oracle)."""
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from panelsplit.operators.checks import CHECK_NAMES, GateError, gate, quality_checks
+from panelsplit.operators.checks import GateError, gate, quality_checks
 from tests.conftest import quarter_panel
 
 QUARTERS = [f"{y}-{m:02d}-01" for y in (2020, 2021, 2022) for m in (1, 4, 7, 10)]
@@ -26,7 +26,8 @@ def run(spark, rows, **kw):
 
 def test_clean_panel_passes(spark):
     v = run(spark, clean_rows())
-    assert set(v) == set(CHECK_NAMES)
+    assert {"principal:not whole", "rollover:missing", "billings:not positive", "rate_pct:out of bounds",
+            "write_offs:not finite", "period:repeated", "period:skipped"} <= set(v) and len(v) == 24
     assert all(x == 0 for x in v.values()), v
 
 
@@ -40,12 +41,12 @@ def mutate(i, col, value):
 
 
 @pytest.mark.parametrize("col,value,check", [
-    ("principal", 100.5, "counts whole & positive"),
-    ("supplementary", -1.0, "counts whole & positive"),
-    ("rollover", None, "all series per period"),
-    ("billings", 0.0, "money fields positive"),
-    ("rate_pct", 50.5, "published rate in 0-50%"),
-    ("rate_pct", -0.1, "published rate in 0-50%"),
+    ("principal", 100.5, "principal:not whole"),
+    ("supplementary", -1.0, "supplementary:not positive"),
+    ("rollover", None, "rollover:missing"),
+    ("billings", 0.0, "billings:not positive"),
+    ("rate_pct", 50.5, "rate_pct:out of bounds"),
+    ("rate_pct", -0.1, "rate_pct:out of bounds"),
 ])
 def test_single_mutations(spark, col, value, check):
     v = run(spark, mutate(3, col, value))
@@ -57,7 +58,7 @@ def test_single_mutations(spark, col, value, check):
 @pytest.mark.parametrize("value", [float("nan"), float("inf"), float("-inf")])
 def test_non_finite(spark, col, value):
     v = run(spark, mutate(5, col, value))
-    assert v["numeric fields finite"] == 1, v
+    assert v[f"{col}:not finite"] == 1, v
 
 
 def test_duplicate_and_gap(spark):
@@ -65,15 +66,14 @@ def test_duplicate_and_gap(spark):
     rows.append(rows[4])          # duplicate period
     del rows[8]                   # gap
     v = run(spark, rows, min_periods=1)
-    assert v["no duplicate periods"] == 1
-    # the duplicate row and the jump over the removed quarter
-    assert v["periods contiguous"] == 2
+    assert v["period:repeated"] == 1
+    assert v["period:skipped"] == 1
 
 
 def test_range_and_coverage(spark):
     v = run(spark, clean_rows(), as_of="2021-12-31", min_periods=13)
-    assert v["periods in range"] == 4
-    assert v["coverage floor"] == 1
+    assert v["period:outside the dates"] == 4
+    assert v["period:too few"] == 1
 
 
 def test_gate_stops_before_write(spark, tmp_path):
@@ -90,5 +90,13 @@ def test_checks_per_entity(spark):
     p = quarter_panel(spark, rows)
     out = {(r.k, r.check_name): r.violations
            for r in quality_checks(p, ["k"], floor="2020-01-01", as_of="2023-06-30", min_periods=12).collect()}
-    assert out[("a", "counts whole & positive")] == 0
-    assert out[("b", "counts whole & positive")] == 1
+    assert out[("a", "principal:not whole")] == 0
+    assert out[("b", "principal:not whole")] == 1
+
+
+def test_gate_counts_every_failure(spark, tmp_path):
+    rows = [(f"k{i:03d}", *r[1:]) for i in range(60) for r in mutate(2, "principal", 100.5)]
+    checks = quality_checks(quarter_panel(spark, rows), ["k"], floor="2020-01-01", as_of="2023-06-30", min_periods=12)
+    with pytest.raises(GateError, match="principal:not whole: 60 violations in 60 entities"):
+        gate(checks, report=str(tmp_path / "failed"))
+    assert spark.read.parquet(str(tmp_path / "failed")).count() == 60

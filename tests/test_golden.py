@@ -218,13 +218,13 @@ def test_clean_file_cell_accounting(spark):
 
 def test_fractional_count_is_caught(spark, tmp_path):
     checks, _ = _stage_and_check(spark, _mutated(tmp_path, "Principal Cardholders", "100.5"))
-    assert checks["counts whole & positive"] == 1
+    assert checks["principal:not whole"] == 1
     assert sum(checks.values()) == 1
 
 
 def test_blank_cell_is_caught_and_accounted(spark, tmp_path):
     checks, cells = _stage_and_check(spark, _mutated(tmp_path, "Rollover Balance", ""))
-    assert checks["all series per period"] == 1
+    assert checks["rollover:missing"] == 1
     assert (cells.raw_cells, cells.missing_cells, cells.staged_cells) == (282, 1, 281) and cells.reconciles
 
 
@@ -232,7 +232,7 @@ def test_blank_cell_is_caught_and_accounted(spark, tmp_path):
 @pytest.mark.parametrize("series", list(SERIES))
 def test_non_finite_value_is_caught(spark, tmp_path, series, value):
     checks, _ = _stage_and_check(spark, _mutated(tmp_path, series, value))
-    assert checks["numeric fields finite"] == 1
+    assert checks[f"{SERIES[series]}:not finite"] == 1
 
 
 def test_header_mutations_of_the_real_file(spark, tmp_path):

@@ -119,3 +119,22 @@ def test_manifest_detects_changed_bytes(spark, tmp_path):
     assert sum(r.violations for r in L.manifest_mismatches(file_bytes(spark, glob), rec_df).collect()) == 0
     write(tmp_path, "m.csv", wide_text().replace("100", "101", 1))
     assert sum(r.violations for r in L.manifest_mismatches(file_bytes(spark, glob), rec_df).collect()) == 1
+
+
+def test_quoted_comma_and_repeated_header(spark, tmp_path):
+    text = "DataSeries,2021,2020\n" + "\n".join(f'"{s}, total",1.5,2' for s in SERIES) + "\n"
+    names = [f"{s}, total" for s in SERIES]
+    glob = write(tmp_path, "q.csv", text)
+    run = lambda g: {r.check_name: r.violations for r in L.row_checks(
+        file_bytes(spark, g), file_lines(spark, g), names, False).collect()}
+    assert set(run(glob).values()) == {0}
+    again = write(tmp_path, "again.csv", text + "DataSeries,2021,2020\n")
+    assert run(again) == {"row width": 0, "numeric cells": 0, "expected series": 1}
+    assert {r.rows for r in L.profile_files(spark, again, L.YEAR).collect()} == {len(SERIES) + 1}
+
+
+def test_many_labels_are_all_profiled(spark, tmp_path):
+    labels = [str(1000 + i) for i in range(3000)]
+    glob = write(tmp_path, "wide.csv", "DataSeries," + ",".join(labels) + "\n")
+    r = L.profile_files(spark, glob, L.YEAR).collect()[0]
+    assert (r.labels, r.label_min_idx, r.label_max_idx) == (3000, 1000, 3999)

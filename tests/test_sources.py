@@ -1,20 +1,20 @@
-"""Small-input spreading: a small single-file scan is round-robined over the
-task slots; an input above the size bound keeps its scan partitioning (no
-shuffle of a large table)."""
+"""Table scans and text forms."""
 
-from panelsplit.sources.tables import estimated_bytes, read_table, spread_small_input
+from decimal import Decimal
+
+from panelsplit.functions.numeric import plain_text
+from panelsplit.sources.tables import read_table
 from tests.conftest import SF_SMALL
 
 
-def test_small_input_is_spread(spark):
-    li = read_table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_extendedprice")
-    assert 0 < estimated_bytes(li) < 1 << 30
-    spread = spread_small_input(li)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread.count() == li.count()
+def test_scan_reads_only_what_is_used(spark):
+    li = read_table(spark, SF_SMALL, "lineitem").select("l_orderkey")
+    assert "ReadSchema: struct<l_orderkey:bigint>" in li._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def test_input_above_bound_is_left_alone(spark):
-    li = read_table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_extendedprice")
-    same = spread_small_input(li, max_bytes=1)
-    assert same is li
+def test_numbers_are_written_exactly(spark):
+    values = [1.23456789012345, 1.23e-12, 98.0, 0.5, 1e20, -2.5e-7, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(plain_text("v")).collect()]
+    assert got == ["1.23456789012345", "0.00000000000123", "98", "0.5", "100000000000000000000", "-0.00000025", "0"]
+    assert spark.createDataFrame([(Decimal("22716202.070"),)], "v decimal(20,3)").select(plain_text("v")).collect()[0][0] == "22716202.07"
