@@ -47,14 +47,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster in
-    ``spark.checkpoint.dir``; only when it is unset (tests, local runs) pick a
-    scratch folder."""
+    ``spark.checkpoint.dir``. Only a local session (one process: tests, bench)
+    may leave it unset and gets a scratch folder."""
     sc = spark.sparkContext
     existing = sc.getCheckpointDir()
     if existing:
         return existing
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="panelsplit-ckpt-")
     sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
