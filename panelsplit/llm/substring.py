@@ -149,8 +149,13 @@ def _entries(blocks: int, of_document, answers_max: bool):
     return run
 
 
-def _answers(answers_max: bool, payload: str):
-    """applyInArrow body, one block of the index: known entries, and those whose value has another (or a smaller) document."""
+_ANSWERS = "part int, ids binary, row_keys binary, found binary"
+
+
+def _answers(answers_max: bool, payload: str, parts: int):
+    """applyInArrow body, one block of the index: known entries, and those whose value has another (or a smaller) document.
+
+    Answers travel packed as well, a row for each block and part of the documents."""
     def run(block: pa.Table) -> pa.Table:
         value, position, ids, row_keys, known = [], [], [], [], []
         for r in block.to_pylist():
@@ -165,18 +170,32 @@ def _answers(answers_max: bool, payload: str):
         order, low, high = _by_value(value[asked], ids[asked])
         yes = low != high if answers_max else ids[asked][order] > low
         pick = np.concatenate([np.flatnonzero(known), asked[order[yes]]])
-        pick = pick[np.lexsort((row_keys[pick], ids[pick]))]
-        i, k = ids[pick], row_keys[pick]
+        with np.errstate(over="ignore"):
+            part = ((ids[pick].astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(33)) % np.uint64(parts)
+        order = np.lexsort((row_keys[pick], ids[pick], part))
+        pick, part = pick[order], part[order]
         what = (value if payload == "value" else position)[pick]
-        at = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.zeros(0, np.int64)
-        return pa.table({"doc_id": pa.array(i[at]), "row_key": pa.array(k[at].astype(np.int64)),
-                         "found": pa.array([what[a:b].tobytes() for a, b in zip(at, [*at[1:], len(i)])], pa.binary())})
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+        ends = [*at[1:], len(part)]
+        return pa.table({"part": pa.array([int(part[a]) for a in at], pa.int32()),
+                         **{name: pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())
+                            for name, x in (("ids", ids[pick]), ("row_keys", row_keys[pick]), ("found", what))}})
 
     return run
 
 
-def _gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id", "row_key").agg(F.collect_list("found").alias("found"))
+def _gathered(answers: DataFrame, size: int) -> DataFrame:
+    """doc_id, row_key and all that was found for the row; ``size`` bytes a finding."""
+    def gather(part: pa.Table) -> pa.Table:
+        ids, row_keys, found = (np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()])
+                                for c, t in (("ids", "<i8"), ("row_keys", "<u4"), ("found", f"<u{size}")))
+        order = np.lexsort((row_keys, ids))
+        i, k, raw = ids[order], row_keys[order], found[order].tobytes()
+        at = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])])) if len(i) else np.zeros(0, np.int64)
+        return pa.table({"doc_id": pa.array(i[at]), "row_key": pa.array(k[at].astype(np.int64)),
+                         "found": pa.array([raw[size * a:size * b] for a, b in zip(at, [*at[1:], len(i)])], pa.binary())})
+
+    return answers.groupBy("part").applyInArrow(gather, "doc_id bigint, row_key bigint, found binary")
 
 
 def duplicate_windows(docs: DataFrame, window: int = 13, seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -194,19 +213,18 @@ def duplicate_windows(docs: DataFrame, window: int = 13, seed: int = 5) -> tuple
         return v, np.zeros(len(v), np.uint32)
 
     def windows(h, marks):
-        marked = np.unique(np.concatenate([np.frombuffer(m, "<u8") for m in marks]))
+        marked = np.unique(np.frombuffer(marks, "<u8"))
         of = window_seeds(h, window, seed)
         k = np.minimum(np.searchsorted(marked, of), len(marked) - 1)
         position = np.flatnonzero(marked[k] == of)
         value, first = np.unique(_runs(h, window)[position], return_index=True)
         return value, position[first].astype(np.uint32)
 
-    answer = "doc_id bigint, row_key bigint, found binary"
-    shared = rows.mapInArrow(_entries(blocks, seeds, True), _ENTRIES).groupBy("block").applyInArrow(_answers(True, "value"), answer)
-    marks = _gathered(shared).withColumnRenamed("found", "marks")
+    shared = rows.mapInArrow(_entries(blocks, seeds, True), _ENTRIES).groupBy("block").applyInArrow(_answers(True, "value", blocks), _ANSWERS)
+    marks = _gathered(shared, 8).withColumnRenamed("found", "marks")
     marked = dealt.join(marks, ["doc_id", "row_key"], "left").select("doc_id", "row_key", F.when(F.col("marks").isNotNull(), F.col("text")).alias("text"), "marks")
-    repeated = marked.mapInArrow(_entries(blocks, windows, False), _ENTRIES).groupBy("block").applyInArrow(_answers(False, "position"), answer)
-    return dealt, _gathered(repeated)
+    repeated = marked.mapInArrow(_entries(blocks, windows, False), _ENTRIES).groupBy("block").applyInArrow(_answers(False, "position", blocks), _ANSWERS)
+    return dealt, _gathered(repeated, 4)
 
 
 def factors(repeated: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -235,7 +253,7 @@ def duplicate_spans(docs: DataFrame, window: int = 13, seed: int = 5) -> DataFra
                     continue
                 of = _runs(_hashes(split, words), window)
                 hit = np.zeros(len(of), bool)
-                hit[np.concatenate([np.frombuffer(f, "<u4") for f in found])] = True
+                hit[np.frombuffer(found, "<u4")] = True
                 spans.append(factors(np.isin(of, of[hit]), window))  # a window can recur within its document
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()),
