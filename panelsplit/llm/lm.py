@@ -137,6 +137,16 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
 _RARE = "block int, value binary, owner binary, times binary, ids binary, has_id binary, row_keys binary"
 
 
+_PARTIAL_NAMES, _PARTIAL = ("ids", "has_id", "row_keys", "logs", "known"), (np.int64, bool, np.int64, np.float64, np.int64)
+
+
+def _rows_of(ids: np.ndarray, has: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by row, and which of the ordered entries are the first of a row."""
+    order = np.lexsort((keys, ids, has))
+    i, h, k = ids[order], has[order], keys[order]
+    return order, np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(i) else np.zeros(0, bool)
+
+
 def _rare_sums(docs: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
     """doc_id, row_key, log_sum, known over the tokens that are not frequent."""
     common = frequent[0]
@@ -186,16 +196,31 @@ def _rare_sums(docs: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, n
             ids = np.frombuffer(r["ids"], np.int64)
             parts.append((ids, np.frombuffer(r["has_id"], bool), np.frombuffer(r["row_keys"], np.int64),
                           np.bincount(owner, times * np.log10(c + 0.5), len(ids)), np.bincount(owner, times * (c > 0), len(ids))))
-        ids, has, keys_, logs, n = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        ids, has, keys_, logs, n = map(np.concatenate, zip(*parts)) if parts else [np.zeros(0, t) for t in _PARTIAL]
         # Equal rows ask the same: one answer is enough.
-        order = np.lexsort((keys_, ids, has))
-        ids, has, keys_, logs, n = (x[order] for x in (ids, has, keys_, logs, n))
-        first = np.concatenate([[True], (ids[1:] != ids[:-1]) | (has[1:] != has[:-1]) | (keys_[1:] != keys_[:-1])]) if len(ids) else np.zeros(0, bool)
-        return pa.table({"doc_id": pa.array(ids[first], mask=~has[first]), "row_key": pa.array(keys_[first]), "log_sum": pa.array(logs[first]), "known": pa.array(n[first].astype(np.int64))})
+        order, first = _rows_of(ids, has, keys_)
+        pick = order[first]
+        part = _block_of(keys_[pick].astype(np.uint64), blocks)
+        order = np.argsort(part, kind="stable")
+        pick, part = pick[order], part[order]
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+        ends = [*at[1:], len(part)]
+        return pa.table({"part": pa.array([int(part[a]) for a in at], pa.int32()),
+                         **{name: pa.array([x[pick[a:b]].astype(t).tobytes() for a, b in zip(at, ends)], pa.binary())
+                            for name, x, t in zip(_PARTIAL_NAMES, (ids, has, keys_, logs, n), _PARTIAL)}})
+
+    def add(part: pa.Table) -> pa.Table:
+        ids, has, keys_, logs, n = (np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()]) for c, t in zip(_PARTIAL_NAMES, _PARTIAL))
+        order, first = _rows_of(ids, has, keys_)
+        at = np.flatnonzero(first)
+        pick = order[at]
+        return pa.table({"doc_id": pa.array(ids[pick], mask=~has[pick]), "row_key": pa.array(keys_[pick]),
+                         "log_sum": pa.array(np.add.reduceat(logs[order], at)), "known": pa.array(np.add.reduceat(n[order], at))})
 
     asked = docs.mapInArrow(ask, _RARE)
-    sums = asked.groupBy("block").cogroup(counts.select("block", "keys", "counts").groupBy("block")).applyInArrow(answer, "doc_id bigint, row_key bigint, log_sum double, known bigint")
-    return sums.groupBy("doc_id", "row_key").agg(F.sum("log_sum").alias("log_sum"), F.sum("known").alias("known"))
+    sums = (asked.groupBy("block").cogroup(counts.select("block", "keys", "counts").groupBy("block"))
+            .applyInArrow(answer, "part int, " + ", ".join(f"{c} binary" for c in _PARTIAL_NAMES)))
+    return sums.groupBy("part").applyInArrow(add, "doc_id bigint, row_key bigint, log_sum double, known bigint")
 
 
 # ---------------------------------------------------------------- context trees
