@@ -443,11 +443,22 @@ def fit_tree(training: DataFrame, depth: int = 5, max_strings: int = 8_000_000)
                         mixed = _next_mixed(levels[d], mixed, stops[d], levels[d + 1])
 
     got = rows.mapInArrow(tables_of, "depth int, keys binary, bits binary").collect()
+    by_depth: dict[int, list] = {}
+    while got:  # rows are let go as they are used: the tables are held once
+        r = got.pop()
+        by_depth.setdefault(r["depth"], []).append((r["keys"], r["bits"]))
     for d in range(top, depth + 1):
-        k = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in got if r["depth"] == d])
-        b = np.concatenate([np.frombuffer(r["bits"], "<f4").reshape(-1, 8) for r in got if r["depth"] == d])
+        parts = by_depth.pop(d)
+        n = [len(k) // 8 for k, _ in parts]
+        k, b, at = np.empty(sum(n), np.uint64), np.empty((sum(n), 8), "<f4"), 0
+        while parts:
+            keys_, bits_ = parts.pop()
+            end = at + len(keys_) // 8
+            k[at:end], b[at:end] = np.frombuffer(keys_, "<u8"), np.frombuffer(bits_, "<f4").reshape(-1, 8)
+            at = end
         order = np.argsort(k)
         out[d] = (k[order], b[order])
+        del k, b, order
     return ByteTree(depth, [out[d][0] for d in range(depth + 1)], [out[d][1] for d in range(depth + 1)])
 
 
