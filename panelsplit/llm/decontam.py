@@ -144,35 +144,51 @@ class Items:
         """Sampled positions of every table (axis 1) for the items k."""
         return (self.places[None] * self.steps(k)[:, None, None]).astype(np.int64)
 
-    def find(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, distance) of the best window of every item that matches the words h."""
-        if len(h) < GRAM or not len(self.gram):
-            return []
+    def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text's words, (item, start, end, distance) of the best window of every item that matches.
+
+        The windows of all texts are embedded together."""
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        sizes = np.array([len(h) for h in texts], np.int64)
+        if not len(self.gram) or sizes.sum() < GRAM:
+            return out
+        h = np.concatenate(texts)
+        high = np.cumsum(sizes)
         g = _grams(h)
         at = np.flatnonzero(self.maybe[(g >> np.uint64(42)).astype(np.int64)])
+        of = np.searchsorted(high, at, "right")
+        whole = at + GRAM <= high[of]
+        at, of = at[whole], of[whole]
         left, right = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
         many = right - left
         if not many.any():
-            return []
+            return out
         hit = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, start = self.item[hit], np.repeat(at, many) - self.offset[hit]
-        pairs = np.unique(np.stack([item, start], axis=1), axis=0)
-        return self._verified(h, *self._candidates(h, pairs[:, 0], pairs[:, 1]))
-
-    def _candidates(self, h, item, start, block: int = 1 << 13):
-        """The windows that collide with their item in a table."""
+        pairs = np.unique(np.stack([np.repeat(of, many), self.item[hit], np.repeat(at, many) - self.offset[hit]], axis=1), axis=0)
+        text, item, start = pairs[:, 0], pairs[:, 1], pairs[:, 2]
+        low = high - sizes
+        keep = self._candidates(h, item, start, low[text], high[text])
+        text, item, start = text[keep], item[keep], start[keep]
+        for d in np.unique(text):
+            mine = text == d
+            out[d] = self._verified(texts[d], item[mine], start[mine] - low[d])
+        return out
+
+    def _candidates(self, h, item, start, low, high, block: int = 1 << 13):
+        """Which windows (from start on, within low and high) collide with their item in a table."""
         keep = np.zeros(len(item), bool)
         order = np.argsort(self.n[item], kind="stable")  # windows of like size are embedded together
         for a in range(0, len(order), block):
-            k, s = item[order[a:a + block]], start[order[a:a + block]]
+            k, s, lo, hi = (x[order[a:a + block]] for x in (item, start, low, high))
             n = int(self.n[k].max())
             steps = int(1.5 * n) + 1
             at = s[:, None] + np.arange(n)
-            inside = (at >= 0) & (at < len(h)) & (np.arange(n) < self.n[k][:, None])
+            inside = (at >= lo[:, None]) & (at < hi[:, None]) & (np.arange(n) < self.n[k][:, None])
             windows = np.where(inside, h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
             # Words before the document's beginning are missing: move the rest to the front.
-            for r in np.flatnonzero(s < 0):
-                windows[r] = np.concatenate([windows[r, -s[r]:], np.zeros(min(n, -s[r]), np.uint64)])[:n]
+            for r in np.flatnonzero(s < lo):
+                gone = min(n, int(lo[r] - s[r]))
+                windows[r] = np.concatenate([windows[r, gone:], np.zeros(gone, np.uint64)])
             which, of = np.unique(k, return_inverse=True)
             rows = np.zeros((len(which), n), np.uint64)
             for r, w in enumerate(which):
@@ -186,7 +202,7 @@ class Items:
                     same = np.take_along_axis(ours == theirs, places[:, tables].reshape(len(k), -1), axis=1)
                     hits |= same.reshape(len(k), len(tables), SAMPLED).all(axis=2).any(axis=1)
             keep[order[a:a + block]] = hits
-        return item[keep], start[keep]
+        return keep
 
     def _verified(self, h, item, start):
         best: dict[int, tuple[int, int, int]] = {}
@@ -222,12 +238,10 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, max_edits: float
         def search(batches, block=block):
             found, words_ = Items(block, max_edits, min_words, recall), WordHashes()
             for batch in batches:
-                hits = []
-                for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    split = normal_words(text)
-                    if len(split) >= GRAM:
-                        h = np.fromiter(map(words_.__getitem__, split), np.uint64, len(split))
-                        hits += [(doc_id, key, found.ids[k], a, e, d, int(found.n[k])) for k, a, e, d in found.find(h)]
+                ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
+                hashed = [np.fromiter(map(words_.__getitem__, w), np.uint64, len(w)) for w in map(normal_words, texts)]
+                hits = [(i, key, found.ids[k], a, e, d, int(found.n[k]))
+                        for i, key, windows in zip(ids, keys, found.find(hashed)) for k, a, e, d in windows]
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits) if hits else [()] * 7, types)],
                                                  names=["doc_id", "text_key", "item_id", "start", "end", "distance", "item_words"])
