@@ -9,8 +9,8 @@ confirmed if the paragraph holds ``least_cover`` of the words of one of the fami
 
 Scoring uses DataFrame functions only. A paragraph can only reach the score if it holds one of the *cue* words:
 they are chosen so that all other positive weights together stay below the threshold, so looking for them first
-loses nothing. Only paragraphs with a cue are cut into features and joined with the weights, a table of the
-templates' n-grams, bounded by the templates.
+loses nothing. Only paragraphs with a cue are cut into features and weighed, in the task that reads them: the
+weights of the templates' n-grams are constants of the plan, and only findings are shuffled.
 
 Edge cases: null and empty texts and empty tables give no rows; rows that share a doc_id are scanned each, equal
 findings count once; a null doc_id is a value; extra columns are ignored; whole texts are scanned.
@@ -26,7 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelsplit.llm.common import store, table
+from panelsplit.llm.common import table
 
 #: Usual notices of licence families.
 TEMPLATES = {
@@ -60,9 +60,19 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
-def _features(words: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once a row however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _features(words: Column, vocabulary: list[str]) -> Column:
+    """The distinct words and pairs of neighbouring words that the vocabulary holds."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
+    return F.array_intersect(F.concat(words, pairs), _texts(vocabulary))
+
+
+def _texts(values) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 class LicenceModel(NamedTuple):
@@ -159,23 +169,34 @@ def scan_licences(docs: DataFrame, model: LicenceModel, templates: dict[str, tup
         return spark.createDataFrame([], "doc_id bigint, paragraph int, family string, score double, cover double, confirmed boolean")
     cue = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, model.cues)) + ")(?![a-z0-9])"
     lines = paragraphs(docs.where(F.col("text").rlike(cue))).where(F.col("line").rlike(cue))
-    lines = store(lines.select("doc_id", "paragraph", "line", F.xxhash64("doc_id", "paragraph", "line").alias("line_key")).distinct(), "licence-lines")
-    worded = lines.select("line_key", _words(F.col("line")).alias("words"))
-    weights = spark.createDataFrame([(x, f, v) for f, w in model.weights.items() for x, v in w.items()], "feature string, family string, weight double")
-    bias = spark.createDataFrame(list(model.bias.items()), "family string, bias double")
-    # The tables of weights, biases and templates are bounded by the templates, so they are broadcast.
-    margins = (worded.distinct().select("line_key", F.explode(_features(F.col("words"))).alias("feature")).join(F.broadcast(weights), "feature")
-               .groupBy("line_key", "family").agg(F.sum("weight").alias("weight")).join(F.broadcast(bias), "family")
-               .groupBy("line_key").agg(F.max(F.struct((F.col("weight") + F.col("bias")).alias("margin"), "family")).alias("best")))
+    families = sorted(model.weights)
+    vocabulary = sorted(set().union(*model.weights.values()))
+    # Weights, biases and templates are constants of the plan, bounded by the templates; a paragraph is judged where it is read.
+    weights = F.create_map(*[x for f in vocabulary for x in (F.lit(f), F.array(*[F.lit(model.weights[g].get(f, 0.0)) for g in families]))])
     a, b = model.curve
-    scored = (margins.select("line_key", "best.family", (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("best.margin"))))).alias("score"))
-              .where(F.col("score") >= model.least_score))
-    known = spark.createDataFrame([(f, sorted(set(words_of(t)))) for f, ts in templates.items() for t in ts], "family string, template array<string>")
-    cover = F.size(F.array_intersect("template", "words")) / F.size("template")
-    checked = (scored.join(worded.distinct(), "line_key").join(F.broadcast(known), "family")
-               .groupBy("line_key", "family", "score").agg(F.max(cover).alias("cover")))
-    return (lines.join(checked, "line_key").select("doc_id", "paragraph", "family", F.round("score", 6).alias("score"), F.round("cover", 6).alias("cover"),
-                                                   (F.col("cover") >= least_cover).alias("confirmed")).distinct())
+
+    def best(found: Column) -> Column:
+        """Largest margin and its family, from the weights of the features found."""
+        def total(i: int) -> Column:
+            return F.aggregate(found, F.lit(0.0), lambda so_far, w: so_far + w[i])
+
+        margins = [F.struct((total(i) + F.lit(model.bias[g])).alias("margin"), F.lit(g).alias("family")) for i, g in enumerate(families)]
+        return F.array_max(F.array(*margins))
+
+    def cover(words: Column, family: Column) -> Column:
+        covers = [F.when(family == f, F.size(F.array_intersect(_texts(t), words)) / len(t))
+                  for f, ts in templates.items() for t in [sorted(set(words_of(t))) for t in ts]]
+        return F.array_max(F.array(*covers))
+
+    def judged(words: Column) -> Column:
+        scored = F.transform(F.filter(F.array(_features(words, vocabulary)), lambda f: F.size(f) > 0),
+                             lambda f: _let(F.transform(f, lambda x: weights[x]), best))
+        scored = F.transform(scored, lambda m: F.struct(m["family"].alias("family"), (1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * m["margin"])))).alias("score")))
+        return F.transform(F.filter(scored, lambda m: m["score"] >= model.least_score),
+                           lambda m: F.struct(m["family"].alias("family"), F.round(m["score"], 6).alias("score"), cover(words, m["family"]).alias("cover")))
+
+    found = lines.select("doc_id", "paragraph", F.inline(_let(_words(F.col("line")), judged)))
+    return found.select("doc_id", "paragraph", "family", "score", F.round("cover", 6).alias("cover"), (F.col("cover") >= least_cover).alias("confirmed")).distinct()
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
