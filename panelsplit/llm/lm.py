@@ -8,14 +8,16 @@ estimates of all depths: a node's weighted probability is half its own block pro
 product of its children's, so the weight of stopping at a node follows from the counts. Where a longer
 context was not met in training, the tree ends. The prediction of every bit is a proper distribution.
 
-Training counts byte strings of ``depth + 1`` over all training rows (every task sends its counts). The
-tree is built in blocks of the contexts' nearest two bytes; the levels above, of at most 65,536 contexts,
-on the driver. The finished tables are broadcast, so their size is checked: if there are more than
-``max_strings`` strings, the depth falls until there are not (at depth 2 there can't be more than 2 ** 24).
+Training counts byte strings of ``depth + 1`` over all training rows (every task sends its counts) into
+blocks of the contexts' nearest two bytes. A block holds the whole tree below depth 2; what depths 0 and 1
+need of it is summed by Spark, so the driver sees at most 65,536 strings and their nodes. The tree is as deep
+for any size of the input, and never in one place: documents are dealt into chunks of about ``FLUSH_BYTES``,
+a chunk asks each block for the probabilities of its distinct strings, and what comes back is summed by
+document where the chunk's texts are. A block that holds more of the training text than the mean is copied
+as many times, so that a frequent pair of bytes is not answered by one task.
 
 Unigram counts cover all training tokens. Tokens with at least 1 / 65,536 of all occurrences (so there
-are at most 65,536) are looked up in every task; the others meet their counts in blocks by hash, where no
-token can be more than that share. Tokens are told apart by 64-bit hashes.
+are at most 65,536) are looked up in every task; the others are asked for, once a chunk, in blocks by hash. Tokens are told apart by 64-bit hashes.
 
 Edge cases: a null text is an empty one (only the end); a null doc_id is neither learned from nor held
 out; equal rows count each in training and get equal scores; without training rows every bit is 1/2 and
@@ -25,6 +27,7 @@ the base is 0; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -33,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelsplit.llm.common import id_remainder, row_key, shuffle_partitions, store, table
+from panelsplit.llm.common import id_remainder, shuffle_partitions, store, table
 from panelsplit.llm.neardup import WordHashes
 
 #: Bytes of text, and words, that a task handles at a time.
 FLUSH_BYTES = 6 << 20
 FLUSH_WORDS = 1 << 21
+#: Strings of a block whose trees are built together (more if one pair of nearest bytes has more).
+PIECE = 1 << 18
 #: Tokens of at least this share of all occurrences are broadcast.
 FREQUENT_SHARE = 1 / 65536
 END = 0x0A
@@ -51,8 +56,7 @@ def _words(text: str | None) -> list[bytes]:
 
 # ---------------------------------------------------------------- unigrams
 
-def _token_hashes(text, words: WordHashes) -> np.ndarray:
-    split = _words(text)
+def _token_hashes(split: list[bytes], words: WordHashes) -> np.ndarray:
     return np.fromiter([*map(words.__getitem__, split), _END_TOKEN], np.uint64, len(split) + 1)
 
 
@@ -102,7 +106,7 @@ def token_counts(training: DataFrame, blocks: int) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(_token_hashes(text, words))
+                held.append(_token_hashes(_words(text), words))
                 n += len(held[-1])
                 if n >= FLUSH_WORDS:
                     yield flush()
@@ -134,95 +138,6 @@ def _lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, counts[at], 0)
 
 
-_RARE = "block int, value binary, owner binary, times binary, ids binary, has_id binary, row_keys binary"
-
-
-_PARTIAL_NAMES, _PARTIAL = ("ids", "has_id", "row_keys", "logs", "known"), (np.int64, bool, np.int64, np.float64, np.int64)
-
-
-def _rows_of(ids: np.ndarray, has: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by row, and which of the ordered entries are the first of a row."""
-    order = np.lexsort((keys, ids, has))
-    i, h, k = ids[order], has[order], keys[order]
-    return order, np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (k[1:] != k[:-1])]) if len(i) else np.zeros(0, bool)
-
-
-def _rare_sums(docs: DataFrame, counts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
-    """doc_id, row_key, log_sum, known over the tokens that are not frequent."""
-    common = frequent[0]
-
-    def ask(batches):
-        words, held, n = WordHashes(), [], 0
-
-        def flush():
-            ids = np.array([r[0] if r[0] is not None else 0 for r in held], np.int64)
-            has = np.array([r[0] is not None for r in held])
-            row_keys = np.array([r[1] for r in held], np.int64)
-            owner = np.repeat(np.arange(len(held)), [len(r[2]) for r in held])
-            value, times = np.concatenate([r[2] for r in held]), np.concatenate([r[3] for r in held])
-            block = _block_of(value, blocks)
-            order = np.argsort(block, kind="stable")
-            block, owner, value, times = block[order], owner[order], value[order], times[order]
-            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-            rows = []
-            for a, b in zip(at, [*at[1:], len(block)]):
-                who, mine = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(block[a]), value[a:b].astype("<u8").tobytes(), mine.astype("<u4").tobytes(), times[a:b].astype("<u4").tobytes(),
-                             ids[who].tobytes(), has[who].tobytes(), row_keys[who].tobytes()))
-            columns = zip(*rows) if rows else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(columns)],
-                                              names=["block", "value", "owner", "times", "ids", "has_id", "row_keys"])
-
-        for batch in batches:
-            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                value, times = np.unique(_token_hashes(text, words), return_counts=True)
-                rare = _lookup(common, np.ones(len(common), np.int64), value) == 0
-                if rare.any():
-                    held.append((doc_id, key, value[rare], times[rare]))
-                    n += int(rare.sum())
-                if n >= FLUSH_WORDS // 2:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys = np.frombuffer(known.column("keys")[0].as_py(), "<u8") if len(known) else np.zeros(0, np.uint64)
-        counts_ = np.frombuffer(known.column("counts")[0].as_py(), "<i8") if len(known) else np.zeros(0, np.int64)
-        parts = []
-        for r in asked.to_pylist():
-            c = _lookup(keys, counts_, np.frombuffer(r["value"], "<u8"))
-            times, owner = np.frombuffer(r["times"], "<u4"), np.frombuffer(r["owner"], "<u4")
-            ids = np.frombuffer(r["ids"], np.int64)
-            parts.append((ids, np.frombuffer(r["has_id"], bool), np.frombuffer(r["row_keys"], np.int64),
-                          np.bincount(owner, times * np.log10(c + 0.5), len(ids)), np.bincount(owner, times * (c > 0), len(ids))))
-        ids, has, keys_, logs, n = map(np.concatenate, zip(*parts)) if parts else [np.zeros(0, t) for t in _PARTIAL]
-        # Equal rows ask the same: one answer is enough.
-        order, first = _rows_of(ids, has, keys_)
-        pick = order[first]
-        part = _block_of(keys_[pick].astype(np.uint64), blocks)
-        order = np.argsort(part, kind="stable")
-        pick, part = pick[order], part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-        ends = [*at[1:], len(part)]
-        return pa.table({"part": pa.array([int(part[a]) for a in at], pa.int32()),
-                         **{name: pa.array([x[pick[a:b]].astype(t).tobytes() for a, b in zip(at, ends)], pa.binary())
-                            for name, x, t in zip(_PARTIAL_NAMES, (ids, has, keys_, logs, n), _PARTIAL)}})
-
-    def add(part: pa.Table) -> pa.Table:
-        ids, has, keys_, logs, n = (np.concatenate([np.frombuffer(x, t) for x in part.column(c).to_pylist()]) for c, t in zip(_PARTIAL_NAMES, _PARTIAL))
-        order, first = _rows_of(ids, has, keys_)
-        at = np.flatnonzero(first)
-        pick = order[at]
-        return pa.table({"doc_id": pa.array(ids[pick], mask=~has[pick]), "row_key": pa.array(keys_[pick]),
-                         "log_sum": pa.array(np.add.reduceat(logs[order], at)), "known": pa.array(np.add.reduceat(n[order], at))})
-
-    asked = docs.mapInArrow(ask, _RARE)
-    sums = (asked.groupBy("block").cogroup(counts.select("block", "keys", "counts").groupBy("block"))
-            .applyInArrow(answer, "part int, " + ", ".join(f"{c} binary" for c in _PARTIAL_NAMES)))
-    return sums.groupBy("part").applyInArrow(add, "doc_id bigint, row_key bigint, log_sum double, known bigint")
-
-
 # ---------------------------------------------------------------- context trees
 
 def _strings(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,7 +244,10 @@ def _weighted(level: _Level, below: _Level | None, log_below: np.ndarray | None)
     own = level.log_block()
     if below is None:
         return own, np.ones(len(own))
-    children = np.bincount(np.searchsorted(level.key, _parent(below.key)), log_below, len(level.key))
+    return _halves(own, np.bincount(np.searchsorted(level.key, _parent(below.key)), log_below, len(level.key)))
+
+
+def _halves(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     both = np.logaddexp(own, children) - math.log(2)
     return both, np.exp(own - math.log(2) - both)
 
@@ -379,87 +297,101 @@ class ByteTree(NamedTuple):
     bits: list[np.ndarray]
 
 
+class _Upper(NamedTuple):
+    """Depths 0 and 1: their tables, and the levels, mixtures and stop weights of depth 1."""
+    keys: list[np.ndarray]
+    bits: list[np.ndarray]
+    levels: list[_Level]
+    mixed: list[_Mixed]
+    stops: list[np.ndarray]
+
+
+def _pieces(keys: np.ndarray, counts: np.ndarray, depth: int):
+    """Parts of a block's sorted strings, cut where the nearest two bytes change."""
+    near = keys >> np.uint64(8 * (depth - 2) + 8)
+    cuts = np.append(np.flatnonzero(near[1:] != near[:-1]) + 1, len(keys))
+    at = 0
+    while at < len(keys):
+        end = int(cuts[min(np.searchsorted(cuts, at + PIECE), len(cuts) - 1)])
+        yield keys[at:end], counts[at:end]
+        at = end
+
+
+def _counted(batches):
+    for batch in batches:
+        for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
+
+
+def _upper_tree(counted: DataFrame, depth: int) -> _Upper:
+    """Depths 0 and 1 of the tree of ``counted`` strings: blocks send sums for the nodes of depth 1."""
+    strings = 8  # the level that stands for whole strings
+
+    def sums(batches):
+        for block in _counted(batches):
+            for keys, counts in _pieces(*block, depth):
+                tables, levels, logs, _ = _tree(keys, counts, depth, 2)
+                key, n = _shorter(*tables[2])
+                parts = [(np.full(len(key), strings), key, n, np.zeros(len(key)))]
+                for j in range(8):
+                    parent, of = np.unique(_parent(levels[2][j].key), return_inverse=True)
+                    parts.append((np.full(len(parent), j), parent, np.zeros(len(parent), np.int64), np.bincount(of, logs[2][j], len(parent))))
+                level, key, n, log = map(np.concatenate, zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(key.astype(np.int64)), pa.array(n, pa.int64()), pa.array(log, pa.float64())], names=["level", "key", "n", "log"])
+
+    rows = (counted.select("keys", "counts").mapInArrow(sums, "level int, key bigint, n bigint, log double")
+            .groupBy("level", "key").agg(F.sum("n").alias("n"), F.sum("log").alias("log")).toPandas().sort_values(["level", "key"]))
+    level, key, n, log = (rows[c].to_numpy(t) for c, t in (("level", np.int64), ("key", np.int64), ("n", np.int64), ("log", float)))
+    ones = key[level == strings].astype(np.uint64), n[level == strings]
+    zeros = _shorter(*ones) if len(ones[0]) else ones
+    levels, above = _levels(*ones), _levels(*zeros)
+    both = [_halves(levels[j].log_block(), log[level == j]) for j in range(8)]
+    top = [_weighted(above[j], levels[j], both[j][0]) for j in range(8)]
+    mixed = [_Mixed(x.key, np.zeros(len(x.key)), np.ones(len(x.key))) for x in above]
+    next_ = _next_mixed(above, mixed, [t[1] for t in top], levels)
+    return _Upper([zeros[0], ones[0]], [_table(zeros[0], above, mixed), _table(ones[0], levels, next_)], levels, next_, [b[1] for b in both])
+
+
+def _piece_tree(keys: np.ndarray, counts: np.ndarray, depth: int, upper: _Upper) -> ByteTree:
+    """The tree of a piece of a block, with depths 0 and 1 of all."""
+    tables, levels, _, stops = _tree(keys, counts, depth, 2)
+    mixed = _next_mixed(upper.levels, upper.mixed, upper.stops, levels[2])
+    bits = list(upper.bits)
+    for d in range(2, depth + 1):
+        bits.append(_table(tables[d][0], levels[d], mixed))
+        if d < depth:
+            mixed = _next_mixed(levels[d], mixed, stops[d], levels[d + 1])
+    return ByteTree(depth, [*upper.keys, *(tables[d][0] for d in range(2, depth + 1))], bits)
+
+
 def fit_tree(training: DataFrame, depth: int = 5, max_strings: int = 8_000_000) -> ByteTree:
-    """Context-tree model of the texts of ``training``."""
+    """Context-tree model of the texts of ``training``, whole on the driver, for looking into a small model.
+
+    Scoring does not use it. The depth falls until at most ``max_strings`` strings are held.
+    """
     blocks = shuffle_partitions(training.sparkSession)
-    counted = store(string_counts(training, depth, blocks), "strings")
-    rows = counted.select("keys", "counts")
+    full = depth
+    counted = store(string_counts(training, full, blocks), "strings")
 
-    # Depths whose tables fit: the number of distinct strings of each depth.
     def sizes(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k, c = np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
-                found = [len(k)] + [len(_shorter(k, c, by)[0]) for by in range(1, depth - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(depth, depth - len(found), -1), pa.int32()), pa.array(found, pa.int64())], names=["depth", "n"])
+        for k, c in _counted(batches):
+            found = [len(k)] + [len(_shorter(k, c, by)[0]) for by in range(1, full - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(full, full - len(found), -1), pa.int32()), pa.array(found, pa.int64())], names=["depth", "n"])
 
-    held = dict(rows.mapInArrow(sizes, "depth int, n bigint").groupBy("depth").agg(F.sum("n")).collect())
+    held = dict(counted.select("keys", "counts").mapInArrow(sizes, "depth int, n bigint").groupBy("depth").agg(F.sum("n")).collect())
     while depth > 2 and sum(n for d, n in held.items() if d <= depth) > max_strings:
         depth -= 1
-    full = max(held, default=depth)
-    top = 2
-
-    def block(k, c):
-        k, c = np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
-        return _shorter(k, c, full - depth) if depth < full else (k, c)
-
-    # Depth 2 of every block: its strings, and what its nodes weigh.
-    def seconds(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tables, levels, logs, _ = _tree(*block(k, c), depth, top)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tables[top][0].tobytes()]), pa.array([tables[top][1].astype("<i8").tobytes()]),
-                     pa.array([[x.key.tobytes() for x in levels[top]]]), pa.array([[x.astype("<f8").tobytes() for x in logs[top]]])],
-                    names=["keys", "counts", "nodes", "logs"])
-
-    below = rows.mapInArrow(seconds, "keys binary, counts binary, nodes array<binary>, logs array<binary>").collect()
-    if not below:
-        return ByteTree(depth, [np.zeros(0, np.uint64)] * (depth + 1), [np.zeros((0, 8), "<f4")] * (depth + 1))
-    keys2, counts2 = _added([np.frombuffer(r["keys"], "<u8") for r in below], [np.frombuffer(r["counts"], "<i8") for r in below])
-    nodes = [np.concatenate([np.frombuffer(r["nodes"][j], "<u8") for r in below]) for j in range(8)]
-    logs = [np.concatenate([np.frombuffer(r["logs"][j], "<f8") for r in below]) for j in range(8)]
-    # The levels above, from the strings of depth 2.
-    tables, levels, stops, mixed = {2: (keys2, counts2)}, {2: [_Level(k, k, k) for k in nodes]}, {}, {}
-    for d in (1, 0):
-        tables[d] = _shorter(*tables[d + 1])
-        levels[d] = _levels(*tables[d])
-        both = [_weighted(levels[d][j], levels[d + 1][j], logs[j]) for j in range(8)]
-        logs, stops[d] = [b[0] for b in both], [b[1] for b in both]
-    mixed[0] = [_Mixed(x.key, np.zeros(len(x.key)), np.ones(len(x.key))) for x in levels[0]]
-    mixed[1] = _next_mixed(levels[0], mixed[0], stops[0], levels[1])
-    out = {d: (tables[d][0], _table(tables[d][0], levels[d], mixed[d])) for d in (0, 1)}
-    first = (levels[1], mixed[1], stops[1])
-
-    def tables_of(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tables, levels, _, stops = _tree(*block(k, c), depth, top)
-                mixed = _next_mixed(*first, levels[top])
-                for d in range(top, depth + 1):
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([tables[d][0].tobytes()]), pa.array([_table(tables[d][0], levels[d], mixed).tobytes()])],
-                                                     names=["depth", "keys", "bits"])
-                    if d < depth:
-                        mixed = _next_mixed(levels[d], mixed, stops[d], levels[d + 1])
-
-    got = rows.mapInArrow(tables_of, "depth int, keys binary, bits binary").collect()
-    by_depth: dict[int, list] = {}
-    while got:  # rows are let go as they are used: the tables are held once
-        r = got.pop()
-        by_depth.setdefault(r["depth"], []).append((r["keys"], r["bits"]))
-    for d in range(top, depth + 1):
-        parts = by_depth.pop(d)
-        n = [len(k) // 8 for k, _ in parts]
-        k, b, at = np.empty(sum(n), np.uint64), np.empty((sum(n), 8), "<f4"), 0
-        while parts:
-            keys_, bits_ = parts.pop()
-            end = at + len(keys_) // 8
-            k[at:end], b[at:end] = np.frombuffer(keys_, "<u8"), np.frombuffer(bits_, "<f4").reshape(-1, 8)
-            at = end
+    if depth < full:
+        counted = store(string_counts(training, depth, blocks), "strings")
+    upper = _upper_tree(counted, depth)
+    parts = [_piece_tree(np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8"), depth, upper) for r in counted.select("keys", "counts").collect()]
+    keys, bits = list(upper.keys), list(upper.bits)
+    for d in range(2, depth + 1):
+        k = np.concatenate([t.keys[d] for t in parts] or [np.zeros(0, np.uint64)])
         order = np.argsort(k)
-        out[d] = (k[order], b[order])
-        del k, b, order
-    return ByteTree(depth, [out[d][0] for d in range(depth + 1)], [out[d][1] for d in range(depth + 1)])
+        keys.append(k[order])
+        bits.append(np.concatenate([t.bits[d] for t in parts] or [np.zeros((0, 8), "<f4")])[order])
+    return ByteTree(depth, keys, bits)
 
 
 def log10_probabilities(tree: ByteTree, keys: np.ndarray) -> np.ndarray:
@@ -495,57 +427,147 @@ def log10_probabilities(tree: ByteTree, keys: np.ndarray) -> np.ndarray:
     return out + (8 - known) * math.log10(0.5)
 
 
-def score_texts(texts: list[bytes], tree: ByteTree) -> np.ndarray:
-    """log10 probability of each text (which ends with END)."""
-    keys, starts, _ = _strings(texts, tree.depth)
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    logs = np.empty(len(keys))
-    logs[order] = np.repeat(log10_probabilities(tree, keys[at]), np.diff(np.append(at, len(keys))))
-    return np.add.reduceat(logs, starts)
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte (first all lowest bytes), which compresses well."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _by_block(block: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The blocks of keys, and which keys are in each."""
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+    return [(int(block[a]), order[a:b]) for a, b in zip(at, [*at[1:], len(block)])]
+
+
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("has_id", pa.binary()), ("held_out", pa.binary()), ("lengths", pa.binary()), ("text", pa.binary())])
+
+
+def _deal(batches):
+    """mapInArrow body over (doc_id, held_out, text): chunks of about FLUSH_BYTES, a row each."""
+    held, size = [], 0
+
+    def flush():
+        lengths = np.array([len(r[2]) for r in held], "<i8")
+        row = (uuid.uuid4().int >> 65, np.array([r[0] or 0 for r in held], "<i8").tobytes(), np.array([r[0] is not None for r in held]).tobytes(),
+               np.array([r[1] for r in held], bool).tobytes(), lengths.tobytes(), pa.compress(b"".join(r[2] for r in held), codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNKS)], schema=_CHUNKS)
+
+    for batch in batches:
+        for doc_id, out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            held.append((doc_id, out, _text(text)))
+            size += len(held[-1][2])
+            if size >= FLUSH_BYTES:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _texts_of(lengths: bytes, text: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
+    raw = pa.decompress(text, decompressed_size=ends[-1], codec="zstd", asbytes=True)
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _scored(chunks: DataFrame, tokens: DataFrame, frequent: tuple[np.ndarray, np.ndarray], unit: float, strings: DataFrame, depth: int, blocks: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score of all rows in ``chunks``, by the counts of tokens and strings."""
+    upper = _upper_tree(strings, depth)
+    shift = np.uint64(8 * (depth - 2) + 8)
+    whole = strings.agg(F.coalesce(F.sum("total"), F.lit(0))).collect()[0][0]
+    copied = strings.select("block", "keys", "counts", F.greatest(F.lit(1), F.round(F.col("total") * blocks / F.lit(max(1, whole)))).cast("int").alias("copies"))
+    copies = {r["block"]: r["copies"] for r in copied.select("block", "copies").where("copies > 1").collect()}
+    # Blocks of tokens are numbered behind those of strings.
+    known = (copied.select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "keys", "counts")
+             .unionByName(tokens.select((F.col("block") + blocks).alias("block"), F.lit(0).alias("copy"), "keys", "counts")))
+
+    def rare_of(texts, words):
+        """Every text's tokens (as indices of the distinct ones), the distinct ones, their counts if frequent, and which are rare."""
+        hashes = [_token_hashes(t.split(), words) for t in texts]
+        value, of = np.unique(np.concatenate(hashes), return_inverse=True)
+        often = _lookup(*frequent, value)
+        return [len(h) for h in hashes], value, of, often, np.flatnonzero(often == 0)
+
+    def ask(batches):
+        words = WordHashes()
+        for batch in batches:
+            for chunk, lengths, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                texts = _texts_of(lengths, text)
+                keys = np.unique(_strings(texts, depth)[0])
+                parts = [(b, chunk % copies.get(b, 1), keys[x]) for b, x in _by_block(_block_of(keys >> shift, blocks))]
+                _, value, _, _, rare = rare_of(texts, words)
+                parts += [(blocks + b, 0, value[rare[x]]) for b, x in _by_block(_block_of(value[rare], blocks))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int32()), pa.array([x[1] for x in parts], pa.int32()), pa.array([chunk] * len(parts), pa.int64()),
+                                                  pa.array([_packed_keys(x[2]) for x in parts], pa.binary())], names=["block", "copy", "chunk", "asked"])
+
+    def logs_of(distinct, keys, counts):
+        out, at, none = np.empty(len(distinct), "<f8"), 0, np.zeros(0, np.uint64)
+        for piece in _pieces(keys, counts, depth):
+            end = int(np.searchsorted(distinct >> shift, piece[0][-1] >> shift, "right"))
+            if end > at:
+                out[at:end] = log10_probabilities(_piece_tree(*piece, depth, upper), distinct[at:end])
+            at = end
+        if at < len(distinct):  # behind the last pair of bytes that was met
+            out[at:] = log10_probabilities(ByteTree(depth, [*upper.keys, *[none] * (depth - 1)], [*upper.bits, *[np.zeros((0, 8), "<f4")] * (depth - 1)]), distinct[at:])
+        return out
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        wanted = [_unpacked_keys(x) for x in asked.column("asked").to_pylist()]
+        keys, counts = (np.frombuffer(table.column(c)[0].as_py() if len(table) else b"", t) for c, t in (("keys", "<u8"), ("counts", "<i8")))
+        if wanted and asked.column("block")[0].as_py() >= blocks:
+            found = [_lookup(keys, counts, w).astype("<i8") for w in wanted]
+        elif wanted:
+            distinct = np.unique(np.concatenate(wanted))
+            logs = logs_of(distinct, keys, counts)
+            found = [logs[np.searchsorted(distinct, w)] for w in wanted]
+        else:
+            found = []
+        return pa.table({"block": asked.column("block"), "chunk": asked.column("chunk"), "found": pa.array([x.tobytes() for x in found], pa.binary())})
+
+    def add(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        texts = _texts_of(row["lengths"], row["text"])
+        found = dict(zip(answers.column("block").to_pylist(), answers.column("found").to_pylist()))
+        n, value, of, count, rare = rare_of(texts, WordHashes())
+        for b, x in _by_block(_block_of(value[rare], blocks)):
+            count[rare[x]] = np.frombuffer(found[blocks + b], "<i8")
+        first = np.cumsum([0, *n[:-1]])
+        base, seen = np.add.reduceat((np.log10(count + 0.5) - unit)[of], first), np.add.reduceat((count > 0).astype(np.int64)[of], first)
+        keys, starts, _ = _strings(texts, depth)
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        distinct = np.empty(len(at))
+        for b, x in _by_block(_block_of(keys[at] >> shift, blocks)):
+            distinct[x] = np.frombuffer(found[b], "<f8")
+        logs = np.empty(len(keys))
+        logs[order] = np.repeat(distinct, np.diff(np.append(at, len(keys))))
+        return pa.table({"doc_id": pa.array(np.frombuffer(row["ids"], "<i8"), mask=~np.frombuffer(row["has_id"], bool)), "held_out": pa.array(np.frombuffer(row["held_out"], bool)),
+                         "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(logs, starts))})
+
+    asked = chunks.select("chunk", "lengths", "text").mapInArrow(ask, "block int, copy int, chunk bigint, asked binary")
+    answers = asked.groupBy("block", "copy").cogroup(known.groupBy("block", "copy")).applyInArrow(answer, "block int, chunk bigint, found binary")
+    return (chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+            .applyInArrow(add, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
 
 
 def score_documents(docs: DataFrame, training: Column, held_out: Column, depth: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; the model learns from the rows where ``training`` holds."""
-    spark = docs.sparkSession
-    blocks = shuffle_partitions(spark)
+    blocks = shuffle_partitions(docs.sparkSession)
     learned = docs.where(training)
     counts = store(token_counts(learned, blocks), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).collect()[0]
     frequent = _frequent(counts, max(1, total * FREQUENT_SHARE))
     unit = math.log10(total + 0.5 * (distinct + 1))
-    tree = spark.sparkContext.broadcast(tuple(fit_tree(learned, depth)))  # plain types: read without this package
-
-    def score(batches):
-        words = WordHashes()
-        model = ByteTree(*tree.value)
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            n, logs, known, scores = [], [], [], []
-            held, size = [], 0
-            for k, text in enumerate(texts):
-                tokens = _token_hashes(text, words)
-                c = _lookup(*frequent, tokens)
-                n.append(len(tokens))
-                logs.append(float(np.log10(c[c > 0] + 0.5).sum()))
-                known.append(int((c > 0).sum()))
-                held.append(_text(text))
-                size += len(held[-1])
-                if size >= FLUSH_BYTES or k + 1 == len(texts):
-                    scores += score_texts(held, model).tolist()
-                    held, size = [], 0
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(logs, pa.float64()), pa.array(known, pa.int64()), pa.array(scores, pa.float64())],
-                                             names=["doc_id", "row_key", "held_out", "n_tokens", "often_log", "often", "score"])
-
-    rows = docs.select("doc_id", F.coalesce(row_key(), F.lit(0)).alias("row_key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    scored = rows.mapInArrow(score, "doc_id bigint, row_key bigint, held_out boolean, n_tokens bigint, often_log double, often bigint, score double")
-    rare = _rare_sums(rows.select("doc_id", "row_key", "text"), counts, frequent, blocks)
-    s, r = scored.alias("s"), rare.alias("r")
-    joined = s.join(r, F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("s.row_key") == F.col("r.row_key")), "left")
-    return joined.select(
-        "s.doc_id", "held_out", "n_tokens", (F.col("often") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("often_log") + F.coalesce("log_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"), "score")
+    strings = store(string_counts(learned, depth, blocks), "strings")
+    # Stored, as a chunk must hold the same rows whenever it is read.
+    chunks = store(docs.select("doc_id", F.coalesce(held_out, F.lit(False)), "text").mapInArrow(_deal, "chunk bigint, ids binary, has_id binary, held_out binary, lengths binary, text binary"), "chunks")
+    scored = _scored(chunks, counts, frequent, unit, strings, depth, blocks)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 #: Rows with this remainder of crc32 modulo 5 are held out.

@@ -127,6 +127,18 @@ def test_depth_follows_the_bound(documents):
     assert tree.depth == 2
 
 
+def test_scores_are_of_the_full_depth_at_any_size(documents, monkeypatch):
+    fit = lm.fit_tree
+    monkeypatch.setattr(lm, "fit_tree", lambda training, depth=5: fit(training, depth, max_strings=10))
+    monkeypatch.setattr(lm, "FLUSH_BYTES", 300)
+    monkeypatch.setattr(lm, "PIECE", 20)
+    rows = _rows(4, 90)
+    plain = _plain([t for i, t in rows if i % 3], 5)
+    got = {r["doc_id"]: r["score"] for r in score_documents(documents(rows), F.col("doc_id") % 3 != 0, F.col("doc_id") % 3 == 0).collect()}
+    for i, text in rows:
+        assert abs(got[i] - sum(plain(*s) for s in _strings_of([text], 5))) < 1e-3
+
+
 def test_held_out_scores_keep_up_with_the_base(spark):
     got = op8_lm_scoring(spark, "/root/testdata/sf0.01").toPandas()
     test = got[got["held_out"]]
