@@ -10,9 +10,13 @@ distance of at most t = floor(``max_edits`` * n) from the item.
 2. These item-sized windows and the items are embedded by CGK random walks: at every step the current word is
    written, and a hash of step and word decides whether to go on to the next. Words inserted or dropped shift
    the walk only until it synchronises, so edit distance becomes Hamming distance.
-3. Bit-sampling LSH on the embeddings: a window is a candidate if it agrees with the item on all ``SAMPLED``
-   positions of any table. The number of tables follows from the target recall and the share of positions on
-   which a window at the bound still agrees.
+   The walks of long texts stay out of step for longer, so items of more than ``PIECE_WORDS`` words are embedded
+   in pieces: of a window within the bound, some piece has at most its share of the edits, and so a run of
+   ``GRAM`` words of its own.
+3. Bit-sampling LSH on the embeddings: a window is a candidate if it agrees with the item, or one of its pieces,
+   on all ``SAMPLED`` positions of any table. The number of tables follows from the target recall and the share
+   of positions on which a piece at the bound still agrees. Items that may have more edits than that share was
+   measured for (``MEASURED_EDITS``), or whose pieces need not keep a run, are verified wherever a run is shared.
 4. Candidates are verified by the exact edit distance (Myers' bit-parallel algorithm, the window free to begin
    and end up to t words earlier or later).
 
@@ -40,8 +44,11 @@ GRAM = 3
 SAMPLED = 2
 #: Independent walks; tables take their positions from one walk each.
 WALKS = 8
-#: Share of embedded positions on which a window at the distance bound agrees with its item, at least (measured in tests).
+#: Share of embedded positions on which a window with MEASURED_EDITS agrees with its item of at most PIECE_WORDS words (measured in tests).
 AGREEMENT = 0.4
+MEASURED_EDITS = 0.2
+#: Longer items are embedded in pieces.
+PIECE_WORDS = 30
 BLOCK_WORDS = 2_000_000
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -121,14 +128,20 @@ class Items:
         self.words = [np.array(w, np.uint64) for _, w in split]
         self.lists = [w for _, w in split]
         self.bound = np.array([edit_bound(len(w), max_edits) for w in self.words], np.int64)
-        n = np.array([len(w) for w in self.words], np.int64)
-        self.n = n
-        grams = [_grams(w) for w in self.words]
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        # Pieces: their item, their first word in it, their words, and whether they need no collision to be verified.
+        pieces = [(k, a, w[a:b], sure) for k, w in enumerate(self.words) for a, b, sure in self._cut(k)]
+        self.item_of = np.array([x[0] for x in pieces], np.int64)
+        self.first = np.array([x[1] for x in pieces], np.int64)
+        self.pieces = [x[2] for x in pieces]
+        self.piece_n = np.array([len(w) for w in self.pieces], np.int64)
+        self.sure = np.array([x[3] for x in pieces], bool)
+        grams = [_grams(w) for w in self.pieces]
         gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in
+        piece, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in
                         ([np.full(len(g), k) for k, g in enumerate(grams)], [np.arange(len(g)) for g in grams]))
         order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.offset = gram[order], item[order], offset[order]
+        self.gram, self.piece, self.offset = gram[order], piece[order], offset[order]
         self.maybe = np.zeros(1 << 22, bool)  # a quick no for most runs of words
         self.maybe[(gram >> np.uint64(42)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
@@ -137,11 +150,22 @@ class Items:
         # Positions as shares of the walk over an item; a walk over n words takes 2n steps on average.
         self.places = rng.random((tables, SAMPLED))
 
+    def _cut(self, k: int) -> list[tuple[int, int, bool]]:
+        """Pieces (start, end) of item k that are embedded by themselves, or (..., True) to verify without."""
+        n, t = int(self.n[k]), int(self.bound[k])
+        parts = -(-n // PIECE_WORDS)
+        ends = [n * i // parts for i in range(parts + 1)]
+        cut = list(zip(ends, ends[1:]))
+        kept = [(b - a - t * (b - a) // n, t * (b - a) // n + 1) for a, b in cut]  # words not edited, and the runs they can be in
+        if t > MEASURED_EDITS * n + 1e-9 or any(-(-words // runs) < GRAM for words, runs in kept):
+            return [(0, n, True)]
+        return [(a, b, False) for a, b in cut]
+
     def steps(self, k: np.ndarray) -> np.ndarray:
-        return (1.5 * self.n[k]).astype(np.int64)
+        return (1.5 * self.piece_n[k]).astype(np.int64)
 
     def places_of(self, k: np.ndarray) -> np.ndarray:
-        """Sampled positions of every table (axis 1) for the items k."""
+        """Sampled positions of every table (axis 1) for the pieces k."""
         return (self.places[None] * self.steps(k)[:, None, None]).astype(np.int64)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
@@ -164,26 +188,28 @@ class Items:
         if not many.any():
             return out
         hit = np.repeat(left, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pairs = np.unique(np.stack([np.repeat(of, many), self.item[hit], np.repeat(at, many) - self.offset[hit]], axis=1), axis=0)
-        text, item, start = pairs[:, 0], pairs[:, 1], pairs[:, 2]
+        pairs = np.unique(np.stack([np.repeat(of, many), self.piece[hit], np.repeat(at, many) - self.offset[hit]], axis=1), axis=0)
+        text, piece, start = pairs[:, 0], pairs[:, 1], pairs[:, 2]
         low = high - sizes
-        keep = self._candidates(h, item, start, low[text], high[text])
-        text, item, start = text[keep], item[keep], start[keep]
+        keep = self.sure[piece]
+        rest = np.flatnonzero(~keep)
+        keep[rest] = self._candidates(h, piece[rest], start[rest], low[text[rest]], high[text[rest]])
+        text, item, start = text[keep], self.item_of[piece[keep]], start[keep] - self.first[piece[keep]]
         for d in np.unique(text):
             mine = text == d
             out[d] = self._verified(texts[d], item[mine], start[mine] - low[d])
         return out
 
-    def _candidates(self, h, item, start, low, high, block: int = 1 << 13):
-        """Which windows (from start on, within low and high) collide with their item in a table."""
-        keep = np.zeros(len(item), bool)
-        order = np.argsort(self.n[item], kind="stable")  # windows of like size are embedded together
+    def _candidates(self, h, piece, start, low, high, block: int = 1 << 13):
+        """Which windows (from start on, within low and high) collide with their piece of an item in a table."""
+        keep = np.zeros(len(piece), bool)
+        order = np.argsort(self.piece_n[piece], kind="stable")  # windows of like size are embedded together
         for a in range(0, len(order), block):
-            k, s, lo, hi = (x[order[a:a + block]] for x in (item, start, low, high))
-            n = int(self.n[k].max())
+            k, s, lo, hi = (x[order[a:a + block]] for x in (piece, start, low, high))
+            n = int(self.piece_n[k].max())
             steps = int(1.5 * n) + 1
             at = s[:, None] + np.arange(n)
-            inside = (at >= lo[:, None]) & (at < hi[:, None]) & (np.arange(n) < self.n[k][:, None])
+            inside = (at >= lo[:, None]) & (at < hi[:, None]) & (np.arange(n) < self.piece_n[k][:, None])
             windows = np.where(inside, h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
             # Words before the document's beginning are missing: move the rest to the front.
             for r in np.flatnonzero(s < lo):
@@ -192,7 +218,7 @@ class Items:
             which, of = np.unique(k, return_inverse=True)
             rows = np.zeros((len(which), n), np.uint64)
             for r, w in enumerate(which):
-                rows[r, :self.n[w]] = self.words[w]
+                rows[r, :self.piece_n[w]] = self.pieces[w]
             places = self.places_of(k)
             hits = np.zeros(len(k), bool)
             for walk in range(WALKS):

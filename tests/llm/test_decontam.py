@@ -97,6 +97,43 @@ def test_embedding_agrees_at_the_bound():
     assert np.mean(shares) > decontam.AGREEMENT
 
 
+def _at_the_bound(rng, n, substitutions):
+    """An item, and words that hold it with as many edits as allowed."""
+    a = ["w%d" % rng.randrange(10 ** 9) for _ in range(n)]
+    b = list(a)
+    for at in sorted(rng.sample(range(n), edit_bound(n, 0.2)), reverse=True):
+        kind = 0 if substitutions else rng.randrange(3)  # 1 drops a word, 2 puts one in
+        b[at:at + (kind < 2)] = [] if kind == 1 else ["new%d" % rng.randrange(10 ** 9)]
+    return " ".join(a), ["x%d" % i for i in range(7)] + b + ["y%d" % i for i in range(9)]
+
+
+def _found(pairs, max_edits=0.2):
+    items = Items([(k, item) for k, (item, _) in enumerate(pairs)], max_edits, 5, 0.999)
+    words = decontam.WordHashes()
+    got = items.find([np.array([words[w.encode()] for w in doc], np.uint64) for _, doc in pairs])
+    return [any(k == x[0] for x in found) for k, found in enumerate(got)]
+
+
+def test_recall_at_the_bound_for_long_items():
+    rng = random.Random(11)
+    for substitutions in (True, False):
+        for n in (30, 60, 100, 200, 400, 1000):
+            found = _found([_at_the_bound(rng, n, substitutions) for _ in range(60)])
+            assert sum(found) == len(found), (n, substitutions, sum(found))
+
+
+def test_more_edits_than_measured_are_verified():
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(40):
+        a = ["w%d" % rng.randrange(10 ** 9) for _ in range(200)]
+        b = list(a)
+        for at in range(edit_bound(200, 0.3)):
+            b[3 * at + 2] = "new%d" % at
+        pairs.append((" ".join(a), b))
+    assert all(_found(pairs, 0.3))
+
+
 def test_edit_distance():
     rng = random.Random(8)
     for _ in range(300):
