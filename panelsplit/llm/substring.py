@@ -15,8 +15,9 @@ Most windows occur once, so the index is built of those that may recur:
 2. Only windows with such a seed go to the index, which finds the smallest doc_id that holds a window.
 
 Both steps combine what meets within a task before the shuffle: a task sends one entry for a hash, that of
-its smallest document, and answers the others itself. So a passage that a third of the documents share
-costs an entry a task, not one a document. Entries travel packed, a row for each task and block.
+its smallest document, to the hash's block, and answers the others itself: these answers are grouped by document,
+not by hash. So a passage that a third of the documents share costs its block an entry a task, not one a
+document. Entries travel packed, a row for each task and block.
 
 Hashes have 64 bits. Words are runs of characters other than ASCII white space, unchanged.
 
@@ -97,9 +98,12 @@ _ARROW = pa.schema([("block", pa.int32()), ("known", pa.bool_()), ("value", pa.b
 
 
 def _packed(blocks: int, known: bool, value, owner, position, ids, row_keys) -> pa.RecordBatch:
-    """Entries packed a row for each block; owner becomes an index into the row's own ids."""
+    """Entries packed a row for each block; owner becomes an index into the row's own ids.
+
+    What is asked goes to the block of its value, what is known to one of as many more blocks by its document."""
     with np.errstate(over="ignore"):
-        block = ((value * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(blocks)
+        block = (((ids[owner].astype(np.uint64) * np.uint64(_BASE)) if known else (value * np.uint64(0xBF58476D1CE4E5B9))) >> np.uint64(33)) % np.uint64(blocks)
+    block += np.uint64(blocks if known else 0)
     order = np.lexsort((position, owner, block))
     block, value, owner, position = block[order], value[order], owner[order], position[order]
     at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []

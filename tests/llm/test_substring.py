@@ -1,7 +1,9 @@
+import collections
 import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from panelsplit.llm import substring
 from panelsplit.llm.common import table
@@ -44,6 +46,24 @@ def test_many_small_tasks(documents, monkeypatch):
     _compare(without_duplicates(documents(rows).repartition(7)), rows)
 
 
+def test_a_shared_passage_costs_its_block_an_entry_a_task():
+    text = " ".join("w%d" % i for i in range(20))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([0] * 200), pa.array([text] * 200)], names=["doc_id", "row_key", "text"])
+
+    def seeds(h):
+        v = np.unique(substring.window_seeds(h, 13, 5))
+        return v, np.zeros(len(v), np.uint32)
+
+    met = collections.Counter()
+    for rows in substring._entries(8, seeds, True)(iter([batch])):
+        for r in rows.to_pylist():
+            met.update((r["block"], v) for v in np.frombuffer(r["value"], "<u8").tolist())
+    values = {v for _, v in met}
+    assert sum(met.values()) >= 200 * len(values)
+    for v in values:
+        assert max(n for (_, w), n in met.items() if w == v) < 100  # of 200 documents
+
+
 def test_query_on_the_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in table(spark, sf, "documents").collect()]
