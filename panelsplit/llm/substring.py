@@ -1,12 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
-
-Every document is parsed greedily into factors that also occur in an earlier document (one with a
-smaller doc_id) and literals in between. The reference, all documents, is indexed by its windows of
-``window`` words in blocks: the window's hash says which block holds it, and every document is looked up
-in every block that could hold one of its windows. A factor grows as long as the next window is in the
-index, too; where it ends, the window across the boundary is checked by itself, so no repeat is lost
-between two factors and none is invented by joining them. Factors of at least ``window`` words are the
-duplicate spans.
+"""Substring deduplication by lookup of windows, in place of a relative Lempel-Ziv parse.
+
+A duplicate span is a run of words all of whose windows of ``window`` words occur in an earlier document (one
+with a smaller doc_id). All documents are indexed by their windows in blocks: the window's hash says which
+block holds it, and every document is looked up in every block that could hold one of its windows. No
+document is matched against a reference text: the windows of a span may be of several documents, and the span
+need not occur whole in any one of them.
 
 Most windows occur once, so the index is built of those that may recur:
 
