@@ -39,12 +39,13 @@ _ASSIGN = re.compile(
 _ASSIGN_CUES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
-_WEAK_ID = re.compile(rb"(?:user(?:name)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9._@-]{3,})")
+_WEAK_ID = re.compile(rb"(?:user(?:_?name|_?id)?|login(?:_?name|_?id)?|account(?:_?name|_?id)?|client_?(?:id|name)|access_?key_?(?:id|name))[\"']?\x20*[:=]\x20*[\"']?([a-z0-9._@-]{3,})")
 _WEAK_ID_CUES = (b"user", b"login", b"account", b"client", b"access")
 _ENDPOINT = re.compile(rb"(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]+")
-#: 40 characters of base64 with a sign or digit and both cases: the form of many access secrets.
-_WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{40}={0,2}(?![A-Za-z0-9+/=])")
-_LONG_RUN = re.compile(rb"[A-Za-z0-9+/]{40}")
+#: 24 to 128 characters of base64 with both cases and a digit, or 40 (the form of many access secrets) with a sign instead of the digit.
+_WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])"
+                          rb"(?:[A-Za-z0-9+/]{40}|(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{24,128})={0,2}(?![A-Za-z0-9+/=])")
+_LONG_RUN = re.compile(rb"[A-Za-z0-9+/]{24}")
 
 
 def parts_of(text: str) -> list[tuple[str, int, int]]:

@@ -33,6 +33,19 @@ def test_weak_parts_need_a_complement_in_reach(documents):
     assert kinds == {2: {"assign", "weak_id"}, 3: {"assign"}, 4: {"assign", "endpoint"}, 6: {"weak_id", "weak_secret", "endpoint"}}
 
 
+def test_keys_of_other_lengths(documents):
+    rows = []
+    for n in (24, 43, 64, 86, 128, 130):
+        key = ("Zm9vYmFyQmF6UXV4MTIz" * 7)[:n] + "=" * (-n % 4 % 3)
+        rows += [(n, f"x AccountName=devstore;AccountKey={key};y"), (1000 + n, f"x AccountKey={key};y"), (2000 + n, f"user_name: annabel, key {key}")]
+    got = {i: t for i, t in ((r["doc_id"], r["text"]) for r in mask_secrets(documents(rows)).collect())}
+    for i, text in rows:
+        if i > 1000 and i < 2000 or i % 1000 == 130:
+            assert got[i] == text
+        else:
+            assert got[i] == ("x AccountName=<secret>;AccountKey=<secret>;y" if i < 1000 else "user_name: <secret>, key <secret>")
+
+
 def test_repeated_rows_and_ids(documents):
     rows = [(1, "token = abcdefgh1"), (1, "token = abcdefgh1"), (1, "nothing"), (None, "AKIA" + "Z" * 16)]
     got = sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"]) for r in _digest(documents(rows)).collect())
