@@ -255,15 +255,21 @@ def op11_phrase_collocation(spark, sf_dir: str) -> DataFrame:
 
 OP11_SQL = r"""
 WITH pieces AS (
-    SELECT coalesce(lang, 'und') AS lang,
-           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
-    FROM documents),
-sequences AS (
-    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM sequences),
+    SELECT row_number() OVER () AS piece_id, lang, piece FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+words AS (
+    SELECT piece_id, lang, unnest(w) AS w1, unnest(range(len(w))) AS i
+    FROM (SELECT piece_id, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)),
+followed AS (
+    SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4
+    FROM words WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
 grams AS (
-    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
-    FROM starts, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+    SELECT lang, 1 AS k, w1 AS phrase FROM followed
+    UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM followed WHERE w2 IS NOT NULL
+    UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM followed WHERE w3 IS NOT NULL
+    UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM followed WHERE w4 IS NOT NULL),
 counts AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
