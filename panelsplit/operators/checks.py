@@ -75,9 +75,9 @@ def gate(checks: DataFrame, what: str = "checks", report: str | None = None) ->
 
 
 def closure_violations(bridge: DataFrame, keys: Sequence[str], flag: str = "closes") -> DataFrame:
-    """(keys, check_name='bridge closes', violations) from a bridge's flag."""
+    """(keys, check_name='bridge closes', violations) from a bridge's flag; a bridge that can't say (NULL) is a violation."""
     return bridge.groupBy(*keys).agg(
-        F.lit("bridge closes").alias("check_name"), F.count_if(~F.col(flag)).alias("violations"))
+        F.lit("bridge closes").alias("check_name"), F.count_if(~F.coalesce(F.col(flag), F.lit(False))).alias("violations"))
 
 
 def freshness(panel: DataFrame, keys: Sequence[str], as_of: str | _dt.date,

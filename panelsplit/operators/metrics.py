@@ -22,20 +22,21 @@ from .panel import annual_metrics, entity_window, with_year
 def trailing_sum(panel: DataFrame, keys: Sequence[str], col: str, n: int = 4,
                  spec: PanelSpec = DEFAULT, name: str | None = None,
                  index: Column | None = None) -> DataFrame:
-    """Trailing n-period sum, only on full windows (NULL otherwise).
+    """Trailing n-period sum, only on windows with n values (NULL otherwise: a period
+    without a value leaves the window short, as it leaves a year incomplete).
 
     Adds ``{name}`` (ROWS window: the last n rows) and ``{name}_contiguous``
     (RANGE window over the calendar index - quarter index by default, pass
-    e.g. a day number for daily panels - NULL when a gap leaves fewer than n
-    rows in it)."""
+    e.g. a day number for daily panels - NULL when a gap or a NULL leaves fewer than n
+    values in it)."""
     name = name or f"{col}_{n}q"
     base = entity_window(keys)
     by_rows = base.orderBy(spec.period).rowsBetween(-(n - 1), 0)
     idx = index if index is not None else quarter_index(spec.period)
     by_range = base.orderBy(idx).rangeBetween(-(n - 1), 0)
     return panel.withColumns({
-        name: F.when(F.count(F.lit(1)).over(by_rows) == n, F.sum(col).over(by_rows)),
-        f"{name}_contiguous": F.when(F.count(F.lit(1)).over(by_range) == n, F.sum(col).over(by_range)),
+        name: F.when(F.count(col).over(by_rows) == n, F.sum(col).over(by_rows)),
+        f"{name}_contiguous": F.when(F.count(col).over(by_range) == n, F.sum(col).over(by_range)),
     })
 
 
@@ -53,7 +54,7 @@ def trailing_by_sequence(panel: DataFrame, keys: Sequence[str], col: str, n: int
     seq = sequence_number(panel, keys, spec)
     contrib = (seq.select(*keys, F.explode(F.sequence(F.col("seq"), F.col("seq") + (n - 1))).alias("seq"),
                           F.col(col).alias("_v"))
-               .groupBy(*keys, "seq").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n")))
+               .groupBy(*keys, "seq").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n")))
     return (seq.join(contrib, [*keys, "seq"], "left")
             .withColumn(f"{col}_{n}q_by_seq", F.when(F.col("_n") == n, F.col("_s")))
             .drop("_s", "_n"))

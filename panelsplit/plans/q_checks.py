@@ -131,7 +131,10 @@ _PUB_TWINS = [
 def _with_twins(spark, sf_dir):
     """Panel and published table (each from its own pass over the facts) with their damaged twins."""
     def twin(df, **changes):
-        return df.unionByName(df.withColumns({SEG[0]: F.concat(F.lit("damaged:"), F.col(SEG[0])), **changes}))
+        # Every aggregated row becomes itself and its twin: the facts below are read once.
+        changes = {SEG[0]: F.concat(F.lit("damaged:"), F.col(SEG[0])), **changes}
+        both = df.withColumn("_damaged", F.explode(F.array(F.lit(False), F.lit(True))))
+        return both.withColumns({c: F.when(F.col("_damaged"), x).otherwise(F.col(c)) for c, x in changes.items()}).drop("_damaged")
 
     panel = twin(FX.fact_panel(spark, sf_dir, SEG, line_level=False))
     published = twin(FX.published_from_facts(spark, sf_dir, SEG), pub_rate_pct=F.col("pub_rate_pct") + 1,

@@ -21,8 +21,8 @@ _QIDX = "(year(period) * 4 + quarter(period))"
 def _trailing_sql(key: str, cte: str) -> str:
     return _with(cte) + f"""
 SELECT {key}, period, write_offs,
-  CASE WHEN count(*) OVER w = 4 THEN sum(write_offs) OVER w END AS write_offs_4q,
-  CASE WHEN count(*) OVER wr = 4 THEN sum(write_offs) OVER wr END AS write_offs_4q_contiguous
+  CASE WHEN count(write_offs) OVER w = 4 THEN sum(write_offs) OVER w END AS write_offs_4q,
+  CASE WHEN count(write_offs) OVER wr = 4 THEN sum(write_offs) OVER wr END AS write_offs_4q_contiguous
 FROM panel
 WINDOW w AS (PARTITION BY {key} ORDER BY period ROWS BETWEEN 3 PRECEDING AND CURRENT ROW),
        wr AS (PARTITION BY {key} ORDER BY {_QIDX} RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)"""
@@ -51,8 +51,8 @@ _EVP = """panel AS (
 
 @register("trailing7_events", sql=sql_finish(_with(_EVP) + """
 SELECT event_type, period, events, value, users,
-  CASE WHEN count(*) OVER w = 7 THEN sum(value) OVER w END AS value_7d,
-  CASE WHEN count(*) OVER wr = 7 THEN sum(value) OVER wr END AS value_7d_contiguous
+  CASE WHEN count(value) OVER w = 7 THEN sum(value) OVER w END AS value_7d,
+  CASE WHEN count(value) OVER wr = 7 THEN sum(value) OVER wr END AS value_7d_contiguous
 FROM panel
 WINDOW w AS (PARTITION BY event_type ORDER BY period ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        wr AS (PARTITION BY event_type ORDER BY CAST(period - DATE '1970-01-01' AS BIGINT)
@@ -90,11 +90,11 @@ def seq_number(spark, sf_dir):
 SELECT a.c_mktsegment, a.period, a.seq, CASE WHEN c.n = 4 THEN c.s END AS write_offs_4q_by_seq,
   (CASE WHEN c.n = 4 THEN c.s END IS NOT DISTINCT FROM a.t) AS matches_window
 FROM (SELECT *, row_number() OVER w AS seq,
-        CASE WHEN count(*) OVER w4 = 4 THEN sum(write_offs) OVER w4 END AS t
+        CASE WHEN count(write_offs) OVER w4 = 4 THEN sum(write_offs) OVER w4 END AS t
       FROM panel WINDOW w AS (PARTITION BY c_mktsegment ORDER BY period),
                         w4 AS (PARTITION BY c_mktsegment ORDER BY period ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS a
 LEFT JOIN (
-  SELECT c_mktsegment, tseq AS seq, sum(write_offs) AS s, count(*) AS n
+  SELECT c_mktsegment, tseq AS seq, sum(write_offs) AS s, count(write_offs) AS n
   FROM (SELECT c_mktsegment, write_offs, unnest(generate_series(seq, seq + 3)) AS tseq
         FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY period) AS seq FROM panel) AS q) AS e
   GROUP BY ALL) AS c ON c.c_mktsegment = a.c_mktsegment AND c.seq = a.seq""",
@@ -111,7 +111,7 @@ def trailing4_by_seq(spark, sf_dir):
 SELECT o_custkey, min(CASE WHEN t IS NOT NULL THEN seq END) AS first_full_seq,
   min(CASE WHEN t IS NOT NULL THEN period END) AS first_full_period, count(*) AS periods
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY period) AS seq,
-        CASE WHEN count(*) OVER w4 = 4 THEN sum(write_offs) OVER w4 END AS t
+        CASE WHEN count(write_offs) OVER w4 = 4 THEN sum(write_offs) OVER w4 END AS t
       FROM panel WINDOW w4 AS (PARTITION BY o_custkey ORDER BY period ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) AS x
 GROUP BY o_custkey""", keep=["o_custkey", "first_full_seq", "first_full_period", "periods"]))
 def first_full_window(spark, sf_dir):

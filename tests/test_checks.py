@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from panelsplit.operators.checks import GateError, gate, quality_checks
+from panelsplit.operators.checks import GateError, closure_violations, gate, quality_checks
 from tests.conftest import quarter_panel
 
 QUARTERS = [f"{y}-{m:02d}-01" for y in (2020, 2021, 2022) for m in (1, 4, 7, 10)]
@@ -100,3 +100,9 @@ def test_gate_counts_every_failure(spark, tmp_path):
     with pytest.raises(GateError, match="principal:not whole: 60 violations in 60 entities"):
         gate(checks, report=str(tmp_path / "failed"))
     assert spark.read.parquet(str(tmp_path / "failed")).count() == 60
+
+
+def test_null_flag_does_not_close(spark):
+    bridge = spark.createDataFrame([("a", True), ("a", None), ("b", True), ("b", False)], "k string, closes boolean")
+    got = {r["k"]: r["violations"] for r in closure_violations(bridge, ["k"]).collect()}
+    assert got == {"a": 1, "b": 1}

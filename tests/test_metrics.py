@@ -76,3 +76,14 @@ def test_largest_move_and_peak_ties(spark):
     p2 = quarter_panel(spark, rows_for(q2))
     pk = M.peak_period(p2, ["k"], pub).collect()[0]
     assert pk.peak_year == 2019 and pk.peak_basis == "published"       # ties: the earliest year
+
+
+def test_trailing_sum_needs_every_value(spark):
+    rows = [("a", f"{y}-{m:02d}-01", 1.0, 1.0, 1.0, 1.0, None if (y, m) == (2020, 7) else 1.0, 1.0) for y in (2020, 2021) for m in (1, 4, 7, 10)]
+    p = quarter_panel(spark, rows)
+    got = M.trailing_by_sequence(M.trailing_sum(p, ["k"], "write_offs"), ["k"], "write_offs").orderBy("period").collect()
+    want = [None] * 6 + [4.0] * 2  # the windows of 2020 Q4 to 2021 Q2 hold the quarter without a value
+    for c in ("write_offs_4q", "write_offs_4q_contiguous", "write_offs_4q_by_seq"):
+        assert [r[c] for r in got] == want, c
+    first = M.first_full_window(p, ["k"], "write_offs").collect()[0]
+    assert (first["first_full_seq"], str(first["first_full_period"])) == (7, "2021-07-01")
