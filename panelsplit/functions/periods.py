@@ -35,6 +35,12 @@ def period_label(period) -> Column:
     return F.concat(F.year(p).cast("string"), F.lit(" Q"), F.quarter(p).cast("string"))
 
 
+def label_of_index(index) -> Column:
+    """Quarter index (year*4 + quarter) back to the 'YYYY Qn' display label."""
+    i = _c(index).cast("bigint") - 1
+    return F.concat(F.floor(i / 4).cast("string"), F.lit(" Q"), (F.pmod(i, F.lit(4)) + 1).cast("string"))
+
+
 def wide_label(period) -> Column:
     """Quarter-start date to the wide-file column label 'YYYYqQ'."""
     p = _c(period)

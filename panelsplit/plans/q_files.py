@@ -58,13 +58,11 @@ def landing_checks(spark, sf_dir):
     for kind, sub, series, allow_na, floor in ((L.QUARTER, "quarterly", _MEASURES, False, 20),
                                                (L.YEAR, "annual", list(_PUB_SERIES), True, 5)):
         glob = f"{base}/{sub}/*/*.csv"
-        files, lines = FS.file_bytes(spark, glob), FS.file_lines(spark, glob)
-        out.append(L.header_checks(files, "series", kind, floor))
-        out.append(L.row_checks(files, lines, series, allow_na))
+        out.append(L.file_checks(spark, glob, "series", kind, series, allow_na, floor))
         prof = L.profile_files(spark, glob, kind)
         prof.write.mode("overwrite").json(f"{base}/manifest/{sub}")
         recorded = spark.read.json(f"{base}/manifest/{sub}")
-        out.append(L.manifest_mismatches(FS.file_bytes(spark, glob), recorded))
+        out.append(L.manifest_mismatches(FS.file_hashes(spark, glob), recorded))
 
     restaged = RS.stage_wide(FS.read_wide(spark, f"{base}/quarterly").drop("source_file"), SEG,
                              {m: m for m in _MEASURES})

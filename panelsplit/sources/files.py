@@ -1,16 +1,17 @@
 """File sources and sinks: wide CSV landing files, manifests, gated writes.
 
 Wide files are read as all-STRING columns (no schema inference); the period
-columns are discovered from the header at plan time. Raw bytes (for hashing
-and for the literal header line, which the CSV reader would silently rename
-on duplicates) come from the ``binaryFile`` source, one file per row.
+columns are discovered from the header at plan time. Structural checks read
+records as they are written (``csv_records``), since a reader with a header
+would silently rename duplicates. Raw bytes, for hashing only, come from the
+``binaryFile`` source, one file per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,38 +39,38 @@ def read_annual_long(spark: SparkSession, paths, id_col: str = "series",
 
 
 def write_wide(wide: DataFrame, out_dir: str, entity: str, null_value: str = "") -> None:
-    """One CSV (with header) per entity directory; ``null_value`` marks
-    missing cells (e.g. 'na' for the annual file)."""
-    (wide.repartition(entity).write.mode("overwrite").partitionBy(entity)
+    """One CSV (with header) per entity directory, rows by series, so that equal
+    contents give equal bytes; ``null_value`` marks missing cells (e.g. 'na' for
+    the annual file)."""
+    (wide.repartition(entity).sortWithinPartitions(entity, "series").write.mode("overwrite").partitionBy(entity)
      .option("header", True).option("nullValue", null_value).option("emptyValue", null_value)
      .csv(out_dir))
 
 
-def file_bytes(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, bytes, sha256, header) per file. The first line is taken from
-    the raw bytes so duplicate or malformed header names are seen as written."""
+def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, bytes, sha256) per file, from its raw bytes."""
     b = spark.read.format("binaryFile").load(glob)
-    text = F.decode(F.col("content"), "UTF-8")
-    return b.select(F.col("path"), F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"),
-                    F.regexp_replace(F.substring_index(text, "\n", 1), "\r$", "").alias("header"))
+    return b.select(F.col("path"), F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
 
 
-def csv_fields(line) -> Column:
-    """Fields of one CSV line; commas within double quotes belong to the field."""
-    raw = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(raw, lambda x: F.when(x.rlike('^".*"$'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+def file_list(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, bytes) per file of at least one byte; contents are not read."""
+    return spark.read.format("binaryFile").load(glob).select("path", F.col("length").alias("bytes"))
 
 
-def file_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, line) for every line of every file (splittable text scan)."""
-    t = spark.read.text(glob)
-    return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+def csv_fields(record) -> Column:
+    """Fields of one CSV record, in one pass; commas and line ends within double quotes belong to the field."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    return F.transform(raw, lambda x: F.when(x.rlike('(?s)^".*"$'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
-def body_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, header, line) of every line but the file's first. A line that repeats the header is a body line:
-    of the lines that equal the header, one a file is left out."""
-    known = lines.join(files.select("path", "header"), "path").where(F.trim("line") != "")
-    again = known.where(F.col("line") == F.col("header")).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("path").orderBy("line"))).where("nth > 1").drop("nth")
-    return known.where(F.col("line") != F.col("header")).unionByName(again).select("path", "header", "line")
+def csv_records(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, nth, record) of every record of every file as it is written, blank ones left out.
+
+    A quoted field may hold line ends, so a file is read from its start, record by record, by one task and never as
+    a whole; ``nth`` rises within a file, and its least number is the header's. The reader is given one column, so a record
+    with more fields comes back as text, whatever its width or names."""
+    raw = (spark.read.schema("first string, _text string").option("header", False).option("multiLine", True)
+           .option("columnNameOfCorruptRecord", "_text").option("quote", '"').option("escape", '"').option("maxColumns", 1 << 20).csv(glob))
+    return (raw.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("nth"),
+                       F.coalesce("_text", "first").alias("record")).where(F.trim("record") != ""))

@@ -1,12 +1,14 @@
 """Wide files: staging, cell accounting and header/row mutations."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from panelsplit.functions.periods import is_quarter_label, period_from_label
 from panelsplit.operators import landing as L
 from panelsplit.operators.reshape import cell_accounting, numeric_value, stage_wide
-from panelsplit.sources.files import file_bytes, file_lines, read_wide
+from panelsplit.sources.files import csv_fields, file_hashes, read_wide
 
 SERIES = {"Count A": "principal", "Count B": "supplementary", "Flow B": "billings",
           "Stock R": "rollover", "Flow W": "write_offs", "Rate": "rate_pct"}
@@ -64,8 +66,16 @@ def test_missing_cell_is_counted(spark, tmp_path):
 
 def header_result(spark, tmp_path, text, kind=L.QUARTER):
     glob = write(tmp_path, "h.csv", text)
-    out = L.header_checks(file_bytes(spark, glob), "DataSeries", kind, 4).collect()
-    return {r.check_name: r.violations for r in out}
+    out = L.file_checks(spark, glob, "DataSeries", kind, list(SERIES), False, 4).collect()
+    return {r.check_name: r.violations for r in out if r.check_name not in ROW_CHECKS}
+
+
+ROW_CHECKS = ("row width", "numeric cells", "expected series")
+
+
+def row_result(spark, glob, series, allow_na, kind=L.QUARTER):
+    out = L.file_checks(spark, glob, "DataSeries", kind, series, allow_na, 1).collect()
+    return {r.check_name: r.violations for r in out if r.check_name in ROW_CHECKS}
 
 
 def test_header_clean_and_reversed(spark, tmp_path):
@@ -96,8 +106,7 @@ def test_row_checks(spark, tmp_path):
     text = wide_text(cell=lambda s, j: "x1" if (s == "Rate" and j == 0) else str(j))
     text = text.replace("Count B,", "Count C,")
     glob = write(tmp_path, "r.csv", text + "Flow B,1\n")
-    out = {r.check_name: r.violations for r in
-           L.row_checks(file_bytes(spark, glob), file_lines(spark, glob), list(SERIES), False).collect()}
+    out = row_result(spark, glob, list(SERIES), False)
     # Count B missing, Count C unexpected, Flow B twice: three series off the expected multiset
     assert out["numeric cells"] == 1 and out["row width"] == 1 and out["expected series"] == 3
 
@@ -105,8 +114,7 @@ def test_row_checks(spark, tmp_path):
 def test_annual_na_allowed(spark, tmp_path):
     text = "DataSeries,2021,2020\n" + "\n".join(f"{s},1.5,na" for s in SERIES) + "\n"
     glob = write(tmp_path, "a.csv", text)
-    out = {r.check_name: r.violations for r in
-           L.row_checks(file_bytes(spark, glob), file_lines(spark, glob), list(SERIES), True).collect()}
+    out = row_result(spark, glob, list(SERIES), True, L.YEAR)
     assert out["numeric cells"] == 0
     hv = header_result(spark, tmp_path, "DataSeries,2021,2021\n", kind=L.YEAR)
     assert hv["duplicate labels"] == 1
@@ -116,17 +124,16 @@ def test_manifest_detects_changed_bytes(spark, tmp_path):
     glob = write(tmp_path, "m.csv", wide_text())
     recorded = L.profile_files(spark, glob, L.QUARTER).collect()
     rec_df = spark.createDataFrame([(r.path, r.sha256) for r in recorded], "path string, sha256 string")
-    assert sum(r.violations for r in L.manifest_mismatches(file_bytes(spark, glob), rec_df).collect()) == 0
+    assert sum(r.violations for r in L.manifest_mismatches(file_hashes(spark, glob), rec_df).collect()) == 0
     write(tmp_path, "m.csv", wide_text().replace("100", "101", 1))
-    assert sum(r.violations for r in L.manifest_mismatches(file_bytes(spark, glob), rec_df).collect()) == 1
+    assert sum(r.violations for r in L.manifest_mismatches(file_hashes(spark, glob), rec_df).collect()) == 1
 
 
 def test_quoted_comma_and_repeated_header(spark, tmp_path):
     text = "DataSeries,2021,2020\n" + "\n".join(f'"{s}, total",1.5,2' for s in SERIES) + "\n"
     names = [f"{s}, total" for s in SERIES]
     glob = write(tmp_path, "q.csv", text)
-    run = lambda g: {r.check_name: r.violations for r in L.row_checks(
-        file_bytes(spark, g), file_lines(spark, g), names, False).collect()}
+    run = lambda g: row_result(spark, g, names, False, L.YEAR)
     assert set(run(glob).values()) == {0}
     again = write(tmp_path, "again.csv", text + "DataSeries,2021,2020\n")
     assert run(again) == {"row width": 0, "numeric cells": 0, "expected series": 1}
@@ -138,3 +145,41 @@ def test_many_labels_are_all_profiled(spark, tmp_path):
     glob = write(tmp_path, "wide.csv", "DataSeries," + ",".join(labels) + "\n")
     r = L.profile_files(spark, glob, L.YEAR).collect()[0]
     assert (r.labels, r.label_min_idx, r.label_max_idx) == (3000, 1000, 3999)
+
+
+def test_line_ends_in_quoted_fields(spark, tmp_path):
+    text = wide_text().replace("Count B,", '"Count\nB, ""all""",', 1)
+    glob = write(tmp_path, "lines.csv", text)
+    names = ['Count\nB, "all"' if s == "Count B" else s for s in SERIES]
+    assert set(row_result(spark, glob, names, False).values()) == {0}
+    r = L.profile_files(spark, glob, L.QUARTER).collect()[0]
+    assert r.rows == len(SERIES) and r.series == sorted(names)
+
+
+def test_empty_and_many_files_in_one_job(spark, tmp_path):
+    write(tmp_path, "a.csv", "\n \n")
+    write(tmp_path, "b.csv", wide_text())
+    glob = write(tmp_path, "c.csv", "DataSeries,20221Q\n")
+    out = {}
+    for r in L.file_checks(spark, glob.replace("c.csv", "*.csv"), "DataSeries", L.QUARTER, list(SERIES), False, 4).collect():
+        out.setdefault(r.path[-5:], {})[r.check_name] = r.violations
+    assert set(out["b.csv"].values()) == {0}
+    assert out["a.csv"]["expected series"] == out["c.csv"]["expected series"] == len(SERIES)
+    assert out["a.csv"]["coverage floor"] == out["c.csv"]["coverage floor"] == 1 and out["a.csv"]["first column is the id"] == 1
+
+
+def test_latest_label_is_recent(spark, tmp_path):
+    glob = write(tmp_path, "f.csv", wide_text())
+    latest = max(LABELS)
+    year, quarter = int(latest[:4]), int(latest[4])
+    for back, want in ((2, 0), (3, 1)):
+        index = year * 4 + quarter - 1 + back
+        as_of = datetime.date(index // 4, index % 4 * 3 + 1, 1)
+        got = {r.check_name: r.violations for r in L.file_checks(spark, glob, "DataSeries", L.QUARTER, list(SERIES), False, 4, as_of).collect()}
+        assert got["latest label is recent"] == want
+
+
+def test_wide_record_fields(spark):
+    record = ",".join(["", "a", '"b,c"', '"d ""e"""', "", *map(str, range(20000)), ""])
+    got = spark.createDataFrame([(record,)], "r string").select(csv_fields(F.col("r"))).collect()[0][0]
+    assert got == ["", "a", "b,c", 'd "e"', "", *map(str, range(20000)), ""]
