@@ -8,14 +8,17 @@ One hash function maps a document's word shingles to numbers; the ``sketch_size`
    values, all but that number less one; any order of the values that is the same for all documents
    will do, here rare before frequent.
 3. Every list first compares its members with one of them, the hub (the member whose values are shared
-   most): as many pairs as postings. The union sketch estimates the similarity, the full sets confirm
-   it, and confirmed links make components.
-4. What is left are pairs of different components in one list. Short lists emit them; long lists are cut
-   into blocks, and each pair of blocks counts its overlaps in one task, which emits a pair only if the
-   estimate passes and no emitted exact pair already joins the two sides.
+   most): as many pairs as postings, and first each member's heaviest hub alone. The union sketch estimates the
+   similarity, the full sets confirm it, and confirmed links make components. A member's set travels once a hub,
+   and a hub's members are dealt into parts of bounded volume.
+4. What is left are pairs of different components in one list. Lists are cut into blocks, and each pair of
+   blocks counts its overlaps in one task. Sets that the sketches hold whole are decided there. For others, a member
+   comes out once with the packed ids of those it may be similar to; its full set joins it, and the same pair of
+   blocks is decided again. Both steps return a spanning forest of links, never all pairs. A pair is looked at
+   in the list of its smallest common listed value alone.
 
 No pair of different components with a common listed value is left out, so no list is too long and no
-group too large; the volume of pairs is bounded by the blocks. A pair is missed only if its sketches
+group too large. A pair is missed only if its sketches
 overlap less than the bound, which is 5 standard deviations below the expected overlap of a pair at the
 threshold (never for sets of at most 0.8 * sketch_size shingles, whose sketches are the sets).
 
@@ -25,7 +28,7 @@ space, in lower case (A-Z only).
 Edge cases: a null or empty text, or one without words, has no shingle, no link and is kept; a text of
 fewer words than a shingle has one shingle, all its words; rows that share a doc_id are one document and
 linked if any of their texts are; a null doc_id has no component and is kept; equal rows get equal
-answers; extra columns are ignored; an empty table gives an empty result.
+answers; extra columns are ignored; an empty table gives an empty result. ``without_near_duplicates`` keeps one of equal rows.
 """
 
 from __future__ import annotations
@@ -42,10 +45,9 @@ from pyspark.sql import functions as F
 from panelsplit.llm.common import store, table
 from panelsplit.llm.components import components
 
-#: Lists up to this length emit their pairs; longer ones are compared in blocks.
-SHORT_LIST = 16
-#: Members of a block.
+#: Members of a block, and values of the full sets that a block or a part of a hub's members holds.
 BLOCK = 1024
+PART_VALUES = 1 << 21
 #: Values whose frequency is known to the order of the lists; the order, not the result, depends on it.
 FREQUENT_VALUES = 1 << 16
 #: Ids up to this number (16 MB) are broadcast to pick texts; beyond, the texts are joined by shuffle.
@@ -134,26 +136,38 @@ def _frequent_values(sets: DataFrame) -> dict[str, np.ndarray]:
     return {"value": v[order], "n": n[order]}
 
 
-def _postings(sets: DataFrame, frequent: dict[str, np.ndarray], size: int, similarity: float) -> DataFrame:
-    """value, doc_id, n_shingles of the values under which a document is listed."""
+def _listed_values(sets: DataFrame, frequent: dict[str, np.ndarray], size: int, similarity: float) -> DataFrame:
+    """doc_id, n_shingles and listed_values (packed, ascending): the values under which a document is listed."""
     known, times = frequent["value"], frequent["n"]
 
     def run(batches):
         for rows in _first_of_sets(batches, 1 << 19):
-            values, ids, sizes = [], [], []
-            for doc_id, n, v in rows:
+            out = []
+            for _, n, v in rows:
                 f = np.zeros(len(v), np.int64)
                 if len(known):
                     k = np.minimum(np.searchsorted(known, v), len(known) - 1)
                     f = np.where(known[k] == v, times[k], 0)
-                listed = v[np.lexsort((v, f))][:len(v) - _least_overlap(n, size, similarity) + 1]
-                values.append(listed)
-                ids.append(np.full(len(listed), doc_id))
-                sizes.append(np.full(len(listed), n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).astype(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))],
-                                             names=["value", "doc_id", "n_shingles"])
+                out.append(np.sort(v[np.lexsort((v, f))][:len(v) - _least_overlap(n, size, similarity) + 1]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(out, pa.binary())],
+                                             names=["doc_id", "n_shingles", "listed_values"])
 
-    return sets.mapInArrow(run, "value bigint, doc_id bigint, n_shingles bigint")
+    return sets.mapInArrow(run, "doc_id bigint, n_shingles bigint, listed_values binary")
+
+
+def _postings(listed: DataFrame) -> DataFrame:
+    """value, doc_id, n_shingles: a row for each listed value."""
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = [np.frombuffer(v, np.int64) for v in part.column(2).to_pylist()]
+                times = [len(v) for v in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(raw)), pa.array(np.repeat(part.column(0).to_numpy(), times)), pa.array(np.repeat(part.column(1).to_numpy(), times))],
+                    names=["value", "doc_id", "n_shingles"])
+
+    return listed.mapInArrow(run, "value bigint, doc_id bigint, n_shingles bigint")
 
 
 def _similar_sizes(a: str, b: str, similarity: float):
@@ -188,10 +202,8 @@ def _estimated(pairs: DataFrame, sets: DataFrame, similarity: float, size: int =
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have the wanted similarity."""
-    pairs = store(pairs.distinct(), "candidates")
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+def _full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and hashes (the whole set) of the documents in ``ids``, one row a text, stored."""
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
@@ -201,20 +213,35 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             out = [shingle_hashes(t, width, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "hashes"])
 
-    sets = store(texts.mapInArrow(full, "doc_id bigint, hashes binary").distinct() if not few else texts.mapInArrow(full, "doc_id bigint, hashes binary"), "full-sets")
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb"))
+    return store(texts.mapInArrow(full, "doc_id bigint, hashes binary"), "full-sets")
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a member and its hub whose full sets have the wanted similarity.
+
+    A member's set travels once a hub, and the hub's set once for each part of its members; the parts hold
+    ``PART_VALUES`` values, so that no hub's members meet in one task.
+    """
+    size = (F.length("hashes") / 8).cast("long")
+    members = pairs.join(sets.select(F.col("doc_id").alias("a"), "hashes"), "a")
+    volume = pairs.join(sets.select(F.col("doc_id").alias("a"), size.alias("values")), "a").groupBy("b").agg(F.sum("values").alias("values"))
+    parts = volume.select("b", F.ceil(F.col("values") / PART_VALUES).cast("int").alias("parts"))
+    members = (members.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), "a", "hashes"))
+    hubs = (parts.join(sets.select(F.col("doc_id").alias("b"), "hashes"), "b")
+            .select("b", F.explode(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "hashes"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, hubs_, raw = group.column("a").to_pylist(), group.column("b")[0].as_py(), group.column("hashes").to_pylist()
+        mine = [np.frombuffer(h, np.uint64) for a, h in zip(ids, raw) if a is None]  # a doc_id can have several texts
+        kept = sorted({a for a, h in zip(ids, raw) if a is not None and any(_similar(np.frombuffer(h, np.uint64), m, percent) for m in mine)})
+        return pa.table({"a": pa.array(kept, pa.int64()), "b": pa.array([hubs_] * len(kept), pa.int64())})
+
+    return members.unionByName(hubs).groupBy("b", "part").applyInArrow(run, "a bigint, b bigint")
 
 
 def _overlaps(sketches_: list[np.ndarray]) -> np.ndarray:
@@ -238,13 +265,41 @@ def _overlaps(sketches_: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forest():
+    """``join(a, b)`` says whether a and b were apart, and joins them."""
+    group = {}
+
+    def find(c):
+        while group.setdefault(c, c) != c:
+            group[c] = group[group[c]]
+            c = group[c]
+        return c
+
+    def join(a, b, only_ask=False):
+        a, b = find(a), find(b)
+        if a != b and not only_ask:
+            group[max(a, b)] = min(a, b)
+        return a != b
+
+    return join
+
+
+_FOUND = "value bigint, i long, j long, doc_id bigint, component bigint, partners binary, link bigint"
+
+
 def _block_pairs(size: int, similarity: float):
-    """applyInPandas body: the pairs of one pair of blocks that may be links of different components."""
+    """applyInPandas body, one pair of blocks of a list: links of different components, proven by whole sketches (a forest), and
+    for every member the packed ids of those members that only its full set can tell from it.
+
+    A pair is looked at in the list of its smallest common listed value alone."""
     low = similarity - 5 * math.sqrt(similarity * (1 - similarity) / size)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, n = (block[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        value, bi, bj = (int(block[c].iloc[0]) for c in ("value", "i", "j"))
+        here = np.uint64(value % (1 << 64))
+        ids, comps, n, mine = (block[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "mine"))
         values = [np.frombuffer(s, np.uint64) for s in block["sketch"]]
+        listed = [np.frombuffer(s, np.uint64) for s in block["listed_values"]]
         overlap = _overlaps(values)
         kept = np.minimum(n, size)
         whole = n <= size
@@ -254,51 +309,64 @@ def _block_pairs(size: int, similarity: float):
         may = np.where(exact, ratio >= similarity - 1e-6, overlap >= low * np.minimum(kept[:, None], kept))
         may &= comps[:, None] != comps
         may &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-6
-        group = {c: c for c in comps.tolist()}
-
-        def find(c):
-            while group[c] != c:
-                group[c] = group[group[c]]
-                c = group[c]
-            return c
-
-        out, later = [], []
-        for i, j in zip(*np.nonzero(np.triu(may, 1))):
-            (out if exact[i, j] else later).append((i, j))
-        forest = []
-        for i, j in out:
-            a, b = find(comps[i]), find(comps[j])
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                forest.append((i, j))
-        forest += [(i, j) for i, j in later if find(comps[i]) != find(comps[j]) and _union_estimate(values[i], values[j], size) >= low]
-        return pd.DataFrame({"a": ids[[i for i, _ in forest]], "b": ids[[j for _, j in forest]]}, dtype="int64")
+        if bi != bj:
+            may &= mine[:, None] != mine
+        apart = _forest()
+        rows, partners = [], {}
+        exact_pairs, others = np.nonzero(np.triu(may & exact, 1)), np.nonzero(np.triu(may & ~exact, 1))
+        for x, y in zip(*exact_pairs):
+            if apart(comps[x], comps[y]):
+                rows.append((int(ids[x]), int(comps[x]), None, int(ids[y])))
+        for x, y in zip(*others):
+            if not apart(comps[x], comps[y], True):
+                continue
+            common = np.intersect1d(listed[x], listed[y], assume_unique=True)
+            if common[0] == here and _union_estimate(values[x], values[y], size) >= low:
+                partners.setdefault(x, []).append(int(ids[y]))
+                partners.setdefault(y, [])
+        rows += [(int(ids[x]), int(comps[x]), np.array(p, np.int64).tobytes(), None) for x, p in partners.items()]
+        out = pd.DataFrame(rows, columns=["doc_id", "component", "partners", "link"])
+        return out.assign(value=value, i=bi, j=bj, link=out["link"].astype("Int64"))[["value", "i", "j", "doc_id", "component", "partners", "link"]]
+
+    return run
+
+
+def _verified(percent: int):
+    """applyInPandas body: of the pairs that a pair of blocks could not tell, the links, a forest."""
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        sets, of = {}, {}
+        for doc_id, component, raw in zip(block["doc_id"], block["component"], block["hashes"]):
+            sets.setdefault(doc_id, []).append(np.frombuffer(raw, np.uint64))
+            of[doc_id] = component
+        apart, links = _forest(), []
+        for doc_id, raw in zip(block["doc_id"], block["partners"]):
+            for other in np.frombuffer(raw, np.int64).tolist():
+                if apart(of[doc_id], of[other], True) and any(_similar(x, y, percent) for x in sets[doc_id] for y in sets[other]):
+                    apart(of[doc_id], of[other])
+                    links.append((doc_id, other))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _rest(lists: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Candidate pairs of different components within a list."""
-    spark = lists.sparkSession
+def _rest(lists: DataFrame, listed: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, size: int) -> DataFrame:
+    """Links between different components within a list."""
     member = lists.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = store(member, "list-members")
-    open_ = member.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value", "members")
-    member = store(member.join(open_, "value"), "open-lists")
-    short = member.where(F.col("members") <= SHORT_LIST)
-    left = short.select("value", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    right = short.select("value", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", similarity)).select("a", "b").distinct()
-    # Equal lists would do equal work: of those with the same members, one is compared.
-    long_ = member.where(F.col("members") > SHORT_LIST)
-    alike = long_.groupBy("value", "members").agg(F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).groupBy("members", "who").agg(F.min("value").alias("value"))
-    long_ = long_.join(alike.select("value"), "value")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    own = long_.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    open_ = (member.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("value", "members", "shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / PART_VALUES))
+    own = member.join(open_, "value").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = (own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-             .join(sets.select("doc_id", "sketch"), "doc_id").select("value", "i", "j", "doc_id", "component", "n_shingles", "sketch"))
-    compared = dealt.groupBy("value", "i", "j").applyInPandas(_block_pairs(size, similarity), "a bigint, b bigint")
-    return _estimated(store(pairs, "short-list-pairs"), sets, similarity).unionByName(compared)
+             .join(sets.select("doc_id", "sketch"), "doc_id").join(listed.select("doc_id", "listed_values"), "doc_id")
+             .select("value", "i", "j", "mine", "doc_id", "component", "n_shingles", "sketch", "listed_values"))
+    found = store(dealt.groupBy("value", "i", "j").applyInPandas(_block_pairs(size, percent / 100), _FOUND), "block-pairs")
+    links = found.where("link is not null").select(F.col("doc_id").alias("a"), F.col("link").alias("b"))
+    asked = found.where("link is null").drop("link")
+    full = _full_sets(store(asked.select("doc_id").distinct(), "asked-ids"), docs, width)
+    proven = asked.join(full, "doc_id").groupBy("value", "i", "j").applyInPandas(_verified(percent), "a bigint, b bigint")
+    return links.unionByName(proven)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch_size: int = 256) -> DataFrame:
@@ -313,20 +381,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch_s
     links = of_class.join(several, "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b")
 
     sets = named.select("doc_id", "n_shingles", "set_key", "sketch")
-    listed = _postings(sets, _frequent_values(sets), sketch_size, similarity).repartition("value")
-    shared = listed.groupBy("value").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
-    lists = listed.join(shared, "value").join(of_class, "doc_id").select("value", F.col("class_id").alias("doc_id"), "n_shingles", "listed")
+    values = store(_listed_values(sets, _frequent_values(sets), sketch_size, similarity), "listed-values")
+    postings = _postings(values)
+    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
+    lists = postings.join(shared, "value").join(of_class, "doc_id").select("value", F.col("class_id").alias("doc_id"), "n_shingles", "listed")
     lists = store(lists.distinct(), "lists")
 
     weight = lists.groupBy("doc_id").agg(F.avg("listed").alias("weight"))
     weighted = lists.join(weight, "doc_id")
     hubs = weighted.groupBy("value").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus_id"), "n_shingles")).alias("hub"))
-    spokes = (weighted.join(hubs, "value").select(F.col("doc_id").alias("a"), (-F.col("hub.minus_id")).alias("b"), F.col("n_shingles").alias("na"), F.col("hub.n_shingles").alias("nb"))
-              .where((F.col("a") != F.col("b")) & _similar_sizes("na", "nb", similarity)).select("a", "b").distinct())
-    links = store(_confirmed(_estimated(spokes, sets, similarity), docs, width, percent).unionByName(links), "hub-links")
+    spokes = (weighted.join(hubs, "value").select(F.col("doc_id").alias("a"), (-F.col("hub.minus_id")).alias("b"), F.col("n_shingles").alias("na"), F.col("hub.n_shingles").alias("nb"), F.col("hub.weight").alias("w"))
+              .where((F.col("a") != F.col("b")) & _similar_sizes("na", "nb", similarity)).select("a", "b", "w").distinct())
+    best = spokes.groupBy("a").agg(F.max_by("b", F.struct("w", -F.col("b"))).alias("best"))
+    near = store(_estimated(spokes.select("a", "b"), sets, similarity), "spokes")
+    full = _full_sets(store(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "spoke-ids"), docs, width)
+    # Every member with its heaviest hub first; then only pairs that are still apart.
+    first = near.join(best, "a").where(F.col("b") == F.col("best")).select("a", "b")
+    links = store(_confirmed(first, full, percent).unionByName(links), "hub-links")
+    labels = store(components(links), "labels")
+
+    def of(end):
+        return labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+
+    apart = (near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    links = store(_confirmed(apart, full, percent).unionByName(links), "hub-links")
     labels = components(links).withColumnRenamed("id", "doc_id")
 
-    rest = _confirmed(_rest(lists.drop("listed"), labels, sets, similarity, sketch_size), docs, width, percent)
+    rest = _rest(lists.drop("listed"), values, labels, sets, docs, width, percent, sketch_size)
     labels = components(links.unionByName(rest)).withColumnRenamed("id", "class_id")
     smallest = of_class.join(labels, "class_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
     return (rows.select("doc_id", "n_shingles").join(smallest, "doc_id", "left")
@@ -335,9 +416,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch_s
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group."""
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` that stand for their group: of rows alike in doc_id and text one, and a row with a null
+    doc_id takes part like others (by a negative number made of its text)."""
+    made = -F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 2) - 1
+    own = F.coalesce("doc_id", made)
+    gone = near_duplicates(docs.select(own.alias("doc_id"), "text"), width, percent).where(~F.col("kept")).select("doc_id").distinct()
+    rows = docs.select(own.alias("own_id"), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(gone.withColumnRenamed("doc_id", "own_id"), "own_id", "left_anti")
+    # Few rows recur; only those are brought together.
+    again = store(rows.groupBy("own_id", "text_key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("own_id", "text_key"), "repeated-rows")
+    once = rows.join(again, ["own_id", "text_key"], "left_anti").select("row")
+    repeated = rows.join(again, ["own_id", "text_key"], "left_semi").groupBy("own_id", "text_key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(repeated).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -49,8 +49,8 @@ def test_against_brute_force(documents):
 
 
 def test_long_lists_in_small_blocks(documents, monkeypatch):
-    monkeypatch.setattr(neardup, "SHORT_LIST", 2)
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "PART_VALUES", 3000)
     rows = _rows(2)
     _compare(documents(rows), rows)
     _compare(documents(rows), rows, sketch_size=128)
@@ -68,6 +68,38 @@ def test_repeated_rows_and_null_ids(documents):
     assert got == sorted([(5, 3, 5, True), (5, 3, 5, True), (7, 3, 5, False), (7, 2, 5, False), (9, 2, 5, False), (-1, 3, None, True), (-1, 0, None, True)], key=str)
 
 
+def test_large_groups_of_long_texts(documents, spark, monkeypatch):
+    """Groups whose members are near their neighbours but not near all: rows between the steps stay with the members."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(2):
+        base = _words(rng, 700)
+        for k in range(150):
+            rows.append((len(rows), " ".join(_edited(rng, base, rng.choice([0, 10, 20, 22, 24, 30])))))
+    made = {}
+    plain = neardup.store
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "store", counted)
+    want = _compare(documents(rows), rows)
+    assert 2 < len({c for _, c in want.values()}) < len(rows)
+    assert made["block-pairs"] <= 90 * len(rows)
+
+
+def test_stage_keeps_one_of_equal_rows(documents):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "another text of the same id"), (None, "g h i j k l"), (None, "g h i j k l"), (8, "g h i j k l"), (None, None), (None, None), (9, None)]
+    docs = documents(rows, extra=True).withColumnRenamed("score", "gone_id").withColumnRenamed("kind", "own_id")
+    got = neardup.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    # The null id's number is below 8, so that row stands for its group.
+    assert kept == sorted([(5, "a b c d e f"), (5, "another text of the same id"), (None, "g h i j k l"), (None, None), (9, None)], key=str)
+
+
 def test_empty(documents):
     assert neardup.near_duplicates(documents([])).count() == 0
 

@@ -70,5 +70,7 @@ def test_stages_on_odd_rows(spark, documents):
         assert none.count() == 0
         if name != "packing":
             assert out.columns == docs.columns and {r["kind"] for r in out.collect()} <= {"clash"}
-        if name in ("decontamination", "secrets", "near_duplicates"):
+        if name in ("decontamination", "secrets"):
             assert out.count() == len(rows)
+        if name == "near_duplicates":  # one of equal rows stays
+            assert out.count() == len(set(rows))
