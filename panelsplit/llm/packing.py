@@ -31,36 +31,46 @@ from pyspark.sql import functions as F
 
 from panelsplit.llm.common import shuffle_partitions, store, table
 
-#: Two characters of white space in a row, and white space other than blanks and line ends.
-_DOUBLE_SPACE = ("  ", " \n", "\n ", "\n\n")
-_ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Fixed value: how a byte-level BPE of this family parts a text before merging (the ``use_regex`` of its pre-tokenizer).
+_PARTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{chr(b): b for b in own}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
 def _worker_cache() -> types.ModuleType:
-    """A place that lives as long as the Python worker, so that tasks share what earlier ones encoded."""
+    """A place that lives as long as the Python worker, so that its tasks share one encoder."""
     return sys.modules.setdefault("_panelsplit_worker_cache", types.ModuleType("_panelsplit_worker_cache"))
 
 
 class Encoder:
-    """Token ids of texts by a byte-level BPE tokenizer whose tokens never cross a blank between words.
+    """Token ids of whole texts by a byte-level BPE tokenizer file, its special tokens included.
 
-    Words recur, so the ids of ``" word"`` are kept (at most ``kept`` of them). A single blank before a
-    visible character always begins a token of its own; texts with other white space are encoded as a
-    whole.
+    Vocabulary and merges of the file are given to tiktoken's merge loop, which takes a quarter of the time for words that it
+    has not met; this needs a vocabulary whose ids follow the order of the merges, and is refused otherwise. Ids are
+    those of the ``tokenizers`` library (tests compare them, over all code points as well).
     """
 
-    def __init__(self, path: str, kept: int = 1_000_000):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab()
-        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
-        #: Tokens that begin with a blank.
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for t, i in vocabulary.items() if t.startswith(blank)]] = True
-        self.kept = kept
-        self.known: dict[str, bytes] = {}  # ids of a blank and the word
-        self.first: dict[str, bytes] = {}  # ids of a word that begins a text
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, steps = made["model"], made["pre_tokenizer"]
+        special = {t["content"]: t["id"] for t in made["added_tokens"]}
+        byte_of = _byte_of()
+        ids = {t: i for t, i in model["vocab"].items() if t not in special}
+        merged = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        plain = steps["type"] == "ByteLevel" and not steps["add_prefix_space"] and not made["normalizer"]
+        if not plain or any(a >= b for a, b in zip(merged, merged[1:])) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"]):
+            raise ValueError(f"{path} is no plain byte-level BPE with ids in the order of its merges")
+        self.special = set(special)
+        self.core = tiktoken.Encoding(path, pat_str=_PARTS, mergeable_ranks={bytes(byte_of[c] for c in t): i for t, i in ids.items()}, special_tokens=special)._core_bpe
 
     @classmethod
     def of_worker(cls, path: str) -> "Encoder":
@@ -69,42 +79,9 @@ class Encoder:
             cache[path] = cls(path)
         return cache[path]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _one(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _many(self, words: list[str]) -> list[bytes]:
-        """Ids of a blank and each word: encoded together, parted where a token begins with a blank."""
-        ids = self._ids(" " + " ".join(words))
-        at = (4 * np.flatnonzero(self.begins[ids])).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        whole = [any(d in t for d in _DOUBLE_SPACE) or any(c in t for c in _ODD_SPACE) for t in texts]
-        split = [None if w else t.split(" ") for t, w in zip(texts, whole)]
-        met = set().union(*(words[1:] for words in split if words))
-        known = self.known
-        new = list(met.difference(known))
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = list(met)
-        # A line end at the end of a text would meet the next word's blank, and no word at all has no token of its own.
-        alone = [w for w in new if not w or w[-1] == "\n"]
-        known.update((w, self._one(" " + w)) for w in alone)
-        new = list(set(new).difference(alone)) if alone else new
-        for i in range(0, len(new), 1000):
-            known.update(zip(new[i:i + 1000], self._many(new[i:i + 1000])))
-        first = self.first
-        if len(first) > self.kept // 10:
-            first.clear()
-        for words in split:
-            if words and words[0] not in first:
-                first[words[0]] = self._one(words[0])
-        return [self._one(t) if words is None else first[words[0]] + b"".join(map(known.__getitem__, words[1:])) for t, words in zip(texts, split)]
+        return np.frombuffer(self.core.encode_to_tiktoken_buffer(text, self.special), "=u4").astype("<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
@@ -116,8 +93,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 512):
                 rows = []
-                for doc_id, raw in zip(ids[at:at + 512], encoder.encode([t or "" for t in texts[at:at + 512]])):
-                    raw += end
+                for doc_id, text in zip(ids[at:at + 512], texts[at:at + 512]):
+                    raw = encoder.encode(text or "") + end
                     n = len(raw) // 4
                     start, piece = 0, 0
                     while start < n:

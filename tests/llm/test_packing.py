@@ -11,7 +11,6 @@ from panelsplit.llm.packing import Capacities, Encoder, default_tokenizer, pack_
 
 def _check(rows, docs, capacity=1024):
     tokenizer = Tokenizer.from_file(default_tokenizer())
-    tokenizer.encode_special_tokens = True
     got = pack_documents(docs).collect()
     pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -41,13 +40,25 @@ def test_round_trip_and_gapless_sequences(documents):
     assert used <= 1.02 * tokens / 1024 + 1
 
 
-def test_encoder_splits_like_the_tokenizer():
-    encoder = Encoder(default_tokenizer(), kept=50)  # forgets, too
+def test_encoder_gives_the_ids_of_the_tokenizer():
+    encoder, tokenizer = Encoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+
+    def same(text):
+        return np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
     rng = random.Random(3)
-    for _ in range(300):
-        text = "".join(rng.choices([" ", "a", "Ab", "'s", "\n", "1", "é", ".", "!!", " ", "_"], k=rng.randint(0, 25)))
-        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == want, repr(text)
+    for _ in range(500):
+        text = "".join(rng.choices([" ", "a", "Ab", "'s", "\n", "1", "é", ".", "!!", "\u3000", "_", "\t", "<|endoftext|>", "<|end", "\x85", "日"], k=rng.randint(0, 25)))
+        assert same(text), repr(text)
+    for first in range(0, 0x30000, 64):
+        around = (chr(c) for c in range(first, first + 64) if not 0xD800 <= c < 0xE000)
+        text = " ".join(f"a{c}b 1{c} {c}{c}! {c}" for c in around)
+        assert same(text), hex(first)
+
+
+def test_special_tokens_count_as_such(documents):
+    r = pack_documents(documents([(1, "a <|endoftext|> b")])).collect()[0]
+    assert r["length"] == 5 and r["ids_crc32"] == zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes())
 
 
 def test_plan_keeps_every_capacity():
