@@ -26,11 +26,11 @@ the shortest first part counts; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +43,9 @@ WINDOW = 3
 PERIOD = 48
 #: Bits of the map of frequent pairs (8 MB).
 BITS = 1 << 26
-#: Entries that a task counts together before it hands them on.
+#: Tokens whose numbers or hashes a task keeps, and bytes of chunks that it counts together before it hands them on.
 HELD = 400_000
+HELD_BYTES = 8 << 20
 
 _BREAK = b"\n"
 _BREAKS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
@@ -119,93 +120,149 @@ def parse(docs: DataFrame) -> DataFrame:
     return parsed.groupBy("lang", "chunk", "places").agg(F.sum("frequency").alias("frequency"))
 
 
-def _counted(dictionary: DataFrame, count) -> DataFrame:
-    """lang, phrase, words and f: sums of what ``count(lang, tokens, places, add)`` adds up within tasks; add(n-grams as
-    tuples of tokens) counts them as often as the chunk occurs."""
+class _Batch:
+    """Chunks of one language as arrays: word numbers, weights, and at which places n-grams of 1 and 2 words count."""
+
+    def __init__(self, chunks_: list[bytes], places: list[int], weights: list[int], numbers: "_Numbers"):
+        of = b" ".join(chunks_).split(b" ")
+        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks_), np.int64, len(chunks_))
+        n = len(of)
+        self.ids = np.fromiter(map(numbers.__getitem__, of), np.int64, n)
+        self.weights = np.repeat(np.array(weights, np.int64), lengths)
+        ends = np.cumsum(lengths)
+        place = np.arange(n) - np.repeat(ends - lengths, lengths)
+        word = self.ids != numbers[_BREAK]
+        last = np.zeros(n, bool)
+        last[ends - 1] = True
+        self.starts = (place < np.repeat(np.array(places, np.int64), lengths)) & word
+        follows = word & ~last
+        follows[:-1] &= word[1:]
+        #: Whether a word and another follow each other within the chunk.
+        self.pair = follows[:-1]
+
+
+class _Numbers(dict):
+    """Numbers of tokens, in the order in which they are met."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[bytes] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = len(self.words)
+        self.words.append(token)
+        return len(self.words) - 1
+
+
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index of every distinct key, and the sum of its weights."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return order[first], np.add.reduceat(weights[order], first)
+
+
+def _counted(dictionary: DataFrame, grams) -> DataFrame:
+    """lang, phrase, words and f: sums of what ``grams(batch, lang, numbers)`` yields within tasks: (n, places, keys), the places
+    where n-grams start and a key for each that is equal where the n-grams are. Tasks hold ``HELD_BYTES`` of chunks at a time."""
     def run(batches):
-        # By language and frequency: most chunks occur once, and a Counter counts a list of equal weight fastest.
-        found: dict[tuple[str, int], Counter] = {}
+        numbers = _Numbers()
+        held: dict[str, tuple[list, list, list]] = {}
+        size = 0
 
         def rows():
-            total: dict[tuple, int] = {}
-            for (lang, weight), counter in found.items():
-                for gram, n in counter.items():
-                    if _BREAK not in gram:
-                        total[lang, gram] = total.get((lang, gram), 0) + n * weight
-            found.clear()
-            keys = list(total)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([b" ".join(k[1]) for k in keys], pa.binary()).cast(pa.string()),
-                 pa.array([len(k[1]) for k in keys], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "words", "f"])
+            nonlocal numbers, size
+            for lang, (chunks_, places, weights) in held.items():
+                if len(numbers) > HELD:
+                    numbers = _Numbers()
+                batch = _Batch(chunks_, places, weights, numbers)
+                for n, at, keys in grams(batch, lang, numbers):
+                    if not len(at):
+                        continue
+                    pick, f = _summed(keys, batch.weights[at])
+                    words = pa.array(numbers.words, pa.binary())
+                    for k in range(0, len(pick), 1 << 17):
+                        here = at[pick[k:k + (1 << 17)]]
+                        parts = [words.take(pa.array(batch.ids[here + i])) for i in range(n)]
+                        phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(here), np.int64))), phrase,
+                             pa.array(np.full(len(here), n, np.int32)), pa.array(f[k:k + (1 << 17)])], names=["lang", "phrase", "words", "f"])
+            held.clear()
+            size = 0
 
         for batch in batches:
-            for i, (lang, chunk, places, weight) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)))):
-                counter = found.get((lang, weight))
-                if counter is None:
-                    counter = found[lang, weight] = Counter()
-                count(lang, chunk.split(b" "), places, counter.update)
-                if i % 512 == 0 and sum(map(len, found.values())) > HELD:
-                    yield rows()
-        yield rows()
+            for lang, chunk, places, weight in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                mine = held.get(lang)
+                if mine is None:
+                    mine = held[lang] = ([], [], [])
+                for to, x in zip(mine, (chunk, places, weight)):
+                    to.append(x)
+                size += len(chunk)
+                if size > HELD_BYTES:
+                    yield from rows()
+        yield from rows()
 
     counted = dictionary.select("lang", "chunk", "places", "frequency").mapInArrow(run, "lang string, phrase string, words int, f bigint")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
-def _bit(lang: bytes, pair: bytes) -> int:
-    return zlib.crc32(lang + b"\n" + pair) % BITS
+def _mixed(lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A bit of the map for each pair of token hashes of a language."""
+    h = (first ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29)) ^ second) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))) % np.uint64(BITS)
+
 
+def _token_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-def _pair_bits(pairs: DataFrame) -> bytes:
-    """Bitmap of ``pairs`` (lang, phrase); built in pieces of 4 KB, of which there are BITS / 32,768 at most."""
-    at = (F.crc32(F.concat(F.col("lang"), F.lit("\n"), F.col("phrase")).cast("binary")) % BITS + 1).alias("at")  # Spark counts bits from 1
-    pieces = pairs.select(at).groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+def _pair_bits(pairs: DataFrame) -> np.ndarray:
+    """Bitmap of ``pairs`` (lang, phrase) as bytes; built in pieces of 4 KB, of which there are BITS / 32,768 at most."""
+    def bits(batches):
+        for batch in batches:
+            at = [np.zeros(0, np.uint64)]
+            for lang, phrase in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                h = _token_hashes(phrase.encode("utf-8", "surrogatepass").split(b" "))
+                at.append(_mixed(lang, h[:1], h[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).astype(np.int64) + 1)], names=["at"])  # Spark counts bits from 1
+
+    at = pairs.select("lang", "phrase").mapInArrow(bits, "at bigint")
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = bytearray(BITS // 8)
     for r in pieces.collect():
         out[(r["piece"] - 1) * 4096:r["piece"] * 4096] = r["bits"]
-    return bytes(out)
+    return np.frombuffer(bytes(out), np.uint8)
 
 
 def phrase_counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases of up to 4 words met at least ``least`` times, and (lang, n) of all words."""
     dictionary = store(parse(docs), "chunks")
 
-    def short(lang, of, places, add):
-        add(zip(of[:places]))
-        add(zip(of[:places], of[1:places + 1]))
+    def short(b, lang, numbers):
+        at = np.flatnonzero(b.starts)
+        yield 1, at, b.ids[at]
+        at = np.flatnonzero(b.starts[:-1] & b.pair)
+        yield 2, at, b.ids[at] * len(numbers) + b.ids[at + 1]
 
     counted = store(_counted(dictionary, short).where((F.col("f") >= least)), "short-phrases")
     bits = dictionary.sparkSession.sparkContext.broadcast(_pair_bits(counted.where("words = 2")))
 
-    class Frequent(dict):
-        """Whether a pair of a language may be frequent; forgets when it holds many."""
-
-        def __init__(self, lang: str, bitmap: bytes):
-            self.lang, self.bitmap = lang.encode("utf-8", "surrogatepass"), bitmap
-
-        def __missing__(self, pair: tuple[bytes, bytes]) -> bool:
-            if len(self) > HELD:
-                self.clear()
-            at = _bit(self.lang, b" ".join(pair))
-            yes = self[pair] = bool(self.bitmap[at >> 3] >> (at & 7) & 1)
-            return yes
-
-    marked: dict[str, Frequent] = {}
-
-    def long_(lang, of, places, add):
-        known = marked.get(lang)
-        if known is None:
-            if len(marked) > 16:
-                marked.clear()
-            known = marked[lang] = Frequent(lang, bits.value)
-        pairs = list(zip(of, of[1:]))
-        may = bytes(map(known.__getitem__, pairs))
-        at = may.find(b"\1\1")
-        while 0 <= at < places:
-            add(((*pairs[at], of[at + 2]),))
-            if may[at + 2:at + 3] == b"\1":
-                add(((*pairs[at], *pairs[at + 2]),))
-            at = may.find(b"\1\1", at + 1)
+    def long_(b, lang, numbers):
+        hashes = _token_hashes(numbers.words)
+        at = np.flatnonzero(b.pair)
+        bit = _mixed(lang, hashes[b.ids[at]], hashes[b.ids[at + 1]])
+        frequent = np.zeros(len(b.ids) + 2, bool)
+        frequent[at] = bits.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+        at = np.flatnonzero(b.starts & frequent[:-2] & frequent[1:-1])
+        _, pairs = np.unique(b.ids[at] * len(numbers) + b.ids[at + 1], return_inverse=True)
+        keys = pairs * len(numbers) + b.ids[at + 2] if len(at) else at
+        yield 3, at, keys
+        four = frequent[at + 2]
+        _, triples = np.unique(keys[four], return_inverse=True)
+        at = at[four]
+        yield 4, at, triples * len(numbers) + b.ids[at + 3] if len(at) else at
 
     longer = store(_counted(dictionary, long_).where(F.col("f") >= least), "long-phrases")
     # A word is counted where it starts, so the places other than breaks are the words.
