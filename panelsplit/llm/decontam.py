@@ -279,8 +279,11 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, max_edits: float
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that match no item."""
-    hits = contaminated_windows(docs, benchmark, **kw).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti")
+    hits = contaminated_windows(docs, benchmark, **kw).select("doc_id", "text_key").distinct()
+    # The row travels as one struct, so that no column of its own can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("r")
+    left = rows.join(hits.alias("h"), F.col("r.row.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64("r.row.text") == F.col("h.text_key")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

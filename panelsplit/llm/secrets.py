@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsplit.llm.common import row_key
+from panelsplit.llm.common import row_key, store, table
 
 #: Kinds that count by themselves, in the order in which equal starts are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -42,9 +42,9 @@ _HEX = re.compile(rb"[0-9a-f]{32,}")
 _WEAK_ID = re.compile(rb"(?:user(?:_?name|_?id)?|login(?:_?name|_?id)?|account(?:_?name|_?id)?|client_?(?:id|name)|access_?key_?(?:id|name))[\"']?\x20*[:=]\x20*[\"']?([a-z0-9._@-]{3,})")
 _WEAK_ID_CUES = (b"user", b"login", b"account", b"client", b"access")
 _ENDPOINT = re.compile(rb"(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]+")
-#: 24 to 128 characters of base64 with both cases and a digit, or 40 (the form of many access secrets) with a sign instead of the digit.
+#: 24 characters of base64 or more with both cases and a digit, or 40 (the form of many access secrets) with a sign instead of the digit.
 _WEAK_SECRET = re.compile(rb"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])"
-                          rb"(?:[A-Za-z0-9+/]{40}|(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{24,128})={0,2}(?![A-Za-z0-9+/=])")
+                          rb"(?:[A-Za-z0-9+/]{40}|(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{24,})={0,2}(?![A-Za-z0-9+/=])")
 _LONG_RUN = re.compile(rb"[A-Za-z0-9+/]{24}")
 
 
@@ -115,8 +115,8 @@ def linked_spans(parts: DataFrame, reach: int = 400) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, reach: int = 400) -> DataFrame:
-    """Spans of secrets: doc_id, row_key, kind, start, end, weak."""
-    return linked_spans(find_parts(docs), reach).withColumn("weak", F.col("kind").isin(*WEAK_KINDS))
+    """Spans of secrets: doc_id, row_key, kind, start, end, weak. The parts are stored: the texts are scanned once."""
+    return linked_spans(store(find_parts(docs), "secret-parts"), reach).withColumn("weak", F.col("kind").isin(*WEAK_KINDS))
 
 
 def span_digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -169,6 +169,5 @@ def mask_secrets(docs: DataFrame, reach: int = 400, mask: str = "<secret>") -> D
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:
-    from panelsplit.llm.common import store, table
     docs = table(spark, sf_dir, "documents")
     return span_digest(docs, store(scan_secrets(docs), "secret-spans"))

@@ -73,7 +73,8 @@ def test_blocks_of_items_give_the_same(spark, documents, monkeypatch):
 def test_stage_drops_only_matches(spark, documents):
     item = "seven words make up this benchmark item"
     rows = [(1, "before " + item + " after"), (2, "clean text of some words"), (2, item), (None, item), (None, None), (4, None)]
-    kept = without_contaminated(documents(rows, extra=True), spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    docs = documents(rows, extra=True).withColumnRenamed("score", "hit_id").withColumnRenamed("kind", "hit_key").withColumnRenamed("rank", "text_key")
+    kept = without_contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (2, "clean text of some words"), (4, "")]
     assert without_contaminated(documents(rows), spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
     assert contaminated_windows(documents([]), spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 0
