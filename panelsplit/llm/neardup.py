@@ -11,11 +11,11 @@ One hash function maps a document's word shingles to numbers; the ``sketch_size`
    most): as many pairs as postings, and first each member's heaviest hub alone. The union sketch estimates the
    similarity, the full sets confirm it, and confirmed links make components. A member's set travels once a hub,
    and a hub's members are dealt into parts of bounded volume.
-4. What is left are pairs of different components in one list. Lists are cut into blocks, and each pair of
-   blocks counts its overlaps in one task. Sets that the sketches hold whole are decided there. For others, a member
+4. What is left are pairs of different components in one list. Short lists emit them; long ones are cut into blocks,
+   and each pair of blocks counts its overlaps in one task. Sets that the sketches hold whole are decided there. For others, a member
    comes out once with the packed ids of those it may be similar to; its full set joins it, and the same pair of
-   blocks is decided again. Both steps return a spanning forest of links, never all pairs. A pair is looked at
-   in the list of its smallest common listed value alone.
+   blocks is decided again. Both steps return a spanning forest of links, never all pairs. Of long lists, a pair
+   is looked at in the one of its smallest common listed value alone.
 
 No pair of different components with a common listed value is left out, so no list is too long and no
 group too large. A pair is missed only if its sketches
@@ -45,6 +45,8 @@ from pyspark.sql import functions as F
 from panelsplit.llm.common import store, table
 from panelsplit.llm.components import components
 
+#: Lists up to this length emit their pairs; longer ones are compared in blocks.
+SHORT_LIST = 16
 #: Members of a block, and values of the full sets that a block or a part of a hub's members holds.
 BLOCK = 1024
 PART_VALUES = 1 << 21
@@ -296,10 +298,9 @@ def _block_pairs(size: int, similarity: float):
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         value, bi, bj = (int(block[c].iloc[0]) for c in ("value", "i", "j"))
-        here = np.uint64(value % (1 << 64))
         ids, comps, n, mine = (block[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "mine"))
         values = [np.frombuffer(s, np.uint64) for s in block["sketch"]]
-        listed = [np.frombuffer(s, np.uint64) for s in block["listed_values"]]
+        listed = [np.frombuffer(s, np.int64) for s in block["listed_values"]]
         overlap = _overlaps(values)
         kept = np.minimum(n, size)
         whole = n <= size
@@ -309,6 +310,7 @@ def _block_pairs(size: int, similarity: float):
         may = np.where(exact, ratio >= similarity - 1e-6, overlap >= low * np.minimum(kept[:, None], kept))
         may &= comps[:, None] != comps
         may &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-6
+        may &= _overlaps([v[v < value] for v in listed]) == 0  # no smaller list has both
         if bi != bj:
             may &= mine[:, None] != mine
         apart = _forest()
@@ -320,8 +322,7 @@ def _block_pairs(size: int, similarity: float):
         for x, y in zip(*others):
             if not apart(comps[x], comps[y], True):
                 continue
-            common = np.intersect1d(listed[x], listed[y], assume_unique=True)
-            if common[0] == here and _union_estimate(values[x], values[y], size) >= low:
+            if _union_estimate(values[x], values[y], size) >= low:
                 partners.setdefault(x, []).append(int(ids[y]))
                 partners.setdefault(y, [])
         rows += [(int(ids[x]), int(comps[x]), np.array(p, np.int64).tobytes(), None) for x, p in partners.items()]
@@ -355,8 +356,17 @@ def _rest(lists: DataFrame, listed: DataFrame, labels: DataFrame, sets: DataFram
     member = store(member, "list-members")
     open_ = (member.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("value", "members", "shingles"))
+    member = store(member.join(open_, "value"), "open-lists")
+    short = member.where(F.col("members") <= SHORT_LIST)
+    left = short.select("value", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
+    right = short.select("value", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
+    pairs = left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", percent / 100)).select("a", "b").distinct()
+    pairs = store(_estimated(pairs, sets, percent / 100), "short-list-pairs")
+    # Equal lists would do equal work: of those with the same members, the one with the smallest value is compared.
+    long_ = member.where(F.col("members") > SHORT_LIST)
+    alike = long_.groupBy("value", "members").agg(F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).groupBy("members", "who").agg(F.min("value").alias("value"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / PART_VALUES))
-    own = member.join(open_, "value").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    own = long_.join(alike.select("value"), "value").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = (own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
              .join(sets.select("doc_id", "sketch"), "doc_id").join(listed.select("doc_id", "listed_values"), "doc_id")
@@ -364,9 +374,10 @@ def _rest(lists: DataFrame, listed: DataFrame, labels: DataFrame, sets: DataFram
     found = store(dealt.groupBy("value", "i", "j").applyInPandas(_block_pairs(size, percent / 100), _FOUND), "block-pairs")
     links = found.where("link is not null").select(F.col("doc_id").alias("a"), F.col("link").alias("b"))
     asked = found.where("link is null").drop("link")
-    full = _full_sets(store(asked.select("doc_id").distinct(), "asked-ids"), docs, width)
+    ids = asked.select("doc_id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    full = _full_sets(store(ids, "asked-ids"), docs, width)
     proven = asked.join(full, "doc_id").groupBy("value", "i", "j").applyInPandas(_verified(percent), "a bigint, b bigint")
-    return links.unionByName(proven)
+    return links.unionByName(proven).unionByName(_confirmed(pairs, full, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, sketch_size: int = 256) -> DataFrame:
