@@ -67,7 +67,10 @@ def plain_text(col) -> Column:
     (integers as '98', money as '22716202.07'). A double is written as its
     shortest exact representation."""
     s = _c(col).cast("string")
-    plain = (F.when(s.rlike("E-"), s.try_cast("decimal(38,30)").cast("string"))
-             .when(s.rlike("E"), s.try_cast("decimal(38,0)").cast("string")).otherwise(s))
+    part = lambda i: F.regexp_extract(s, r"^(-?)([0-9])\.?([0-9]*)E(-?[0-9]+)$", i)
+    sign, digits, fraction, e = part(1), F.concat(part(2), part(3)), F.length(part(3)), part(4).try_cast("int")
+    plain = (F.when(e < 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+             .when(fraction <= e, F.concat(sign, digits, F.repeat(F.lit("0"), e - fraction)))
+             .when(e >= 0, F.concat(sign, F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2))))
     s = F.coalesce(plain, s)
-    return F.when(s.contains(".") & ~s.contains("E"), F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")).otherwise(s)
+    return F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")).otherwise(s)

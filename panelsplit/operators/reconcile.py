@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.periods import quarter_index
 from ..spec import DEFAULT, PanelSpec
 from .panel import annual_metrics, entity_window, with_year
 
@@ -110,3 +111,67 @@ def source_overlap(panel: DataFrame, published: DataFrame, keys: Sequence[str],
                              & F.col("pub_rollover_ye").isNotNull() & F.col("pub_principal_ye").isNotNull()
                              & F.col("pub_rate_pct").isNotNull()).select(*keys, "year")
     return complete.join(usable, [*keys, "year"], "left_anti")
+
+
+def reconcile_years(panel: DataFrame, annual: DataFrame, keys: Sequence[str], flows: dict[str, str], stocks: dict[str, str],
+                    flow_tol: float = 0.1, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Source against source, per entity and year: ``annual`` (keys, series, year, value) as an annual file has it, against
+    the quarters of ``panel``. ``flows`` and ``stocks``: series name -> panel column.
+
+    A flow is compared with the sum of its four quarters, a stock with its fourth quarter. A row per entity and year of
+    either source: largest gaps, series compared, and a status: ok, differs, or pending where a source lacks the year or
+    a value. One aggregate over the cells of both sources; neither is pivoted."""
+    quarters = with_year(panel, spec).groupBy(*keys, "year").agg(
+        *[F.when(F.count(c) == 4, F.sum(c).cast("double")).alias(s) for s, c in flows.items()],
+        *[F.max(F.when(F.quarter(spec.period) == 4, F.col(c))).cast("double").alias(s) for s, c in stocks.items()])
+    names = [*flows, *stocks]
+    cells = quarters.select(*keys, "year", F.inline(F.array(*[F.struct(F.lit(s).alias("series"), F.col(f"`{s}`").alias("q")) for s in names])))
+    both = cells.withColumn("a", F.lit(None).cast("double")).unionByName(
+        annual.where(F.col("series").isin(names)).select(*keys, "year", "series", F.lit(None).cast("double").alias("q"), F.col("value").alias("a")))
+    per = both.groupBy(*keys, "year", "series").agg(F.max("q").alias("q"), F.max("a").alias("a"))
+    gap, is_flow = F.abs(F.col("q") - F.col("a")), F.col("series").isin(list(flows))
+    out = per.groupBy(*keys, "year").agg(
+        F.count(gap).alias("compared"), F.max(F.when(is_flow, gap)).alias("flow_gap"), F.max(F.when(~is_flow, gap)).alias("stock_gap"))
+    wrong = (F.coalesce("flow_gap", F.lit(0.0)) > flow_tol) | (F.coalesce("stock_gap", F.lit(0.0)) != 0)
+    return out.withColumn("status", F.when(wrong, "differs").when(F.col("compared") == len(names), "ok").otherwise("pending"))
+
+
+def audit_tables(panel: DataFrame, keys: Sequence[str], recent: int = 6, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """The audit's tables in one pass over the panel: long rows (keys, section, subject, item, value).
+
+    One window pass marks gaps and recent periods; then one aggregate with grouping sets has a row per entity and year,
+    per entity and quarter of the year, per entity and recent period, and per entity. Sections: ``year`` (quarters, sums
+    of the flows, averages and fourth quarters of the stocks, recomputed rate), ``quarter`` (mean rate over complete
+    years), ``recent`` (the rate of the last ``recent`` periods) and ``entity`` (periods, gaps, and of every measure its
+    least and greatest value and how many are missing). Values that need a full year are left out of a partial one."""
+    p = spec.period
+    w = entity_window(keys)
+    index = quarter_index(p)
+    marked = panel.withColumns({
+        "_gap": index - F.lag(index).over(w.orderBy(p)) > 1, "year": F.year(p).cast("bigint"), "_q": F.quarter(p),
+        "_full": F.count(F.lit(1)).over(w.partitionBy(*keys, F.year(p)) if keys else w.partitionBy(F.year(p))) == 4,
+        "_recent": F.when(index > F.max(index).over(w) - recent, F.col(p))})
+    names = spec.measure_names()
+    k = ", ".join(f"`{c}`" for c in keys)
+    sets = [f"({', '.join(x for x in (k, c) if x)})" for c in ("year", "_q", "_recent", "")]
+    total = {m: f"CAST(CASE WHEN count(`{m}`) = 4 THEN sum(`{m}`) END AS DOUBLE)" for m in (spec.loss, spec.billings, spec.balance, spec.principal)}
+    year = {"quarters": "CAST(count(*) AS DOUBLE)", f"sum {spec.loss}": total[spec.loss], f"sum {spec.billings}": total[spec.billings]}
+    for m in (spec.balance, spec.principal):
+        year[f"average {m}"] = f"{total[m]} / 4"
+        year[f"fourth quarter {m}"] = f"CAST(max(CASE WHEN _q = 4 THEN `{m}` END) AS DOUBLE)"
+    year["rate recomputed"] = f"try_divide(100 * {total[spec.loss]}, {total[spec.balance]} / 4)"
+    entity = {"periods": "CAST(count(*) AS DOUBLE)", "gaps": "CAST(count_if(_gap) AS DOUBLE)"}
+    for m in names:
+        entity |= {f"least {m}": f"CAST(min(`{m}`) AS DOUBLE)", f"greatest {m}": f"CAST(max(`{m}`) AS DOUBLE)", f"missing {m}": f"CAST(count_if(`{m}` IS NULL) AS DOUBLE)"}
+    sections = [
+        ("year", "grouping(year) = 0", "CAST(year AS STRING)", year),
+        ("quarter", "grouping(_q) = 0", "concat('Q', _q)", {"mean rate": f"CAST(avg(CASE WHEN _full THEN `{spec.rate}` END) AS DOUBLE)"}),
+        ("recent", "grouping(_recent) = 0 AND _recent IS NOT NULL", "CAST(_recent AS STRING)", {"rate": f"CAST(max(`{spec.rate}`) AS DOUBLE)"}),
+        ("entity", "grouping(year) + grouping(_q) + grouping(_recent) = 3", "''", entity)]
+
+    def listed(name, subject, items):
+        return "array(" + ", ".join(f"struct('{name}' AS section, {subject} AS subject, '{i}' AS item, {v} AS value)" for i, v in items.items()) + ")"
+
+    cells = "CASE " + " ".join(f"WHEN {when} THEN {listed(n, s, items)}" for n, when, s, items in sections) + " END"
+    grouped = panel.sparkSession.sql(f"SELECT {k + ', ' if k else ''}{cells} AS cells FROM {{marked}} GROUP BY GROUPING SETS ({', '.join(sets)})", marked=marked)
+    return grouped.select(*keys, F.inline("cells")).where(F.col("value").isNotNull())

@@ -63,8 +63,11 @@ def stage_wide(wide: DataFrame, keys: Sequence[str], mapping: dict[str, str],
                series_col: str = "series", period: str = "period") -> DataFrame:
     """Wide -> tidy panel (keys, period, one DOUBLE column per mapped series).
     ``mapping``: series name in the file -> panel column name."""
-    ids = [*keys, series_col]
-    long = unpivot_periods(wide, ids)
+    return _staged(unpivot_periods(wide, [*keys, series_col]), keys, mapping, series_col, period)
+
+
+def _staged(long: DataFrame, keys: Sequence[str], mapping: dict[str, str], series_col: str, period: str) -> DataFrame:
+    """(keys, series, label, value) cells -> tidy panel, without the cells that an exclusion rule matches."""
     rules = exclusion_rules(series_col, list(mapping))
     keep = ~reduce(lambda a, b: a | b, rules.values())
     parsed = long.where(keep).select(*keys, F.col(series_col), period_from_label("label").alias(period),
@@ -117,3 +120,46 @@ def pivot_wide(long: DataFrame, keys: Sequence[str], labels: Sequence[str] | Non
     per label (newest first when ``labels`` is given in that order)."""
     g = long.groupBy(*keys, "series")
     return (g.pivot("label", list(labels)) if labels is not None else g.pivot("label")).agg(F.first("value"))
+
+
+# ------------------------------------------------------------------ wide rows as maps
+
+def panel_to_maps(panel: DataFrame, keys: Sequence[str], series: dict[str, str], period: str = "period") -> DataFrame:
+    """(keys, series, cells): one wide row per entity and series, its cells a map from label to value text.
+
+    The labels are data, so nothing has to find them out before the job is planned, and entities may have different
+    ones. A series is as long as its periods; entity-clustered panels need no exchange. A period that an entity has
+    twice has no place in a wide row and fails the job (the period check reports it)."""
+    cells = F.array(*[F.struct(F.lit(s).alias("series"), plain_text(c).alias("value")) for s, c in series.items()])
+    long = panel.select(*keys, wide_label(period).alias("label"), F.inline(cells)).where(F.col("value").isNotNull())
+    return long.groupBy(*keys, "series").agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("cells"))
+
+
+def stage_maps(maps: DataFrame, keys: Sequence[str], mapping: dict[str, str], series_col: str = "series",
+               period: str = "period") -> DataFrame:
+    """Wide rows as maps -> tidy panel, by the rules of ``stage_wide``."""
+    long = maps.select(*keys, series_col, F.explode("cells").alias("label", "value"))
+    return _staged(long, keys, mapping, series_col, period)
+
+
+def map_accounting(maps: DataFrame, staged: DataFrame, keys: Sequence[str], mapping: dict[str, str],
+                   series_col: str = "series") -> DataFrame:
+    """``cell_accounting`` for wide rows as maps: an entity's grid has the labels that any of its series has."""
+    rules = exclusion_rules(series_col, list(mapping))
+    cells = maps.select(*keys, series_col, F.explode("cells").alias("label", "value"))
+    blank = F.trim("value") == ""
+    any_rule = reduce(lambda a, b: a | b, rules.values())
+    by_label = cells.groupBy(*keys, "label").agg(
+        F.count_if(~blank).alias("present"), F.count_if(~blank & any_rule).alias("excluded"),
+        *[F.count_if(~blank & r).alias(f"r{i + 1}") for i, r in enumerate(rules.values())])
+    per = by_label.groupBy(*keys).agg(F.count(F.lit(1)).alias("labels"), F.sum("present").alias("present_cells"), F.sum("excluded").alias("excluded_cells"),
+                                      *[F.sum(f"r{i + 1}").alias(f"rule_{i + 1}") for i in range(len(rules))])
+    series = maps.groupBy(*keys).agg(F.count(F.lit(1)).alias("series_rows"))
+    cols = list(mapping.values())
+    kept = staged.groupBy(*keys).agg(reduce(lambda a, b: a + b, [F.count(c) for c in cols]).alias("staged_cells"), F.count(F.lit(1)).alias("staged_periods"))
+    out = (per.join(series, list(keys)).join(kept, list(keys), "left").fillna(0, ["staged_cells", "staged_periods"])
+           .withColumn("raw_cells", F.col("labels") * F.col("series_rows")))
+    out = out.withColumn("missing_cells", F.col("raw_cells") - F.col("present_cells"))
+    return out.select(*keys, "labels", "raw_cells", "missing_cells", "present_cells", "excluded_cells", *[f"rule_{i + 1}" for i in range(len(rules))],
+                      "staged_cells", "staged_periods",
+                      (F.col("staged_cells") + F.col("excluded_cells") + F.col("missing_cells") == F.col("raw_cells")).alias("reconciles"))

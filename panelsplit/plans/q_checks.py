@@ -289,10 +289,11 @@ SELECT c_nationkey, period, CAST(principal AS DOUBLE) AS principal, CAST(supplem
   CAST(write_offs AS DOUBLE) AS write_offs, rate_pct
 FROM panel""", keep=["c_nationkey", "period"]))
 def unpivot_stage(spark, sf_dir):
-    """Panel -> wide file shape (one row per nation and series, one column
-    per quarter label) -> staged back: unpivot, label/value/series filters,
-    parse, pivot. Must reproduce the panel exactly."""
-    return RS.stage_wide(_wide(spark, sf_dir), NAT, _MAPPING)
+    """Panel -> wide rows (one per nation and series, a map from quarter label
+    to value) -> staged back: explode, label/value/series filters, parse,
+    pivot. Must reproduce the panel exactly; one job, labels are not collected."""
+    panel = FX.fact_panel(spark, sf_dir, NAT)
+    return RS.stage_maps(RS.panel_to_maps(panel, NAT, _WIDE_SERIES), NAT, _MAPPING)
 
 
 @register("cell_accounting", sql=_with(_NATP, """cells AS (
