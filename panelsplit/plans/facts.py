@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money
@@ -130,6 +130,8 @@ def fact_panel(spark: SparkSession, sf_dir: str, keys: Sequence[str],
         facts = order_level_facts(spark, sf_dir, keys, since)
         aggs = {"principal": F.countDistinct("o_custkey"), "billings": F.sum("b"),
                 "rollover": F.sum("rb"), "write_offs": F.sum("w")}
+    # Counting a column that is a key needs no distinct count: there is one.
+    aggs |= {m: F.max(F.lit(1).cast("bigint")) for m, c in (("principal", "o_custkey"), ("supplementary", "l_suppkey")) if c in keys and m in aggs}
     panel = build_panel(facts, keys, quarter_start("o_orderdate"), aggs,
                         post={"rate_pct": published_rate("write_offs", "billings")})
     panel = cluster_by_entity(panel, keys) if clustered else panel
@@ -179,6 +181,13 @@ def published_annual(panel: DataFrame, keys: Sequence[str], materialize: bool =
     return cut_lineage(out) if materialize else out
 
 
+def with_published_rate(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The panel with the published annual rate of each row's year (``published_annual``'s, by a window)."""
+    year = Window.partitionBy(*keys, F.year("period"))
+    rate = F.round(F.try_divide(F.sum("write_offs").over(year).cast("double") * 100, F.sum("rollover").over(year).cast("double") / 4), 1)
+    return panel.withColumn("pub_rate_pct", F.when(F.count(F.lit(1)).over(year) == 4, rate))
+
+
 def published_from_facts(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame:
     """The published annual table straight from the facts, independent of any panel."""
     facts = order_level_facts(spark, sf_dir, keys)

@@ -9,7 +9,7 @@ from ..operators.sensitivity import VARIANTS, sensitivity
 from . import facts as FX
 from . import sqlparts as S
 from .edge import sql_finish
-from .registry import SEG, register
+from .registry import CUST, SEG, register
 from .registry import with_ctes as _with
 
 _K = "c_mktsegment"
@@ -57,9 +57,9 @@ def bridge_shape(spark, sf_dir):
     return b.select(*SEG, "year", "volume", "rate", D.shape_label("volume", "rate").alias("shape"))
 
 
-def _book_sql() -> str:
-    book = """book AS (
-  SELECT c_mktsegment, CAST(year(period) AS BIGINT) AS year,
+def _book_sql(key: str = _K) -> str:
+    book = f"""book AS (
+  SELECT {key}, CAST(year(period) AS BIGINT) AS year,
     CASE WHEN count(principal) = 4 THEN CAST(sum(principal) AS DOUBLE) / 4 END AS p,
     CASE WHEN count(supplementary) = 4 THEN CAST(sum(supplementary) AS DOUBLE) / 4 END AS s,
     CASE WHEN count(rollover) = 4 THEN CAST(sum(rollover) AS DOUBLE) / 4 END AS r,
@@ -69,14 +69,14 @@ def _book_sql() -> str:
     CAST(max(CASE WHEN month(period) = 10 THEN supplementary END) AS DOUBLE) AS se,
     CAST(max(CASE WHEN month(period) = 10 THEN rollover END) AS DOUBLE) AS re
   FROM panel GROUP BY ALL HAVING count(*) = 4)"""
-    pairs = S.pairs_cte(SEG, "book", ["p", "s", "r", "b", "w", "pe", "se", "re"], name="bp")
+    pairs = S.pairs_cte([key], "book", ["p", "s", "r", "b", "w", "pe", "se", "re"], name="bp")
     ext = "bx AS (SELECT *, p + s AS c1, p0 + s0 AS c0, pe + se AS ce1, pe0 + se0 AS ce0 FROM bp)"
     t = S.inline_bridge("r0", "c0", "r", "c1")
     pp = S.inline_bridge("r0", "p0", "r", "p")
     et = S.inline_bridge("re0", "ce0", "re", "ce1")
     ep = S.inline_bridge("re0", "pe0", "re", "pe")
-    return _with(S.panel_cte(SEG), book, pairs, ext) + f"""
-SELECT c_mktsegment, year, year0 AS previous_year, p AS avg_principal, s AS avg_supplementary, c1 AS avg_total,
+    return _with(S.panel_cte([key]), book, pairs, ext) + f"""
+SELECT {key}, year, year0 AS previous_year, p AS avg_principal, s AS avg_supplementary, c1 AS avg_total,
   r * 1.0 / c1 AS rollover_per_unit, w * 1.0 / p AS write_offs_per_principal, r / b AS rollover_to_billings,
   r - r0 AS delta_rollover, {t['volume']} AS count_effect, {t['rate']} AS per_unit_effect,
   r * 1.0 / p AS rollover_per_principal, {pp['volume']} AS principal_count_effect,
@@ -96,6 +96,12 @@ def book_split(spark, sf_dir):
     return D.book_split(FX.fact_panel(spark, sf_dir, SEG), SEG, unit_scale=1.0)
 
 
+@register("book_split_customer", sql=sql_finish(_book_sql("o_custkey"), keep=["o_custkey", "year", "previous_year", "closes"]))
+def book_split_customer(spark, sf_dir):
+    """The book split of every customer: years that lack a quarter or a value have none."""
+    return D.book_split(FX.fact_panel(spark, sf_dir, CUST), CUST, unit_scale=1.0)
+
+
 @register("published_basis", sql=sql_finish(_with(
     S.panel_cte(SEG), S.annual_cte(SEG), S.published_cte(SEG),
     """aw AS (SELECT a.c_mktsegment, a.year, write_offs AS W, avg_rollover AS R, pub_rate_pct AS P
@@ -184,8 +190,16 @@ FROM (SELECT *,
                                         keep=[_K, "variant_id", "variant_order", "variant", "window_old",
                                               "window_new"]))
 def sensitivity_table(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
-    return sensitivity(panel, SEG, FX.published_annual(panel, SEG))
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
+    return sensitivity(FX.with_published_rate(panel, SEG), SEG)
+
+
+@register("sensitivity_customer", sql=sql_finish(_sensitivity_sql("o_custkey"),
+          keep=["o_custkey", "variant_id", "variant_order", "variant", "window_old", "window_new"]))
+def sensitivity_customer(spark, sf_dir):
+    """The table of every customer: sparse panels, so most variants lack periods and are absent."""
+    panel = FX.fact_panel(spark, sf_dir, CUST, line_level=False)
+    return sensitivity(FX.with_published_rate(panel, CUST), CUST)
 
 
 _WF_SQL = _with(*_BASE, f"""br AS (SELECT c_mktsegment, year, W AS write_offs, {_B['d_w']} AS delta_write_offs,
