@@ -144,8 +144,8 @@ SELECT c_mktsegment, period, CAST(billings AS DOUBLE) AS billings, CAST(rollover
 def panel_stream(spark, sf_dir):
     """Incremental refresh: the line files are consumed as a stream (one file
     per trigger), joined to the static orders and customers, the additive
-    measures aggregated per (segment, quarter) and upserted into versioned
-    snapshots; the newest snapshot must equal the batch panel's flows."""
+    measures aggregated per (segment, quarter), the changed cells appended batch by
+    batch; the cells as last left must equal the batch panel's flows."""
     li_schema = read_table(spark, sf_dir, "lineitem").schema
     lines = (spark.readStream.schema(li_schema).option("pathGlobFilter", "lineitem.parquet")
              .option("maxFilesPerTrigger", 1).parquet(sf_dir).select(*FX.LINE_COLS))

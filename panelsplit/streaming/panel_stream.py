@@ -1,16 +1,12 @@
 """Incremental panel refresh with Structured Streaming.
 
 New fact files land in a folder; a streaming query joins them to the static
-dimension tables, aggregates the *additive* measures by ``(keys, period)``
+dimension tables and aggregates the *additive* measures by ``(keys, period)``
 (state store keyed by panel cell, so state is bounded by the panel, not by the
-facts) and, per micro-batch, upserts the changed cells into a versioned
-Parquet snapshot under the shared checkpoint folder:
-
-    snapshot v(n) = snapshot v(n-1) minus changed cells  +  changed cells
-
-Readers take the newest complete version, so a failed batch never exposes a
-partial table, and a restarted query resumes from its checkpoint (exactly-once
-per batch id: a version is written only once per batch id).
+facts). Every micro-batch appends the cells that it changed, with its batch
+number; the panel is each cell as its last batch left it, one aggregate over
+the appended cells. A batch that is replayed writes its own folder again, so
+nothing counts twice.
 
 Distinct counts (principal / supplementary) are not additive across batches
 and are therefore refused here; they stay in the batch panel.
@@ -18,7 +14,6 @@ and are therefore refused here; they stay in the batch panel.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,48 +37,27 @@ def incremental_panel(facts: DataFrame, keys: Sequence[str], period: Column,
     return facts.groupBy(*keys, period.alias(period_name)).agg(*aggs)
 
 
-def latest_version(spark: SparkSession, table: str) -> str | None:
-    """Path of the newest complete snapshot (has a _SUCCESS marker)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return None
-    versions = []
-    for st in fs.listStatus(jvm_path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            versions.append(int(name[2:]))
-    return os.path.join(table, f"v={max(versions)}") if versions else None
-
-
-def upsert_writer(table: str, cell_keys: Sequence[str]):
-    """foreachBatch function: merge the batch's updated cells into a new
-    snapshot version (anti-join on the cell keys + union)."""
+def append_changes(table: str):
+    """foreachBatch function: the batch's cells, in a folder named by its number."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = os.path.join(table, f"v={batch_id + 1}")
-        prev = latest_version(spark, table)
-        if prev is not None and prev.endswith(f"v={batch_id + 1}"):
-            return                                   # this batch id already published (replay)
-        merged = batch
-        if prev is not None:
-            old = spark.read.parquet(prev)
-            merged = old.join(batch.select(*cell_keys), list(cell_keys), "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
     return write
 
 
+def current_panel(spark: SparkSession, table: str, cell_keys: Sequence[str]) -> DataFrame:
+    """Every cell as the last batch that changed it left it."""
+    rows = spark.read.option("basePath", table).parquet(table)
+    values = [c for c in rows.columns if c not in (*cell_keys, "batch")]
+    latest = rows.groupBy(*cell_keys).agg(F.max_by(F.struct(*values), F.col("batch")).alias("v"))
+    return latest.select(*cell_keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
 def refresh_to_table(sdf: DataFrame, table: str, checkpoint: str, cell_keys: Sequence[str]) -> DataFrame:
-    """Run the streaming aggregate over everything available now, publishing
-    snapshots to ``table``; returns the newest snapshot."""
+    """Run the streaming aggregate over everything available now; returns the panel as it is then."""
     q = (sdf.writeStream.outputMode("update")
-         .foreachBatch(upsert_writer(table, cell_keys))
+         .foreachBatch(append_changes(table))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
-    spark = sdf.sparkSession
-    path = latest_version(spark, table)
-    if path is None:
-        raise RuntimeError("stream produced no snapshot")
-    return spark.read.parquet(path)
+    return current_panel(sdf.sparkSession, table, cell_keys)
