@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import plain_text
@@ -36,7 +37,37 @@ def _newest_first(wide, ids):
     return wide.select(*ids, *labels)
 
 
-@register("landing_checks")
+_CLEAN_CHECKS = ("first column is the id", "malformed labels", "duplicate labels", "labels contiguous", "coverage floor", "row width",
+                 "numeric cells", "expected series")
+
+
+def _landing_sql() -> str:
+    names = ", ".join(f"('{c}')" for c in _CLEAN_CHECKS)
+    return _with(S.panel_cte(SEG), f"ranked AS (SELECT {SEG[0]} AS k, row_number() OVER (ORDER BY {SEG[0]}) AS rk FROM (SELECT DISTINCT {SEG[0]} FROM panel))",
+                 f"checks AS (SELECT * FROM (VALUES {names}) AS t(check_name))") + f"""
+SELECT sub || '/{SEG[0]}=' || k AS path, check_name, CAST(0 AS BIGINT) AS violations
+FROM ranked, (VALUES ('quarterly'), ('annual')) AS s(sub), (SELECT * FROM checks UNION ALL SELECT 'manifest hash') AS c
+UNION ALL SELECT 'segment=' || k, c, 0 FROM ranked, (VALUES ('restaged cells'), ('annual round trip')) AS t(c)
+UNION ALL
+SELECT 'damaged/{SEG[0]}=' || k, check_name, CASE WHEN check_name = 'malformed labels' THEN 1 WHEN check_name = 'numeric cells' AND rk = 1 THEN 1
+  WHEN check_name = 'expected series' THEN CASE rk WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END ELSE 0 END
+FROM ranked, checks"""
+
+
+def _damage(wide):
+    """A malformed label for all; by rank of the segment a cell that is no number, a series with another name, a series
+    that is there twice, a name with quotes and a line end."""
+    labels = [c for c in wide.columns if c not in (*SEG, "series")]
+    out = wide.withColumn("_rk", F.dense_rank().over(Window.orderBy(SEG[0])))
+    out = out.withColumns({
+        labels[0]: F.when((F.col("_rk") == 1) & (F.col("series") == "billings"), F.lit("x1")).otherwise(F.col(f"`{labels[0]}`")),
+        "series": F.when((F.col("_rk") == 2) & (F.col("series") == "rollover"), F.lit("rolling"))
+        .when((F.col("_rk") == 4) & (F.col("series") == "rollover"), F.lit('the "net"\nrollover, all')).otherwise(F.col("series"))})
+    out = out.unionByName(out.where((F.col("_rk") == 3) & (F.col("series") == "rollover")))
+    return out.drop("_rk").withColumnRenamed(labels[-1], labels[-1].replace("Q", "XQ"))
+
+
+@register("landing_checks", sql=_landing_sql())
 def landing_checks(spark, sf_dir):
     """Write the segment panel as wide quarterly files and the published
     table as wide annual files ('na' = missing), then check every landed file:
@@ -47,7 +78,9 @@ def landing_checks(spark, sf_dir):
     base = scratch_path(spark, f"landing-{uuid.uuid4().hex}")
     panel = cut_lineage(FX.fact_panel(spark, sf_dir, SEG))       # pivot + re-staging reuse it
     q_wide = RS.pivot_wide(RS.panel_to_long(panel, SEG, {m: m for m in _MEASURES}), SEG)
-    FS.write_wide(_newest_first(q_wide, [*SEG, "series"]), f"{base}/quarterly", SEG[0])
+    q_wide = cut_lineage(_newest_first(q_wide, [*SEG, "series"]))
+    FS.write_wide(q_wide, f"{base}/quarterly", SEG[0])
+    FS.write_wide(_damage(q_wide), f"{base}/damaged", SEG[0])
     pub = FX.published_annual(panel, SEG)
     a_long = (pub.select(*SEG, F.col("year").cast("string").alias("label"),
                          *[plain_text(c).alias(s) for s, c in _PUB_SERIES.items()])
@@ -64,6 +97,7 @@ def landing_checks(spark, sf_dir):
         recorded = spark.read.json(f"{base}/manifest/{sub}")
         out.append(L.manifest_mismatches(FS.file_hashes(spark, glob), recorded))
 
+    out.append(L.file_checks(spark, f"{base}/damaged/*/*.csv", "series", L.QUARTER, _MEASURES, False, 20))
     restaged = RS.stage_wide(FS.read_wide(spark, f"{base}/quarterly").drop("source_file"), SEG,
                              {m: m for m in _MEASURES})
     cells = lambda df: df.groupBy(*SEG).agg(
@@ -85,10 +119,14 @@ def landing_checks(spark, sf_dir):
     res = out[0]
     for d in out[1:]:
         res = res.unionByName(d)
-    return res.withColumn("path", F.regexp_replace("path", r"^.*?/(quarterly|annual)/", "$1/"))
+    return res.withColumn("path", F.regexp_replace("path", r"^.*?/(quarterly|annual|damaged)/([^/]*)/.*$", "$1/$2"))
 
 
-@register("gated_write")
+@register("gated_write", sql=_with(S.panel_cte(SEG), S.annual_cte(SEG)) + f"""
+SELECT 'panel' AS "table", count(*) AS rows, TRUE AS has_key, count(*) > 0 AS ok FROM panel
+UNION ALL
+SELECT 'bridge', count(*), TRUE, count(*) > 0
+FROM (SELECT year, lag(year) OVER (PARTITION BY {SEG[0]} ORDER BY year) AS py FROM annual) AS a WHERE year = py + 1""")
 def gated_write(spark, sf_dir):
     """Checks -> gate -> write: the panel (counts narrowed to BIGINT only
     after the whole-number check passed) as Parquet partitioned by year, the

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 def read_wide(spark: SparkSession, paths: str | Sequence[str], null_value: str | None = None) -> DataFrame:
     """Wide CSV(s) with a header; every column STRING; the source file path
     kept as ``source_file`` so many files can be staged in one job."""
-    r = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
+    r = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).option("escape", '"')
     if null_value is not None:
         r = r.option("nullValue", null_value)
     df = r.csv(paths if isinstance(paths, str) else list(paths))
@@ -43,7 +43,7 @@ def write_wide(wide: DataFrame, out_dir: str, entity: str, null_value: str = "")
     contents give equal bytes; ``null_value`` marks missing cells (e.g. 'na' for
     the annual file)."""
     (wide.repartition(entity).sortWithinPartitions(entity, "series").write.mode("overwrite").partitionBy(entity)
-     .option("header", True).option("nullValue", null_value).option("emptyValue", null_value)
+     .option("header", True).option("escape", '"').option("nullValue", null_value).option("emptyValue", null_value)
      .csv(out_dir))
 
 
