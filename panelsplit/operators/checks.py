@@ -41,7 +41,7 @@ def measure_rules(spec: PanelSpec = DEFAULT, highest_rate: float = 50) -> list[t
 
 def quality_checks(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFAULT,
                    floor: str | _dt.date = "2014-10-01", as_of: str | _dt.date | None = None,
-                   min_periods: int = 40) -> DataFrame:
+                   min_periods: int = 40, highest_rate: float = 50) -> DataFrame:
     """Violations per entity and check (0 = pass)."""
     p = spec.period
     w = entity_window(keys).orderBy(p)
@@ -50,7 +50,7 @@ def quality_checks(panel: DataFrame, keys: Sequence[str], spec: PanelSpec = DEFA
     flagged = panel.select(*keys, p, *spec.measure_names(),
                            ((F.col(p) == before) & (before2.isNull() | (before2 != F.col(p)))).alias("_again"),
                            (F.col(p) > F.add_months(before, 3)).alias("_skips"))
-    checks = [(f"{measure}:{rule}", F.count_if(broken)) for measure, rule, broken in measure_rules(spec)]
+    checks = [(f"{measure}:{rule}", F.count_if(broken)) for measure, rule, broken in measure_rules(spec, highest_rate)]
     checks += [("period:repeated", F.count_if("_again")), ("period:skipped", F.count_if("_skips")),
                ("period:outside the dates", F.count_if((F.col(p) < F.lit(str(floor)).cast("date")) | (F.col(p) > latest))),
                ("period:too few", F.when(F.count(F.lit(1)) >= min_periods, 0).otherwise(1).cast("bigint"))]

@@ -135,7 +135,7 @@ def gated_write(spark, sf_dir):
     The panel feeds the checks, the bridge and the write, so it is
     checkpointed once into the shared folder (lineage cut, reused 3x)."""
     panel = cut_lineage(FX.fact_panel(spark, sf_dir, SEG))
-    K.gate(K.quality_checks(panel, SEG, floor="1995-01-01", as_of="2001-12-31", min_periods=20),
+    K.gate(K.quality_checks(panel, SEG, floor="1995-01-01", as_of="2001-12-31", min_periods=20, highest_rate=100),
            "panel checks")
     bridge = D.yearly_bridge(panel, SEG, FX.published_annual(panel, SEG))
     K.gate(K.closure_violations(bridge, SEG), "bridge closure")

@@ -136,7 +136,7 @@ def published_swap(spark, sf_dir):
 
     def pair(p, breaks=False):
         bridge = D.yearly_bridge(p, SEG, FX.published_annual(p, SEG)).select(*SEG, "year", "volume", "rate", "interaction", "closes")
-        checks = {"panel checks": K.quality_checks(p, SEG, floor="1992-01-01", as_of="2001-12-31", min_periods=12),
+        checks = {"panel checks": K.quality_checks(p, SEG, floor="1992-01-01", as_of="2001-12-31", min_periods=12, highest_rate=100),
                   "bridge closure": K.closure_violations(bridge, SEG)}
         if breaks:
             bridge = bridge.withColumn("rate", F.when(F.col("year") > 0, F.raise_error(F.lit("disk full")).cast("double")))
