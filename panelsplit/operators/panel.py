@@ -3,9 +3,9 @@
 Partitioning: ``build_panel`` is one hash aggregate on ``(keys, period)`` with
 map-side partial aggregation (a hot entity collapses to one row per period per
 map task before the shuffle). ``cluster_by_entity`` then hash-partitions the
-(small) panel by ``keys`` only; every later groupBy on ``(keys, year)`` and every
-window ``partitionBy(keys)`` is satisfied by that partitioning, so the annual
-aggregate, the lag pairing and the trailing windows add no further exchange.
+(small) panel by ``keys`` only; later groupBys on ``(keys, year)`` and windows
+``partitionBy(keys)`` are satisfied by that partitioning and add no exchange.
+Joins on ``(keys, year)`` do.
 An entity holds at most one row per period, so this partitioning cannot skew
 beyond the number of periods.
 """
