@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelsplit.llm.common import store, table
+from panelsplit.llm.common import slices, store, table
 from panelsplit.llm.components import components
 
 #: Lists up to this length emit their pairs; longer ones are compared in blocks.
@@ -82,13 +82,6 @@ def shingle_hashes(text: str | None, width: int, words: WordHashes) -> np.ndarra
     return np.unique(out)
 
 
-def _slices(batches, rows: int = 256):
-    """Batches of few rows, so that a task holds few texts and sets at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _least_overlap(n: int, size: int, similarity: float) -> int:
     """Values that the sketch of a set of n shingles shares at least with that of a set of the wanted similarity."""
     kept = min(n, size)
@@ -102,7 +95,7 @@ def sketches(docs: DataFrame, width: int, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set) and sketch (sorted little-endian 64-bit values)."""
     def run(batches):
         words = WordHashes()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             n, keys, out = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_hashes(text, width, words)
@@ -218,7 +211,7 @@ def _full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
 
     def full(batches):
         words = WordHashes()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out = [shingle_hashes(t, width, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "hashes"])
 

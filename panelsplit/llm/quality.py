@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelsplit.llm.common import id_remainder, table
+from panelsplit.llm.common import id_remainder, slices, table
 
 
 class QualityModel(NamedTuple):
@@ -46,7 +46,7 @@ def _sizes(good: bytes, bad: bytes, level: int):
     """mapInArrow body: the columns before text pass through; the text becomes its length in bytes and two compressed sizes."""
     def run(batches):
         to_good, to_bad = _compressor(good, level), _compressor(bad, level)
-        for batch in batches:
+        for batch in slices(batches):
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.num_columns - 1).to_pylist()]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
@@ -136,8 +136,22 @@ HELD_OUT = 2
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``threshold``."""
-    scored = score_quality(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return scored.where(F.col("score") >= threshold).select("doc.*")
+    at = docs.columns.index("text")
+    sizes, weights = _sizes(model.good, model.bad, model.level), np.array(model.weights)
+
+    def run(batches):
+        held = []
+
+        def texts():
+            for batch in slices(batches):
+                held.append(batch)
+                yield batch.select([at])
+
+        for measured in sizes(texts()):
+            score = 1 / (1 + np.exp(-np.clip(_features(*(c.to_numpy() for c in measured.columns)) @ weights, -30, 30)))
+            yield held.pop().filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
