@@ -127,18 +127,25 @@ def _solver(k: int):
     return solve
 
 
-def _solve(queries: DataFrame, data: DataFrame, k: int, data_blocks: int, query_blocks: int) -> DataFrame:
-    """queries: group, vec_id, v, bound; data: group, vec_id, v. Every block of queries meets every block of its group's data."""
+def _dealt(queries: DataFrame, data: DataFrame, data_blocks: int, query_blocks: dict[int, int]) -> DataFrame:
+    """Queries copied to every block of data, and data to every block of queries that its group has (none without queries)."""
+    own = F.create_map(*[F.lit(x) for kv in query_blocks.items() for x in kv])[F.col("group")]
+
     def block(n, by):
-        return F.pmod(F.xxhash64("vec_id", F.lit(by)), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64("vec_id", F.lit(by)), n).cast("int")
 
     def every(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        return F.explode(F.sequence(F.lit(0), n - 1))
 
+    query_blocks, data_blocks = own, F.lit(data_blocks)
     q = queries.select("group", block(query_blocks, "q").alias("qb"), every(data_blocks).alias("db"), "vec_id", "v", "bound", F.lit(True).alias("is_query"))
     d = data.select("group", every(query_blocks).alias("qb"), block(data_blocks, "d").alias("db"), "vec_id", "v", F.lit(None).cast("long").alias("bound"), F.lit(False).alias("is_query"))
-    both = q.unionByName(d).withColumn("bound", F.coalesce("bound", F.lit(-_LONG - 1)))
-    return both.groupBy("group", "qb", "db").applyInPandas(_solver(k), _FOUND)
+    return q.unionByName(d).withColumn("bound", F.coalesce("bound", F.lit(-_LONG - 1)))
+
+
+def _solve(queries: DataFrame, data: DataFrame, k: int, data_blocks: int, query_blocks: dict[int, int]) -> DataFrame:
+    """queries: group, vec_id, v, bound; data: group, vec_id, v. Every block of queries meets every block of its group's data."""
+    return _dealt(queries, data, data_blocks, query_blocks).groupBy("group", "qb", "db").applyInPandas(_solver(k), _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -159,7 +166,8 @@ def top_k(rows: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64,
     cells = store(_with_cells(vectors, centres, query_every, groups), "cells")
     queries = cells.where(F.col("group").isNotNull())
     data_blocks = math.ceil(number["n"] / block)
-    query_blocks = math.ceil(number["m"] / queries_per_block)
+    # By group, as a group meets no other's queries; at most one entry a pivot.
+    query_blocks = {r["group"]: math.ceil(r["count"] / queries_per_block) for r in queries.groupBy("group").count().collect()}
 
     # First the own cell: group g meets the cell of the same pivot, in as many blocks as it fills.
     largest = cells.where(F.col("cell") < groups).groupBy("cell").count().agg(F.max("count")).collect()[0][0] or 1

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import types as T
 
-from panelsplit.llm.knn import top_k
+from panelsplit.llm.knn import _dealt, top_k
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("score", T.StringType()), T.StructField("cell", T.StringType())])
 
@@ -46,3 +46,11 @@ def test_odd_rows(spark):
 
 def test_few_or_no_rows(spark):
     assert _run(spark, []) == [] and _run(spark, [(1, [1.0])]) == [] and _run(spark, [(20, [1.0])]) == []
+
+
+def test_data_goes_to_the_blocks_of_its_group(spark):
+    queries = spark.createDataFrame([(i % 2, i, b"s\0", 0) for i in range(8)], "group int, vec_id long, v binary, bound long")
+    data = spark.createDataFrame([(i % 3, i, b"s\0") for i in range(30)], "group int, vec_id long, v binary")
+    got = _dealt(queries, data, 2, {0: 3, 1: 1})
+    assert got.where("is_query").count() == 8 * 2
+    assert {r["group"]: r["count"] for r in got.where("not is_query").groupBy("group").count().collect()} == {0: 10 * 3, 1: 10}
