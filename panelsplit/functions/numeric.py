@@ -67,10 +67,11 @@ def plain_text(col) -> Column:
     (integers as '98', money as '22716202.07'). A double is written as its
     shortest exact representation."""
     s = _c(col).cast("string")
-    part = lambda i: F.regexp_extract(s, r"^(-?)([0-9])\.?([0-9]*)E(-?[0-9]+)$", i)
-    sign, digits, fraction, e = part(1), F.concat(part(2), part(3)), F.length(part(3)), part(4).try_cast("int")
-    plain = (F.when(e < 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
-             .when(fraction <= e, F.concat(sign, digits, F.repeat(F.lit("0"), e - fraction)))
-             .when(e >= 0, F.concat(sign, F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2))))
-    s = F.coalesce(plain, s)
-    return F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, r"0+$", ""), r"\.$", "")).otherwise(s)
+    # From mantissa and exponent, when there is one: the digits with the zeros that place the point, then the point.
+    exponent = F.substring_index(s, "E", -1).try_cast("int")
+    digits = F.translate(F.substring_index(s, "E", 1), "-.", "")
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(-exponent, F.lit(0))), digits, F.repeat(F.lit("0"), F.greatest(exponent - F.length(digits) + 1, F.lit(0))))
+    place = F.greatest(exponent, F.lit(0)) + 1
+    plain = F.concat(F.when(s.startswith("-"), "-").otherwise(""), F.substr(padded, F.lit(1), place), F.lit("."), F.substr(padded, place + 1))
+    s = F.when(s.contains("E") & s.rlike(r"^-?[0-9]\.?[0-9]*E-?[0-9]+$"), plain).otherwise(s)
+    return F.when(s.contains("."), F.rtrim(F.rtrim(s, F.lit("0")), F.lit("."))).otherwise(s)

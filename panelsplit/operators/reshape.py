@@ -110,9 +110,15 @@ def panel_to_long(panel: DataFrame, keys: Sequence[str], series: dict[str, str],
                   period: str = "period") -> DataFrame:
     """(keys, series, label, value STRING) from a panel; ``series``: series
     name -> panel column. Numbers are written as plain decimal text."""
-    return (panel.select(*keys, wide_label(period).alias("label"),
-                         *[plain_text(c).alias(s) for s, c in series.items()])
-            .unpivot([*keys, "label"], list(series), "series", "value"))
+    return _cells(panel, keys, series, period)
+
+
+def _cells(panel: DataFrame, keys: Sequence[str], series: dict[str, str], period: str, keep_nulls: bool = True) -> DataFrame:
+    """One row per cell, as in ``unpivot_periods``. Values are written plain once the cells are rows: once per column,
+    the generated code would be too long to compile, and the stage would run interpreted."""
+    cells = F.array(*[F.struct(F.lit(s).alias("series"), F.col(c).cast("string").alias("value")) for s, c in series.items()])
+    long = panel.select(*keys, wide_label(period).alias("label"), F.inline(cells))
+    return (long if keep_nulls else long.where(F.col("value").isNotNull())).withColumn("value", plain_text("value"))
 
 
 def pivot_wide(long: DataFrame, keys: Sequence[str], labels: Sequence[str] | None = None) -> DataFrame:
@@ -130,8 +136,7 @@ def panel_to_maps(panel: DataFrame, keys: Sequence[str], series: dict[str, str],
     The labels are data, so nothing has to find them out before the job is planned, and entities may have different
     ones. A series is as long as its periods; entity-clustered panels need no exchange. A period that an entity has
     twice has no place in a wide row and fails the job (the period check reports it)."""
-    cells = F.array(*[F.struct(F.lit(s).alias("series"), plain_text(c).alias("value")) for s, c in series.items()])
-    long = panel.select(*keys, wide_label(period).alias("label"), F.inline(cells)).where(F.col("value").isNotNull())
+    long = _cells(panel, keys, series, period, keep_nulls=False)
     return long.groupBy(*keys, "series").agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("cells"))
 
 

@@ -39,6 +39,22 @@ def test_maps_with_different_labels_round_trip(spark):
     assert back.exceptAll(want).count() == 0 and want.exceptAll(back).count() == 0
 
 
+def test_writing_cells_compiles(spark):
+    """Seven columns' plain text in one generated method was too long to compile, and ran interpreted."""
+    panel = spark.range(3).selectExpr(
+        "id k", "date'2020-01-01' period", "id principal", "id supplementary", "cast(id / 3 as decimal(28,2)) billings", "cast(id * 100 as decimal(28,2)) rollover",
+        "cast(id / 7 as decimal(38,4)) write_offs", "id / 3e9D rate_pct")
+    series = {**{m: m for m in MEASURES}, "orders_value": "billings"}
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        maps = {(r["k"], r["series"]): r["cells"]["20201Q"] for r in RS.panel_to_maps(panel, ["k"], series).collect()}
+        long = {(r["k"], r["series"]): r["value"] for r in RS.panel_to_long(panel, ["k"], series).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert maps == long and len(maps) == 21
+    assert [maps[2, m] for m in series] == ["2", "2", "0.67", "200", "0.2857", "0.0000000006666666666666666", "0.67"]
+
+
 def test_map_accounting_reconciles(spark):
     maps = spark.createDataFrame(
         [("a", "billings", {"20201Q": "1", "20202Q": " ", "2020XQ": "3"}), ("a", "rollover", {"20201Q": "x"}), ("a", "other", {"20201Q": "5"})],
