@@ -27,10 +27,12 @@ from .registry import with_ctes as _with
     "CAST(rollover AS DOUBLE) AS rollover, CAST(write_offs AS DOUBLE) AS write_offs, rate_pct "
     "FROM panel WHERE period >= DATE '1995-01-01'",
     keep=["c_mktsegment", "period", "principal", "supplementary"]))
-def panel_quarterly(spark, sf_dir):
+def panel_quarterly(spark, sf_dir, panel=None):
     """Facts -> (segment, quarter) panel from 1995 Q1 on; the date bound is a
-    predicate on the order date, pushed into the orders Parquet scan."""
-    p = FX.fact_panel(spark, sf_dir, SEG, since="1995-01-01")
+    predicate on the order date, pushed into the orders Parquet scan. Or from
+    a given panel of all quarters."""
+    since = "1995-01-01"
+    p = FX.fact_panel(spark, sf_dir, SEG, since=since) if panel is None else panel.where(F.col("period") >= F.lit(since).cast("date"))
     money_cols = {c: F.col(c).cast("double") for c in ("billings", "rollover", "write_offs")}
     return p.withColumns(money_cols)
 
@@ -71,8 +73,8 @@ _YB_KEEP = ["year", "previous_year", "closes", "annual_crosscheck_status"]
 
 
 @register("bridge_yearly", sql=sql_finish(yearly_bridge_sql("c_mktsegment"), keep=["c_mktsegment", *_YB_KEEP]))
-def bridge_yearly(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True)
+def bridge_yearly(spark, sf_dir, panel=None):
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False, materialize=True) if panel is None else panel
     return D.yearly_bridge(panel, SEG, FX.published_annual(panel, SEG))
 
 

@@ -189,8 +189,8 @@ FROM (SELECT *,
 @register("sensitivity", sql=sql_finish(_sensitivity_sql(),
                                         keep=[_K, "variant_id", "variant_order", "variant", "window_old",
                                               "window_new"]))
-def sensitivity_table(spark, sf_dir):
-    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False)
+def sensitivity_table(spark, sf_dir, panel=None):
+    panel = FX.fact_panel(spark, sf_dir, SEG, line_level=False) if panel is None else panel
     return sensitivity(FX.with_published_rate(panel, SEG), SEG)
 
 

@@ -23,8 +23,10 @@ from ..sources.tables import read_table
 from ..streaming.panel_stream import incremental_panel, refresh_to_table
 from . import facts as FX
 from . import sqlparts as S
-from .edge import sql_finish
-from .registry import QUERIES, SEG, register
+from .edge import finish, sql_finish
+from .q_core import bridge_yearly, panel_quarterly
+from .q_decompose import sensitivity_table
+from .registry import SEG, register
 from .registry import with_ctes as _with
 
 _MEASURES = ["principal", "supplementary", "billings", "rollover", "write_offs", "rate_pct"]
@@ -163,15 +165,19 @@ def gated_write(spark, sf_dir):
 @register("table_hash")
 def table_hash_query(spark, sf_dir):
     """Content hash of three result tables, computed twice in independent
-    executions; ``reproducible`` when both runs agree."""
-    names = ("panel_quarterly", "bridge_yearly", "sensitivity")
-    first = {n: table_hash(QUERIES[n](spark, sf_dir)).collect()[0] for n in names}
+    executions; ``reproducible`` when both runs agree. An execution reads the
+    facts once: its tables come from one panel, which is not the other's."""
+    tables = {"panel_quarterly": panel_quarterly, "bridge_yearly": bridge_yearly, "sensitivity": sensitivity_table}
+    runs = []
+    for _ in range(2):
+        panel = FX.fact_panel(spark, sf_dir, SEG, materialize=True)
+        runs.append({n: table_hash(finish(q(spark, sf_dir, panel))) for n, q in tables.items()})
+    first = {n: h.collect()[0] for n, h in runs[0].items()}
     res = None
-    for n in names:
-        h = (table_hash(QUERIES[n](spark, sf_dir))
-             .select(F.lit(n).alias("table"), "rows", "content_hash",
+    for n, h in runs[1].items():
+        h = h.select(F.lit(n).alias("table"), "rows", "content_hash",
                      ((F.col("content_hash") == F.lit(first[n]["content_hash"]))
-                      & (F.col("rows") == F.lit(first[n]["rows"]))).alias("reproducible")))
+                      & (F.col("rows") == F.lit(first[n]["rows"]))).alias("reproducible"))
         res = h if res is None else res.unionByName(h)
     return res
 

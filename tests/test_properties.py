@@ -60,3 +60,16 @@ def test_hot_key_panel(spark):
         panel.explain()
     plan = buf.getvalue()
     assert "partial_count" in plan and plan.index("partial_count") > plan.index("Exchange")
+
+
+def test_hash_runs_read_the_facts_once_each(spark, monkeypatch):
+    """The hashes of the registered tables, from two panels: one per execution."""
+    from panelsplit.plans.queries import QUERIES
+
+    build, calls = FX.fact_panel, []
+    monkeypatch.setattr(FX, "fact_panel", lambda *a, **k: calls.append(a) or build(*a, **k))
+    got = {r["table"]: r for r in QUERIES["table_hash"](spark, SF_SMALL).collect()}
+    assert len(calls) == 2 and all(r["reproducible"] for r in got.values())
+    for name in ("panel_quarterly", "bridge_yearly", "sensitivity"):
+        want = table_hash(QUERIES[name](spark, SF_SMALL)).collect()[0]
+        assert (got[name]["rows"], got[name]["content_hash"]) == (want["rows"], want["content_hash"])
