@@ -31,6 +31,7 @@ import uuid
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -260,13 +261,17 @@ class _Mixed(NamedTuple):
 
 
 def _table(keys: np.ndarray, levels: list[_Level], mixed: list[_Mixed]) -> np.ndarray:
-    """For every (context, byte) the probabilities of its eight bits if the tree ends at this depth."""
+    """For every (context, byte) the probabilities of its eight bits if the tree ends at this depth.
+
+    Where a bit is likelier than its opposite, minus the opposite's probability stands for it: in 32 bits, the first
+    would be 1 after some ten million counts, and the opposite impossible."""
     out = np.empty((len(keys), 8), "<f4")
     context, byte = keys >> np.uint64(8) << np.uint64(8), keys & np.uint64(255)
     for j in range(8):
         at = np.searchsorted(levels[j].key, context | (np.uint64(1 << j) | (byte >> np.uint64(8 - j))))
         one = (mixed[j].above + mixed[j].rest * levels[j].one())[at]
-        out[:, j] = np.where((byte >> np.uint64(7 - j)) & np.uint64(1) == 1, one, 1 - one)
+        p = np.where((byte >> np.uint64(7 - j)) & np.uint64(1) == 1, one, 1 - one)
+        out[:, j] = np.where(p <= 0.5, p, p - 1)
     return out
 
 
@@ -291,7 +296,7 @@ def _tree(keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
 
 
 class ByteTree(NamedTuple):
-    """By depth: sorted (context, byte) keys and the probabilities of the byte's bits."""
+    """By depth: sorted (context, byte) keys and the probabilities of the byte's bits, as ``_table`` writes them."""
     depth: int
     keys: list[np.ndarray]
     bits: list[np.ndarray]
@@ -422,7 +427,7 @@ def log10_probabilities(tree: ByteTree, keys: np.ndarray) -> np.ndarray:
             here = (known[todo] <= j) & (j <= shared)
             if here.any():
                 p = bits[near[here], j].astype(float)
-                out[todo[here]] += np.log10(np.where(shared[here] > j, p, 1 - p))
+                out[todo[here]] += np.log10(np.where((shared[here] > j) == (p > 0), abs(p), 1 - abs(p)))
         known[todo] = np.maximum(known[todo], np.minimum(shared + 1, 8))
     return out + (8 - known) * math.log10(0.5)
 

@@ -61,6 +61,18 @@ def _plain(texts, depth):
     return log10
 
 
+def test_a_turn_after_many_counts_is_possible(spark):
+    """Two bytes that always took turns, 200 million times, and then another one."""
+    depth, n = 3, 200_000_000
+    a, b = b"aba", b"bab"  # contexts, nearest byte first
+    keys = np.array([int.from_bytes(a + b"b", "big"), int.from_bytes(b + b"a", "big")], np.uint64)
+    counted = spark.createDataFrame([(0, bytearray(keys.astype("<u8").tobytes()), bytearray(np.full(2, n, "<i8").tobytes()), 2, 2 * n)], lm._SUMS)
+    tree = lm._piece_tree(keys, np.full(2, n), depth, lm._upper_tree(counted, depth))
+    got = log10_probabilities(tree, np.array([int.from_bytes(a + bytes([x]), "big") for x in range(256)], np.uint64))
+    assert np.isfinite(got).all() and abs((10 ** got).sum() - 1) < 1e-6
+    assert -9.5 < got[0xC3] - 7 * math.log10(0.5) < -8  # the first bit turns with about 1 / 2n
+
+
 def _rows(seed=1, n=60):
     rng = random.Random(seed)
     words = ["the", "Of", "and", "naïve", "token", "x", "wörd", "zebra"]
