@@ -87,6 +87,12 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted (``np.unique`` hashes them, which takes longer than sorting numbers)."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def _sum_block(block: pa.Table) -> pa.Table:
     keys, counts = _added([np.frombuffer(x, "<u8") for x in block.column("keys").to_pylist()], [np.frombuffer(x, "<i8") for x in block.column("counts").to_pylist()])
     return pa.table({"block": pa.array([block.column("block")[0].as_py()], pa.int32()), "keys": [keys.tobytes()], "counts": [counts.tobytes()],
@@ -502,7 +508,7 @@ def _scored(chunks: DataFrame, tokens: DataFrame, frequent: tuple[np.ndarray, np
         for batch in batches:
             for chunk, lengths, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 texts = _texts_of(lengths, text)
-                keys = np.unique(_strings(texts, depth)[0])
+                keys = _distinct(_strings(texts, depth)[0])
                 parts = [(b, chunk % copies.get(b, 1), keys[x]) for b, x in _by_block(_block_of(keys >> shift, blocks))]
                 _, value, _, _, rare = rare_of(texts, words)
                 parts += [(blocks + b, 0, value[rare[x]]) for b, x in _by_block(_block_of(value[rare], blocks))]
@@ -526,7 +532,7 @@ def _scored(chunks: DataFrame, tokens: DataFrame, frequent: tuple[np.ndarray, np
         if wanted and asked.column("block")[0].as_py() >= blocks:
             found = [_lookup(keys, counts, w).astype("<i8") for w in wanted]
         elif wanted:
-            distinct = np.unique(np.concatenate(wanted))
+            distinct = _distinct(np.concatenate(wanted))
             logs = logs_of(distinct, keys, counts)
             found = [logs[np.searchsorted(distinct, w)] for w in wanted]
         else:
@@ -543,14 +549,12 @@ def _scored(chunks: DataFrame, tokens: DataFrame, frequent: tuple[np.ndarray, np
         first = np.cumsum([0, *n[:-1]])
         base, seen = np.add.reduceat((np.log10(count + 0.5) - unit)[of], first), np.add.reduceat((count > 0).astype(np.int64)[of], first)
         keys, starts, _ = _strings(texts, depth)
-        order = np.argsort(keys)
-        keys = keys[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        distinct = np.empty(len(at))
-        for b, x in _by_block(_block_of(keys[at] >> shift, blocks)):
-            distinct[x] = np.frombuffer(found[b], "<f8")
-        logs = np.empty(len(keys))
-        logs[order] = np.repeat(distinct, np.diff(np.append(at, len(keys))))
+        which, keys = pd.factorize(keys)
+        order = np.argsort(keys)  # as they were asked for
+        answered = np.empty(len(keys))
+        for b, x in _by_block(_block_of(keys[order] >> shift, blocks)):
+            answered[order[x]] = np.frombuffer(found[b], "<f8")
+        logs = answered[which]
         return pa.table({"doc_id": pa.array(np.frombuffer(row["ids"], "<i8"), mask=~np.frombuffer(row["has_id"], bool)), "held_out": pa.array(np.frombuffer(row["held_out"], bool)),
                          "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(logs, starts))})
 
