@@ -52,7 +52,7 @@ BLOCK = 1024
 PART_VALUES = 1 << 21
 #: Values whose frequency is known to the order of the lists; the order, not the result, depends on it.
 FREQUENT_VALUES = 1 << 16
-#: Ids up to this number (16 MB) are broadcast to pick texts; beyond, the texts are joined by shuffle.
+#: Ids up to this number (16 MB) are broadcast to pick texts and sketches; beyond, these are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -204,10 +204,15 @@ def _estimated(pairs: DataFrame, sets: DataFrame, similarity: float, size: int =
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the documents in ``ids`` (stored); while these are few, no other row travels."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """doc_id and hashes (the whole set) of the documents in ``ids``, one row a text, stored."""
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = _only(docs.select("doc_id", "text"), ids)
 
     def full(batches):
         words = WordHashes()
@@ -367,9 +372,10 @@ def _rest(lists: DataFrame, listed: DataFrame, labels: DataFrame, sets: DataFram
     alike = long_.groupBy("value", "members").agg(F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("who")).groupBy("members", "who").agg(F.min("value").alias("value"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / PART_VALUES))
     own = long_.join(alike.select("value"), "value").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    compared = store(own.select("doc_id").distinct(), "compared-ids")
     dealt = (own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-             .join(sets.select("doc_id", "sketch"), "doc_id").join(listed.select("doc_id", "listed_values"), "doc_id")
+             .join(_only(sets.select("doc_id", "sketch"), compared), "doc_id").join(_only(listed.select("doc_id", "listed_values"), compared), "doc_id")
              .select("value", "i", "j", "mine", "doc_id", "component", "n_shingles", "sketch", "listed_values"))
     found = store(dealt.groupBy("value", "i", "j").applyInPandas(_block_pairs(size, percent / 100), _FOUND), "block-pairs")
     links = found.where("link is not null").select(F.col("doc_id").alias("a"), F.col("link").alias("b"))

@@ -57,6 +57,16 @@ def test_long_lists_in_small_blocks(documents, monkeypatch):
     _compare(documents(rows), rows, sketch_size=128)
 
 
+def test_only_sketches_of_compared_documents_travel(documents, monkeypatch):
+    rows = _rows(5)
+    rows += [(10_000 + i, " ".join(_words(random.Random(i), 30))) for i in range(100)]  # alike to nothing
+    picked, only = [], neardup._only
+    monkeypatch.setattr(neardup, "_only", lambda of, ids: picked.append((of.columns, {r[0] for r in ids.collect()})) or only(of, ids))
+    _compare(documents(rows), rows)
+    ids = [i for columns, i in picked if "sketch" in columns or "listed_values" in columns]
+    assert len(ids) == 2 and ids[0] == ids[1] and 0 < len(ids[0]) < 200 and max(ids[0]) < 10_000
+
+
 def test_without_broadcast(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     rows = _rows(3)[:80]
