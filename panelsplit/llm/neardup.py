@@ -34,6 +34,7 @@ answers; extra columns are ignored; an empty table gives an empty result. ``with
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,8 @@ SHORT_LIST = 16
 #: Members of a block, and values of the full sets that a block or a part of a hub's members holds.
 BLOCK = 1024
 PART_VALUES = 1 << 21
+#: Members of a block pair that are compared with all others at a time.
+STRIP = 256
 #: Values whose frequency is known to the order of the lists; the order, not the result, depends on it.
 FREQUENT_VALUES = 1 << 16
 #: Ids up to this number (16 MB) are broadcast to pick texts and sketches; beyond, these are joined by shuffle.
@@ -265,7 +268,8 @@ def _overlaps(sketches_: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((m, len(dense[at:at + 1024])), np.float32)
         for j, k in enumerate(dense[at:at + 1024]):
             part[member[ends[k] - count[k]:ends[k]], j] = 1
-        out += part @ part.T
+        for to in range(0, m, STRIP):
+            out[to:to + STRIP] += part[to:to + STRIP] @ part.T
     for k in np.flatnonzero((count > 1) & (count < 64)):
         of = member[ends[k] - count[k]:ends[k]]
         out[of[:, None], of] += 1
@@ -298,7 +302,8 @@ def _block_pairs(size: int, similarity: float):
     """applyInPandas body, one pair of blocks of a list: links of different components, proven by whole sketches (a forest), and
     for every member the packed ids of those members that only its full set can tell from it.
 
-    A pair is looked at in the list of its smallest common listed value alone."""
+    A pair is looked at in the list of its smallest common listed value alone. Members meet the others ``STRIP`` at a time, so
+    that a task holds one number and one mark a pair."""
     low = similarity - 5 * math.sqrt(similarity * (1 - similarity) / size)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -306,31 +311,42 @@ def _block_pairs(size: int, similarity: float):
         ids, comps, n, mine = (block[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "mine"))
         values = [np.frombuffer(s, np.uint64) for s in block["sketch"]]
         listed = [np.frombuffer(s, np.int64) for s in block["listed_values"]]
-        overlap = _overlaps(values)
         kept = np.minimum(n, size)
         whole = n <= size
-        exact = whole[:, None] & whole
-        ratio = overlap / np.maximum(1, kept[:, None] + kept - overlap)
-        # Of two partial sketches, the overlap itself bounds the union estimate from above.
-        may = np.where(exact, ratio >= similarity - 1e-6, overlap >= low * np.minimum(kept[:, None], kept))
-        may &= comps[:, None] != comps
-        may &= np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n) - 1e-6
-        may &= _overlaps([v[v < value] for v in listed]) == 0  # no smaller list has both
-        if bi != bj:
-            may &= mine[:, None] != mine
+        may = np.empty((len(ids), len(ids)), bool)
+        strips = [slice(at, at + STRIP) for at in range(0, len(ids), STRIP)]
+        overlap = _overlaps(values)
+        for s in strips:
+            ratio = overlap[s] / np.maximum(1, kept[s, None] + kept - overlap[s])
+            # Of two partial sketches, the overlap itself bounds the union estimate from above.
+            may[s] = np.where(whole[s, None] & whole, ratio >= similarity - 1e-6, overlap[s] >= low * np.minimum(kept[s, None], kept))
+            may[s] &= comps[s, None] != comps
+            may[s] &= np.minimum(n[s, None], n) >= similarity * np.maximum(n[s, None], n) - 1e-6
+            if bi != bj:
+                may[s] &= mine[s, None] != mine
+        del overlap
+        smaller = _overlaps([v[v < value] for v in listed])
+        for s in strips:
+            may[s] &= smaller[s] == 0  # no smaller list has both
+        del smaller
+
+        def pairs(proven):
+            for s in strips:
+                x, y = np.nonzero(np.triu(may[s] & ((whole[s, None] & whole) == proven), 1 + s.start))
+                yield from zip(x + s.start, y)
+
         apart = _forest()
         rows, partners = [], {}
-        exact_pairs, others = np.nonzero(np.triu(may & exact, 1)), np.nonzero(np.triu(may & ~exact, 1))
-        for x, y in zip(*exact_pairs):
+        for x, y in pairs(True):
             if apart(comps[x], comps[y]):
                 rows.append((int(ids[x]), int(comps[x]), None, int(ids[y])))
-        for x, y in zip(*others):
+        for x, y in pairs(False):
             if not apart(comps[x], comps[y], True):
                 continue
             if _union_estimate(values[x], values[y], size) >= low:
-                partners.setdefault(x, []).append(int(ids[y]))
-                partners.setdefault(y, [])
-        rows += [(int(ids[x]), int(comps[x]), np.array(p, np.int64).tobytes(), None) for x, p in partners.items()]
+                partners.setdefault(x, array("q")).append(int(ids[y]))
+                partners.setdefault(y, array("q"))
+        rows += [(int(ids[x]), int(comps[x]), p.tobytes(), None) for x, p in partners.items()]
         out = pd.DataFrame(rows, columns=["doc_id", "component", "partners", "link"])
         return out.assign(value=value, i=bi, j=bj, link=out["link"].astype("Int64"))[["value", "i", "j", "doc_id", "component", "partners", "link"]]
 

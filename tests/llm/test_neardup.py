@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 
 from panelsplit.llm import neardup
 from panelsplit.llm.components import components
@@ -67,6 +69,36 @@ def test_only_sketches_of_compared_documents_travel(documents, monkeypatch):
     assert len(ids) == 2 and ids[0] == ids[1] and 0 < len(ids[0]) < 200 and max(ids[0]) < 10_000
 
 
+def _block(m, seed=1):
+    """A pair of blocks of m members, each with most of 250 common values and a few own ones; a third of the sketches are partial."""
+    rng = np.random.default_rng(seed)
+    pool = np.sort(rng.integers(1, 2 ** 62, 250).astype(np.uint64))
+    rows = []
+    for i in range(m):
+        values = np.unique(np.concatenate([rng.choice(pool, 235 if i % 3 else 245, replace=False), rng.integers(1, 2 ** 62, 5 if i % 3 else 25).astype(np.uint64)]))
+        rows.append((0, 0, 1, i % 2, i, i, len(values), values[:256].tobytes(), values[:40].tobytes()))
+    return pd.DataFrame(rows, columns=["value", "i", "j", "mine", "doc_id", "component", "n_shingles", "sketch", "listed_values"])
+
+
+def test_memory_of_a_pair_of_blocks():
+    m, block = 1024, _block(1024)
+    tracemalloc.start()
+    try:
+        found = neardup._block_pairs(256, 0.8)(block)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) and peak < 24 * m * m  # 4 bytes a pair for its overlap, 1 for the mark, and what grows with the members
+
+
+def test_strips_give_the_same_links(monkeypatch):
+    want = neardup._block_pairs(256, 0.8)(_block(150))
+    assert want["link"].notna().any() and want["partners"].notna().any()
+    for strip in (1, 7, 150):
+        monkeypatch.setattr(neardup, "STRIP", strip)
+        pd.testing.assert_frame_equal(neardup._block_pairs(256, 0.8)(_block(150)), want)
+
+
 def test_without_broadcast(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     rows = _rows(3)[:80]
